@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -63,15 +66,45 @@ def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str,
     return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows to the one row of their group without a hot key meeting in one task. Groups with a
+    thousandth of all rows or more, of which there are at most a thousand, are broadcast; the rest are
+    shuffled. size: the column of groups that holds the group's rows. groups should be staged."""
+    is_hot = F.col(size) * 1000 >= total
+    hot = groups.filter(is_hot).select(key, F.struct(*[c for c in groups.columns if c != key]).alias("_group"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    at_once = marked.filter("_group is not null").select(*rows.columns, "_group.*")
+    dealt = marked.filter("_group is null").drop("_group").join(groups.filter(~is_hot), key, how)
+    return at_once.unionByName(dealt)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in path."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most BATCH_ROWS rows at a time."""
+    """Before an operator runs Python: hand it at most BATCH_ROWS rows at a time, and see that the
+    executors can import this package."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_jobsift_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        made = Path(tempfile.mkdtemp(prefix="jobsift-")) / f"{package.name}.zip"  # the driver serves it to executors
+        with zipfile.ZipFile(made, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(made))
+        sc._jobsift_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def schema_with(df: DataFrame, **more: str) -> T.StructType:
+    """The table's schema and further columns, given as name=type."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out

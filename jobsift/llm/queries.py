@@ -7,9 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .bloom_dedup import exact_dedup
+from .chosen_path import near_duplicates
 from .common import LOWER, UPPER, table
 from .histogram_sort import shard_by_bytes
+from .html_text import extract
+from .packing import pack
+
+
+def ranks_path() -> str:
+    """The tokenizer's vocabulary as ranks: the same ids as byte_bpe_50k.json."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    quality, toxic = F.col("quality"), F.col("toxic")
+    categories = {"low_quality": quality == 0, "toxic": toxic == 1, "toxic_junk": (toxic == 1) & (quality == 0)}
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), categories)
+    return toxicity.classify(docs, chain).select("doc_id", F.col("is_toxic").alias("toxic"), "p_toxic", "p_low_quality", "p_toxic_junk")
+
+
+def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.is_held_out(F.col("doc_id"))
+    model = language_id.fit(docs.filter(~held_out))
+    scored = language_id.identify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), ranks_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op8_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +61,18 @@ def op9_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_naive_bayes_language": op2_naive_bayes_language,
+    "op4_tiered_packing": op4_tiered_packing,
+    "op6_line_block_text": op6_line_block_text,
     "op8_bloom_exact_dedup": op8_bloom_exact_dedup,
     "op9_histogram_sort_shards": op9_histogram_sort_shards,
+    "op10_chosen_path_near_dedup": op10_chosen_path_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
