@@ -1,0 +1,168 @@
+"""Unit tests of single operators on edge rows, and the pipeline end to end on a tiny folder of shards."""
+
+import json
+from dataclasses import replace
+
+import pytest
+from jobsift.config import Config
+from jobsift.functions import columns as C
+from jobsift.functions.classify import RuleClassifier, ServiceClassifier
+from jobsift.operators import assemble, encode, report, sampling, screen, titles
+from jobsift.plans import recruitment
+from jobsift.schema import POSTING_COLUMNS
+from jobsift.sources import postings, sinks
+from jobsift.streaming import screening
+from pyspark.sql import functions as F
+
+
+def line(i, **more):
+    base = dict.fromkeys(POSTING_COLUMNS, "x") | {"posting_id": str(i), "publish_date": "2020-05-03 10:00:00", "source": "BOSS", "title": f"t{i}", "company_id": f"c{i}"} | more
+    return "@!".join(base[c] for c in POSTING_COLUMNS)
+
+
+def test_lines(spark, tmp_path):
+    lines = ["﻿" + line(0), "", line(1) + "@!more", "2@!only", line(3, description='"a \\ b', education="")]
+    (tmp_path / "a.dat").write_text("\n".join(lines), encoding="utf-8")
+    rows = {r.posting_id: r for r in postings.read_shards(spark, str(tmp_path), "*.dat").collect()}
+    assert set(rows) == {"0", "2", "3"}
+    assert rows["2"].title is None and rows["3"].description == '"a \\ b' and rows["3"].education == ""
+    assert {r.shard for r in rows.values()} == {"a.dat"}
+
+
+def test_screen_edges(spark, tmp_path):
+    lines = [
+        line(0, title=r"\N", position_name="p"),
+        line(1, title=r"\N", position_name=r"\N"),
+        line(2, title="兼职"),
+        line(3, title="兼职会计"),
+        line(4, source="elsewhere"),
+        line(5, publish_date=r"\N"),
+        line(6, company_id="same", title="t", salary="first"),
+        line(7, company_id="same", title="t", salary="second"),
+        line(8, company_id="same", title="t", publish_date="2020-06-01"),
+        line(9, company_id=r"\N", title="u"),
+        line(10, company_id=r"\N", title="u"),
+    ]
+    (tmp_path / "1.dat").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "2.dat").write_text(line(11, company_id="same", title="t"), encoding="utf-8")
+    raw = postings.read_shards(spark, str(tmp_path))
+    got = {r.posting_id: r for r in screen.screen(raw).collect()}
+    assert set(got) == {"0", "1", "3", "6", "8", "9", "11"}
+    assert got["0"].title == "p" and got["1"].title is None and got["6"].date == "2020-05"
+    whole = {r.posting_id for r in screen.screen(raw, replace(Config(), dedup_scope="global", part_time_match="contains")).collect()}
+    assert whole == {"0", "1", "6", "8", "9"}
+
+
+def test_counts_and_shards(spark):
+    df = spark.createDataFrame([("a",)] * 6 + [("b",)] * 5 + [(None,)] * 9, "title string")
+    assert [tuple(r) for r in titles.frequent(df, 6).collect()] == [("a", 6)]
+    counts = spark.createDataFrame([(f"t{i}", 10 - i) for i in range(10)], "title string, count long")
+    sizes = titles.shards(counts, 4).groupBy("shard").count().orderBy("shard").collect()
+    assert [r["count"] for r in sizes] == [3, 3, 2, 2]
+    assert titles.shards(counts.limit(2), 4).count() == 2
+
+
+def test_codes(spark):
+    said = ["15-1252", "SOC 15-1252.00", "11-1011 or 12-1012", "N/A", "none", None, "１５-１２５２"]
+    df = spark.createDataFrame([(s,) for s in said], "a string")
+    got = [r[0] for r in df.select(C.extract_code(F.col("a"))).collect()]
+    assert got == ["15-1252", "15-1252", "11-1011", None, None, None, None]
+    codes = spark.createDataFrame([("15-1252",), ("15-1251",), ("15-1299",)], "soc_code string")
+    assert {r[0] for r in titles.universe(codes).collect()} == {"15-1250", "15-1290"}
+
+
+def test_groups_and_samples(spark):
+    df = spark.createDataFrame([(i, "a") for i in range(101)] + [(1000 + i, "b") for i in range(100)], "id long, soc_code string")
+    assert titles.large_groups(df, 101).count() == 101
+    for n in (99, 100, 101, 102):
+        one = sampling.per_group(df.repartition(1), "soc_code", n, "id", 42)
+        many = sampling.per_group(df.repartition(7), "soc_code", n, "id", 42)
+        assert one.filter("soc_code = 'a'").count() == min(n, 101)
+        assert {r.id for r in one.collect()} == {r.id for r in many.collect()}
+
+
+@pytest.mark.parametrize(("n", "sizes"), [(1, (0, 0, 1)), (5, (3, 1, 1)), (997, (598, 199, 200)), (1000, (600, 200, 200))])
+def test_split(spark, n, sizes):
+    got = {r.split: r["count"] for r in sampling.split(spark.range(n), "id", 42).groupBy("split").count().collect()}
+    assert tuple(got.get(k, 0) for k in ("train", "valid", "test")) == sizes
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(["Yes", "Yes.", "yes", "No.", "N/A", None])], "posting_id long, answer string")
+    assert {r.posting_id for r in assemble.passed(assemble.checked_answers(df)).collect()} == {0, 1}
+    even = replace(Config(), normalise_answer=True)
+    assert {r.posting_id for r in assemble.passed(assemble.checked_answers(df, even)).collect()} == {0, 1, 2}
+
+
+def test_pool_and_estimation(spark):
+    pool = spark.createDataFrame([(1, "d", "11-1010"), (2, "d", "11-1010"), (3, None, "11-1010"), (None, "d", "11-1010"), (5, "d", "55-1010")], "posting_id long, description string, soc_code string")
+    checked = spark.createDataFrame([(1, "d", "11-1010", "Yes"), (2, "d", "11-1010", "No")], "posting_id long, description string, soc_code string, true_ind string")
+    got = {r.posting_id: (r.true_ind, r.weight) for r in assemble.estimation(pool, checked).collect()}
+    assert got == {1: ("Yes", 1.0), 2: (None, 0.5), None: (None, 0.5)}
+    strict = assemble.estimation(pool, checked, replace(Config(), pool_excludes="checked"))
+    assert {r.posting_id for r in strict.collect()} == {1, None}
+
+
+def test_tokens(spark):
+    df = spark.createDataFrame([(None, None), ("会计", "abc😀"), ("t", "x" * 50)], "title string, description string")
+    vocab = spark.createDataFrame([("会", 2), ("a", 3), ("n", 4)], "token string, token_id int")
+    rows = encode.tokens(df, vocab, 12).collect()
+    assert all(len(r.input_ids) == 12 == len(r.attention_mask) for r in rows)
+    assert rows[0].input_ids == [4, 3, 4, 1, 4, 3, 4, 1, 4, 3, 4, 0]
+    assert rows[1].input_ids[:8] == [2, 1, 1, 2, 1, 1, 3, 1] and rows[1].attention_mask == [1] * 10 + [0, 0]
+
+
+def test_report(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "b")], "label string, prediction string")
+    got = {r.label: r for r in report.classification_report(df).collect()}
+    assert set(got) == {"a", "b", "c", "accuracy", "macro avg", "weighted avg"}
+    assert got["b"].support == 0 and got["c"].recall == 0 and got["a"].recall == 0.5
+    assert got["accuracy"].support == pytest.approx(1 / 3) and got["weighted avg"].support == 3
+
+
+def test_service_classifier():
+    body = json.dumps({"choices": [{"message": {"content": "15-1252"}}]})
+    assert ServiceClassifier(lambda b: (200, body)).title("t") == "15-1252"
+    assert ServiceClassifier(lambda b: (500, json.dumps({"error": {"message": "no"}}))).title("t") == "N/A"
+    assert ServiceClassifier(lambda b: (200, "{")).check("d", "c") == "N/A"
+
+
+def test_exports(spark, tmp_path):
+    df = spark.createDataFrame([('a?b"c', "1")], "x string, y string")
+    sinks.write_csv(df, str(tmp_path / "q"), "?")
+    back = spark.read.option("header", True).option("sep", "?").option("escape", '"').csv(str(tmp_path / "q"))
+    assert [tuple(r) for r in back.collect()] == [('a?b"c', "1")]
+    (tmp_path / "t.csv").write_text("﻿Unnamed: 0,title\n0,x\n", encoding="utf-8")
+    assert postings.read_table_csv(spark, str(tmp_path / "t.csv")).columns == ["title"]
+    (tmp_path / "c.csv").write_text("2018 SOC Code,z\n15-1252,q\n", encoding="utf-8")
+    assert postings.read_crosswalk(spark, str(tmp_path / "c.csv")).first().soc_code == "15-1252"
+    assert postings.shard_paths("/d/", "x%d.dat", range(1, 3)) == ["/d/x1.dat", "/d/x2.dat"]
+
+
+def test_end_to_end(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    jobs = [("会计", "做账 会计 工作"), ("司机", "驾驶 司机 工作"), ("厨师", "做饭 厨师 工作")]
+    for s in range(2):
+        lines = [line(s * 300 + i, title=jobs[i % 3][0], description=jobs[i % 3][1], company_id=f"c{s}-{i}") for i in range(90)]
+        (raw / f"job{s + 1}.dat").write_text("\n".join(lines), encoding="utf-8")
+    cfg = replace(Config(), min_group=10, check_cap=30, rest_cap=20, title_shards=2, title_concurrency=1, check_concurrency=1, grid={"regParam": (0.01,)})
+    seen = recruitment.screening(spark, str(raw), out, cfg)
+    assert seen == {"raw": 180, "screened": 180}
+    rules = RuleClassifier([("会计", "13-2011"), ("司机", "53-3032"), ("厨师", "35-1011")])
+    crosswalk = spark.createDataFrame([("13-2011",), ("53-3032",), ("35-1011",)], "soc_code string")
+    recruitment.labelling(spark, out, crosswalk, rules, cfg)
+    sample = spark.read.parquet(f"{out}/estimation")
+    assert sample.filter("weight = 1.0").count() == 90 and sample.filter("weight = 0.5").count() == 60
+    _, found = recruitment.training(spark, out, cfg, features=256, max_iter=5)
+    rows = {r.label: r for r in found.collect()}
+    assert rows["accuracy"].precision == 1.0 and {"132010", "533030", "351010"} <= set(rows)
+
+
+def test_stream(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "1.dat").write_text("\n".join([line(1), line(2), line(1), line(3, source="no")]), encoding="utf-8")
+    df = screening.screened_stream(spark, str(raw))
+    screening.write_stream(df, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    assert {r.posting_id for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {"1", "2"}
