@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, toxicity, warc
 from .bloom_dedup import exact_dedup
 from .chosen_path import near_duplicates
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, new_path, table
 from .histogram_sort import shard_by_bytes
 from .html_text import extract
+from .mixing import Marginal, mix
 from .packing import pack
+from .subspace_join import near_vectors
+
+#: The mix that is asked for: less of the largest source, more of the smaller languages, fewer books.
+TARGETS = [
+    Marginal("source", {"src0": 0.2, **{f"src{i}": 0.8 / 19 for i in range(1, 20)}}),
+    Marginal("lang", {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}),
+    Marginal("topic", {"note": 0.02, "article": 0.25, "essay": 0.43, "book": 0.3}),
+]
+KEEP = 0.6
 
 
 def ranks_path() -> str:
@@ -39,15 +49,45 @@ def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), TARGETS, KEEP)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op4_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), ranks_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    responses = warc.read_warc(spark, path, ["record_id", "warc_type", "payload"]).filter("warc_type = 'response'").select(
+        page("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.sha1_base32(F.col("payload")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = warc.read_warc(spark, path, ["record_id", "warc_type", "payload_digest", "refers_to", "payload_length"]).filter("warc_type = 'revisit'").select(
+        page("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+    return responses.unionByName(revisits)
+
+
 def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_subspace_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -68,14 +108,30 @@ def op10_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_naive_bayes_language": op2_naive_bayes_language,
+    "op3_raked_mixture": op3_raked_mixture,
     "op4_tiered_packing": op4_tiered_packing,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_line_block_text": op6_line_block_text,
+    "op7_subspace_near_vectors": op7_subspace_near_vectors,
     "op8_bloom_exact_dedup": op8_bloom_exact_dedup,
     "op9_histogram_sort_shards": op9_histogram_sort_shards,
     "op10_chosen_path_near_dedup": op10_chosen_path_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": """
+        with bits as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as digest from pages
+        ), based as (
+            select page_id, payload_bytes, digest, min(page_id) over (partition by digest) as first,
+                   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     1 + cast((cast('0x' || substr(digest, cast(1 + 5 * (i // 4) as bigint), 5) as bigint) >> cast(5 * (3 - i % 4) as bigint)) & 31 as bigint), 1)), '') as payload_digest
+            from bits
+        )
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+               case when page_id > first then 'revisit' else 'response' end as record_type,
+               case when page_id > first then first end as refers_to
+        from based""",
     "op8_bloom_exact_dedup": f"""
         with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as norm from documents)
         select doc_id, max(doc_id) over (partition by norm) as keep_id,
