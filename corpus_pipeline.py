@@ -38,11 +38,11 @@ def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id. A row's place in
     the input tells rows with equal ids apart."""
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = near_duplicates(placed.select(F.struct("doc_id", "_row").alias("_key"), "text"), key="_key")
-    gone = stage(found.filter("not kept").select(F.col("_key._row").alias("_row")), "gone")
+    placed = docs.withColumn("_jobsift_row", F.monotonically_increasing_id())
+    found = near_duplicates(placed.select(F.struct("doc_id", "_jobsift_row").alias("_key"), "text"), key="_key")
+    gone = stage(found.filter("not kept").select(F.col("_key._jobsift_row").alias("_jobsift_row")), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return placed.join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(docs.columns)
+    return placed.join(F.broadcast(gone) if few else gone, "_jobsift_row", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,10 +71,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     thousandth of all rows or more, of which there are at most a thousand, are broadcast; the rest are
     shuffled. size: the column of groups that holds the group's rows. groups should be staged."""
     is_hot = F.col(size) * 1000 >= total
-    hot = groups.filter(is_hot).select(key, F.struct(*[c for c in groups.columns if c != key]).alias("_group"))
+    hot = groups.filter(is_hot).select(key, F.struct(*[c for c in groups.columns if c != key]).alias("_jobsift_group"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    at_once = marked.filter("_group is not null").select(*rows.columns, "_group.*")
-    dealt = marked.filter("_group is null").drop("_group").join(groups.filter(~is_hot), key, how)
+    at_once = marked.filter("_jobsift_group is not null").select(*rows.columns, "_jobsift_group.*")
+    dealt = marked.filter("_jobsift_group is null").drop("_jobsift_group").join(groups.filter(~is_hot), key, how)
     return at_once.unionByName(dealt)
 
 

@@ -26,8 +26,8 @@ LEAST_LEAF_ROWS = 100
 def _prefix(depth: int) -> Column:
     """The key's first bits as text, so that both halves fit one column."""
     if depth <= 48:
-        return F.shiftrightunsigned("_h", 48 - depth).cast("string")
-    return F.concat_ws("/", F.col("_h"), F.shiftrightunsigned("_g", 96 - depth))
+        return F.shiftrightunsigned("_jobsift_h", 48 - depth).cast("string")
+    return F.concat_ws("/", F.col("_jobsift_h"), F.shiftrightunsigned("_jobsift_g", 96 - depth))
 
 
 def _start(depth: int, prefix: str) -> int:
@@ -42,8 +42,8 @@ def _keys(docs: DataFrame, text: str, key: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         "*",
-        F.shiftrightunsigned(F.xxhash64(whole), 16).alias("_h"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(key)), 16).alias("_g"),
+        F.shiftrightunsigned(F.xxhash64(whole), 16).alias("_jobsift_h"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(key)), 16).alias("_jobsift_g"),
         (F.octet_length(whole).cast("long") + 1).alias("size"),
     )
 
@@ -83,11 +83,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, t
     Shard sizes differ from an equal share by at most tolerance times the share or half a row, apart
     from rows with both the same text and id, which can't be told apart. Rows of equal text stay in one
     shard unless a boundary must cut their group. A null text has no bytes, null ids are equal ids.
-    Columns of the input pass through; those named like a new one are replaced. An empty table gives an
+    Columns of the input pass through; those named like a new one are replaced, and names that begin with
+    _jobsift are reserved. An empty table gives an
     empty result. Splitters are the interval edges nearest to the equal shares."""
-    docs = docs.drop("size", "shard", "slot", "_h", "_g")
+    docs = docs.drop("size", "shard", "slot")
     keyed = _keys(docs, text, key)
-    keys = stage(keyed.select("_h", "_g", "size"), "keys")
+    keys = stage(keyed.select("_jobsift_h", "_jobsift_g", "size"), "keys")
     leaves, refined, total = _intervals(keys, shards, tolerance)
     unstage(keys)
 
@@ -105,7 +106,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, t
         deeper = _prefix(DEPTHS[i]).isin(sorted(refined[i]))
         leaf = F.when(deeper, leaf).otherwise(F.concat(F.lit(f"{DEPTHS[i]}:"), _prefix(DEPTHS[i])))
     # at most 4096 intervals, and 64 for each one that was cut: of these there are no more than LEAVES and a few at a depth
-    places = docs.sparkSession.createDataFrame(rows, "_leaf string, shard int, _base long")
-    placed = keyed.withColumn("_leaf", leaf).join(F.broadcast(places), "_leaf")
-    order = "row_number() over (partition by _leaf order by _h, _g, size)"
-    return placed.select(*docs.columns, "size", "shard", (F.col("_base") + F.expr(order) - 1).alias("slot"))
+    places = docs.sparkSession.createDataFrame(rows, "_jobsift_leaf string, shard int, _jobsift_base long")
+    placed = keyed.withColumn("_jobsift_leaf", leaf).join(F.broadcast(places), "_jobsift_leaf")
+    order = "row_number() over (partition by _jobsift_leaf order by _jobsift_h, _jobsift_g, size)"
+    return placed.select(*docs.columns, "size", "shard", (F.col("_jobsift_base") + F.expr(order) - 1).alias("slot"))

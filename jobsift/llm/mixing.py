@@ -90,15 +90,16 @@ def chance(key: str, seed: int) -> Column:
 def mix(docs: DataFrame, marginals: list[Marginal], keep: float = 0.5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """Add tokens, weight, probability and kept to every row, and topic where a marginal asks for it and the
     table has none. Null texts have one token. An empty table gives an empty result. Columns of the input
-    pass through; those named like a new one are replaced, topic excepted."""
-    docs = docs.drop("tokens", "weight", "probability", "kept", "_cell")
+    pass through; those named like a new one are replaced, topic excepted, and names that begin with
+    _jobsift are reserved."""
+    docs = docs.drop("tokens", "weight", "probability", "kept")
     if any(m.column == "topic" for m in marginals) and "topic" not in docs.columns:
         docs = docs.withColumn("topic", form_topic(text))
-    marked = docs.withColumn("tokens", word_count(text)).withColumn("_cell", F.concat_ws("\x1f", *[m.label() for m in marginals]))
-    cells = {tuple(r._cell.split("\x1f")): float(r.tokens) for r in marked.groupBy("_cell").agg(F.sum("tokens").alias("tokens")).collect()}
+    marked = docs.withColumn("tokens", word_count(text)).withColumn("_jobsift_cell", F.concat_ws("\x1f", *[m.label() for m in marginals]))
+    cells = {tuple(r._jobsift_cell.split("\x1f")): float(r.tokens) for r in marked.groupBy("_jobsift_cell").agg(F.sum("tokens").alias("tokens")).collect()}
     weight, p = rake(cells, marginals, cap=1 / keep), probabilities(cells, marginals, keep)
     rates = [("\x1f".join(c), weight[c], p[c]) for c in sorted(cells)]
-    table = docs.sparkSession.createDataFrame(rates, "_cell string, weight double, probability double")
+    table = docs.sparkSession.createDataFrame(rates, "_jobsift_cell string, weight double, probability double")
     # no more cells than the product of the named values, plus one, of each marginal
-    out = marked.join(F.broadcast(table), "_cell").drop("_cell")
+    out = marked.join(F.broadcast(table), "_jobsift_cell").drop("_jobsift_cell")
     return out.withColumn("kept", chance(key, seed) < F.col("probability"))
