@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage, unstage
+from .common import ascii_lower, join_groups, stage
 
 BLOCK_BITS = 32768  # of Spark's bitmap aggregates
 BITS_PER_ROW = 16
@@ -53,35 +53,37 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts
     the row with the largest key stays; a null key is smallest, and of rows that repeat the same key
     and text just one stays. Empty tables give empty results. Columns of the input pass through,
-    except those that have one of the four new names, which are replaced."""
+    except those that have one of the four new names, which are replaced; names that begin with _jobsift
+    are reserved."""
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    hashed = docs.withColumn("_h", F.xxhash64(norm))
-    filter_bits, blocks = repeat_filter(hashed.select("_h"), "_h", docs.count())
-    filter_bits = stage(filter_bits.withColumnsRenamed({"block": "_block", "bits": "_bits"}), "bloom")
+    hashed = docs.withColumn("_jobsift_h", F.xxhash64(norm))
+    n_rows = docs.count()
+    filter_bits, blocks = repeat_filter(hashed.select("_jobsift_h"), "_jobsift_h", n_rows)
+    filter_bits = stage(filter_bits.withColumnsRenamed({"block": "_jobsift_block", "bits": "_jobsift_bits"}), "bloom")
 
-    block, first, second = _cells(F.col("_h"), blocks)
-    tested = hashed.withColumn("_block", block).join(F.broadcast(filter_bits), "_block", "left")
-    repeated = F.coalesce(_bit(F.col("_bits"), first) & _bit(F.col("_bits"), second), F.lit(False))
-    tested = tested.withColumn("_maybe", repeated).drop("_block", "_bits", "_h").withColumn("text_sha256", F.sha2(norm, 256))
+    block, first, second = _cells(F.col("_jobsift_h"), blocks)
+    tested = hashed.withColumn("_jobsift_block", block).join(F.broadcast(filter_bits), "_jobsift_block", "left")
+    repeated = F.coalesce(_bit(F.col("_jobsift_bits"), first) & _bit(F.col("_jobsift_bits"), second), F.lit(False))
+    tested = tested.withColumn("_jobsift_maybe", repeated).drop("_jobsift_block", "_jobsift_bits", "_jobsift_h").withColumn("text_sha256", F.sha2(norm, 256))
 
-    single = tested.filter(~F.col("_maybe")).select(
+    single = tested.filter(~F.col("_jobsift_maybe")).select(
         *docs.columns,
         F.col(key).alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    maybe = tested.filter("_maybe").drop("_maybe").withColumn("_row", F.monotonically_increasing_id())
+    maybe = tested.filter("_jobsift_maybe").drop("_jobsift_maybe").withColumn("_jobsift_row", F.monotonically_increasing_id())
     maybe = stage(maybe, "repeats")
     groups = maybe.groupBy("text_sha256").agg(
-        F.max(F.struct(key, "_row")).alias("_best"), F.count("*").alias("group_size")
+        F.max(F.struct(F.col(key).alias("key"), F.col("_jobsift_row").alias("row"))).alias("_jobsift_best"), F.count("*").alias("group_size")
     )
-    met = maybe.join(groups, "text_sha256").select(
+    met = join_groups(maybe, stage(groups, "groups"), "text_sha256", "group_size", n_rows).select(
         *docs.columns,
-        F.col(f"_best.{key}").alias("keep_id"),
+        F.col("_jobsift_best.key").alias("keep_id"),
         "group_size",
-        (F.col("_row") == F.col("_best._row")).alias("kept"),
+        (F.col("_jobsift_row") == F.col("_jobsift_best.row")).alias("kept"),
         "text_sha256",
     )
     return single.unionByName(met)
