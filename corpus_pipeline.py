@@ -36,13 +36,14 @@ def exact_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id. A row's place in
-    the input tells rows with equal ids apart."""
-    placed = docs.withColumn("_jobsift_row", F.monotonically_increasing_id())
-    found = near_duplicates(placed.select(F.struct("doc_id", "_jobsift_row").alias("_key"), "text"), key="_key")
-    gone = stage(found.filter("not kept").select(F.col("_key._jobsift_row").alias("_jobsift_row")), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return placed.join(F.broadcast(gone) if few else gone, "_jobsift_row", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates stays, that with the smallest id. A hash of the text
+    tells documents with equal ids apart; rows that repeat both stay or go together, and the stage before
+    leaves none."""
+    marked = docs.withColumn("_jobsift_key", F.struct("doc_id", F.xxhash64("text").alias("text")))
+    found = near_duplicates(marked.select("_jobsift_key", "text"), key="_jobsift_key")
+    gone = stage(found.filter("not kept").select(F.col("_jobsift_key").alias("_jobsift_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return marked.join(gone, F.col("_jobsift_key").eqNullSafe(F.col("_jobsift_gone")), "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

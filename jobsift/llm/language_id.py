@@ -23,7 +23,7 @@ ORDERS = (2, 3)
 #: The model is fitted on about so many documents of each language, chosen by a hash of the id.
 TRAIN_DOCS = 5_000
 #: A matrix has at most so many languages (the most frequent ones).
-LANGUAGES = 256
+LANGUAGES = 100
 SMOOTH = 0.5
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -84,12 +84,12 @@ class LanguageModel:
 
 def _count(lang_index: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(lang_index), BUCKETS), np.int64)
+        totals = np.zeros((len(lang_index), BUCKETS), np.uint32)
         docs = np.zeros(len(lang_index), np.int64)
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is not None and _LETTER.search(text):
-                    totals[lang_index[lang]] += np.bincount(_buckets(text), minlength=BUCKETS)
+                    totals[lang_index[lang]] += np.bincount(_buckets(text), minlength=BUCKETS).astype(np.uint32)
                     docs[lang_index[lang]] += 1
         seen = [k for k in range(len(docs)) if docs[k]]
         yield pa.RecordBatch.from_arrays(
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counted = picked.repartition(4).mapInArrow(_count({r.l: i for i, r in enumerate(found)}), "k int, docs long, totals binary").collect()
     totals, docs_of = np.zeros((len(found), BUCKETS)), np.zeros(len(found))
     for r in counted:
-        totals[r.k] += np.frombuffer(r.totals, np.int64)
+        totals[r.k] += np.frombuffer(r.totals, np.uint32)
         docs_of[r.k] += r.docs
     has = np.flatnonzero(docs_of)
     prior = np.array([r.n for r in found], float)[has]
