@@ -15,14 +15,27 @@ def per_group(df: DataFrame, by: str, cap: int, key: str, seed: int) -> DataFram
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).drop("_n")
 
 
+def hash_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """(key, rank): every row's place, from 1, in the order of a hash of its key.
+
+    The order's first 12 bits deal the rows to 4096 even ranges; each range is ranked by itself, and the
+    counts of the ranges before it, a table of that fixed size, are added. So no task gets all rows."""
+    order = hash_order(seed, F.col(key))
+    placed = df.select(key).withColumn("_range", F.conv(F.left(order[0], F.lit(3)), 16, 10).cast("int"))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_range", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = placed.withColumn("_own", own).join(F.broadcast(offsets), "_range")
+    return ranked.select(key, (F.col("_before") + F.col("_own")).alias("rank"))
+
+
 def split(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Add split: train, valid, test as 60, 20 and 20 in a hundred, the test share rounded up. Only the key
-    is ranked, in one task; the sample is some million rows at most, by its caps."""
+    """Add split: train, valid, test as 60, 20 and 20 in a hundred, the test share rounded up. The key
+    should be unique. Only the key is ranked, then joined back."""
     n = df.count()
     n_rest = (2 * n + 4) // 5
     n_test = (n_rest + 1) // 2
     n_train, n_valid = n - n_rest, n_rest - n_test
-    rank = F.row_number().over(Window.orderBy(*hash_order(seed, F.col(key))))
-    name = F.when(F.col("_n") <= n_train, "train").when(F.col("_n") <= n_train + n_valid, "valid").otherwise("test")
-    ranked = df.select(key).withColumn("_n", rank).select(key, name.alias("split"))
-    return df.join(ranked, key)
+    name = F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_valid, "valid").otherwise("test")
+    return df.join(hash_rank(df, key, seed).select(key, name.alias("split")), key)
