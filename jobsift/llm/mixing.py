@@ -32,7 +32,7 @@ class Marginal:
 
 def word_count(text: str = "text") -> Column:
     """Tokens of a text for weighting: its words, and one more for its end."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    trimmed = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
     return F.when(trimmed == "", 1).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 2).cast("long")
 
 

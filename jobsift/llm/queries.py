@@ -13,7 +13,7 @@ from .chosen_path import near_duplicates
 from .common import LOWER, UPPER, new_path, table
 from .histogram_sort import shard_by_bytes
 from .html_text import extract
-from .mixing import Marginal, mix
+from .mixing import ROUNDS, Marginal, mix
 from .packing import pack
 from .subspace_join import near_vectors
 
@@ -51,7 +51,8 @@ def op2_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), TARGETS, KEEP)
-    return mixed.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    rounded = [F.round(c, 6).alias(c) for c in ("weight", "probability")]
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", *rounded, "kept")
 
 
 def op4_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chosen_path_near_dedup": op10_chosen_path_near_dedup,
 }
 
+def _mixture_sql() -> str:
+    """Raking as a recursion over the cells, its three steps being window sums."""
+    shares = ", ".join(f"({i}, '{v}', {x!r}::double)" for i, m in enumerate(TARGETS) for v, x in m.targets.items())
+    label = [f"case when {m.column} in ({', '.join(repr(v) for v in m.targets)}) then {m.column} else 'other' end as c{i}" for i, m in enumerate(TARGETS)]
+    goals = ", ".join(
+        f"g{i} as (select v as c{i}, coalesce(share, 0) / sum(coalesce(share, 0)) over () * (select sum(n) from cells) as g{i}"
+        f" from (select distinct c{i} as v from cells) left join (select * from shares where i = {i}) using (v))"
+        for i in range(len(TARGETS))
+    )
+    step = "it where k < " + str(ROUNDS)
+    for i in range(len(TARGETS)):
+        step = f"(select * exclude (w), least({1 / KEEP!r}, w * coalesce(g{i} / nullif(sum(n * w) over (partition by c{i}), 0), 0)) as w from {step})"
+    return rf"""
+        with recursive shares(i, v, share) as (values {shares}),
+        s as (
+            select doc_id, source, lang, length(coalesce(text, '')) as size, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) as words from documents
+        ), t as (
+            select doc_id, source, lang, case when size < 400 then 'note' when size < 2000 then 'article' when size < 10000 then 'essay' else 'book' end as topic,
+                   case when words = '' then 1 else length(words) - length(replace(words, ' ', '')) + 2 end as tokens
+            from s
+        ), l as (
+            select *, {", ".join(label)} from t
+        ), cells as (
+            select c0, c1, c2, sum(tokens)::double as n from l group by c0, c1, c2
+        ), {goals}, it as (
+            select c0, c1, c2, n, g0, g1, g2, 0 as k, 1.0::double as w from cells join g0 using (c0) join g1 using (c1) join g2 using (c2)
+            union all
+            select c0, c1, c2, n, g0, g1, g2, k + 1 as k, w from {step}
+        )
+        select doc_id, source, lang, topic, tokens, round(w, 6) as weight, round(least(1.0, {KEEP!r} * w), 6) as probability,
+               cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) / {2.0**48!r} < least(1.0, {KEEP!r} * w) as kept
+        from l join it using (c0, c1, c2) where k = {ROUNDS}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_raked_mixture": _mixture_sql(),
     "op5_warc_round_trip": """
         with bits as (
             select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as digest from pages

@@ -60,8 +60,12 @@ def test_mix_query_equals_brute_force(spark):
             goal = np.array([m.targets.get(v, 0.0) for v in values])
             now = np.bincount(at, weights=w * factor)
             factor = np.minimum(1 / KEEP, factor * (goal / goal.sum() * total / now)[at])
-    assert np.allclose(got.weight, factor, rtol=1e-6)
-    assert np.allclose(got.probability, np.minimum(1, KEEP * factor), rtol=1e-6)
+    assert np.allclose(got.weight, factor, atol=1e-6)
+    assert np.allclose(got.probability, np.minimum(1, KEEP * factor), atol=1e-6)
+
+
+def test_mix_query_equals_sql(spark):
+    assert_same(QUERIES["op3_raked_mixture"](spark, SF), connect(SF), ORACLE_SQL["op3_raked_mixture"])
 
 
 def b32(data):
