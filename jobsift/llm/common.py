@@ -84,12 +84,12 @@ def ascii_lower(col: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Before an operator runs Python: hand it at most BATCH_ROWS rows at a time, and see that the
-    executors can import this package."""
+    """Before an operator runs Python: hand it at most BATCH_ROWS rows at a time. In local mode also see
+    that Python workers can import this package; on a cluster it is installed, or given as --py-files."""
     sc = spark.sparkContext
-    if not getattr(sc, "_jobsift_shipped", False):
+    if sc.master.startswith("local[") and not getattr(sc, "_jobsift_shipped", False):
         package = Path(__file__).resolve().parent.parent
-        made = Path(tempfile.mkdtemp(prefix="jobsift-")) / f"{package.name}.zip"  # the driver serves it to executors
+        made = Path(tempfile.mkdtemp(prefix="jobsift-")) / f"{package.name}.zip"
         with zipfile.ZipFile(made, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
