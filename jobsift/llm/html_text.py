@@ -40,11 +40,13 @@ _CLOSE_P = _BLOCKS - {"br"}
 _OUT = frozenset("nav footer aside form button select svg noscript template iframe object canvas dialog menu head audio video".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
+    "ad ads adbox adslot adunit adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices"
     " notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside widget widgets related recommended"
     " recommendations trending share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment"
     " comments commentlist disqus reply replies respond responses login search pagination pager paywall disclaimer copyright skiplink".split()
 )
+_BEGINNINGS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar")
+_NUMBERED = re.compile(r"(?:ads?|banner|comment|sidebar|widget)\d+")
 _STATE = frozenset("has with no not is without".split())
 _NOT_HIDING = frozenset("html body main article".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -82,7 +84,7 @@ def _named_out(attributes: str, tag: str, inside: bool) -> bool:
                 words = [w for w in re.split(r"[-_:]+", _CAMEL.sub("-", one).lower()) if w]
                 if not words or words[0] in _STATE:
                     continue
-                hit = {words[0], words[-1]} & _NAMES
+                hit = {w for w in (words[0], words[-1]) if w in _NAMES or w.startswith(_BEGINNINGS) or _NUMBERED.fullmatch(w)}
                 if inside:  # an article's own heading part
                     hit -= {"header"}
                 if tag in _NOT_HIDING:

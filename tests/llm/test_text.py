@@ -113,6 +113,8 @@ TEXT = "Title here First paragraph & more. Second one. Third"
 @pytest.mark.parametrize("page", [
     f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href=x>Home</a></nav><article>{ARTICLE}</article><footer>(c) us</footer></body>",
     f"<header><h2>Site</h2></header><main><div class='ad-slot'>Buy now</div>{ARTICLE}<section id=comments><p>I agree with all of this, dear author.</p></section></main><aside>more</aside>",
+    f"<div id='page'><div id='ad1'>x</div><main>{ARTICLE}<div class='cookiebar'>We use cookies</div><div class='adContainer'>Buy</div><ul class='comment-list'><li>Nice</li></ul></main></div>",
+    f"<article><header><h1>Title here</h1></header>{ARTICLE[19:]}<div role=complementary>x</div><p class=no-ads></p></article>",
     f"<article>{ARTICLE}<form><label>Mail</label><button>Go</button></form><div class='cookie-notice'>We use cookies</div></article>",
     f"<script>var a = '</p><article>';</script><!-- <article>no</article> --><article>{ARTICLE}<aside>Related</aside>",
     f"<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><article class='post has-sidebar'>{ARTICLE}</article><article class='comment'>Long comment by a reader who has very much to say about it.</article>",
