@@ -3,7 +3,7 @@
 Markup is stripped to lines, one for each block element. Text lengths of lines are summed over a sliding
 window; where the sum surges the article begins, where it dives to nothing it ends, and the lines between
 are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
-their element, role or class) and the text of links in mostly-link lines have no length; if a page marks
+their element, role or class) are left out, and lines that are mostly links have no length; if a page marks
 its article, lines outside have none either.
 """
 
@@ -192,9 +192,9 @@ def _regions(sizes: list[int], surge: float) -> Iterator[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     """The text of the article, blocks joined by a space; empty if there is none."""
-    lines = lines_of(page or "")
-    length = [0 if x.out or 2 * x.links > len(x.text) else len(x.text) for x in lines]
-    inside = [0 if x.out else len(x.text) for x in lines]
+    lines = [x for x in lines_of(page or "") if not x.out]
+    length = [0 if 2 * x.links > len(x.text) else len(x.text) for x in lines]
+    inside = [len(x.text) for x in lines]
     by_article: dict[int, int] = {}
     for x, n in zip(lines, length, strict=True):
         if x.article >= 0 and n:

@@ -127,6 +127,8 @@ def test_unmarked_article():
     para = "This sentence is long enough to be the text of an article, not a label of some menu. "
     page = f"<div><a href=1>Home</a></div><div><a href=2>News</a></div><div>Short</div><br><div></div><div></div><div></div><h1>Head</h1><p>{para}</p><p>{para}</p><p>End.</p><div></div><div></div><div></div><div class=footer>{para}</div><p>© 2020 someone</p>"
     assert html_text.main_text(page) == f"Head {para}{para}End."
+    ad = "<div class=ad>" + "<p>Buy</p>" * 9 + "</div>"
+    assert html_text.main_text(f"<h1>Head</h1><p>{para}</p>{ad}<p>{para}</p>") == f"Head {para}{para}".strip()
 
 
 def test_page_edges(spark):
