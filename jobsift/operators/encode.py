@@ -14,6 +14,10 @@ def label_ids(df: DataFrame, label: str) -> DataFrame:
     return distinct.withColumn("label_id", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("bigint"))
 
 
+def label_count(df: DataFrame, label: str) -> DataFrame:
+    return df.agg(F.countDistinct(label).alias("labels"))
+
+
 def encode(df: DataFrame, ids: DataFrame, label: str) -> DataFrame:
     """Add label_id; null for a label that isn't listed."""
     return df.join(ids, label, "left")

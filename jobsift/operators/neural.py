@@ -1,0 +1,152 @@
+"""Neural text classifiers on token ids. They need torch, which is optional and absent where this was written: the code below
+has not been run. Without torch every function but available() raises.
+
+Rows come from encode.tokens (input_ids, attention_mask) with label_id and loss_weight, stored as Parquet: each worker
+streams its own share of the files, so no table is collected.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql.types import ArrayType, FloatType
+
+try:
+    import torch
+except ImportError:
+    torch = None
+
+
+def available() -> bool:
+    return torch is not None
+
+
+def _need() -> None:
+    if torch is None:
+        raise ImportError("torch is not installed")
+
+
+def text_cnn(vocabulary: int, classes: int, width: int = 100, filters: int = 32, kernel: int = 3, hidden: int = 250, dropout: float = 0.0) -> Any:
+    """Embedding, one convolution, the largest value of each filter over the text, two linear layers. Returns log odds; the loss normalises them."""
+    _need()
+    nn = torch.nn
+
+    class Net(nn.Module):
+        def __init__(self) -> None:
+            super().__init__()
+            self.words = nn.Embedding(vocabulary, width, padding_idx=0)
+            self.look = nn.Sequential(nn.Conv1d(width, filters, kernel, padding=kernel // 2), nn.ReLU(), nn.AdaptiveMaxPool1d(1), nn.Flatten())
+            self.decide = nn.Sequential(nn.Linear(filters, hidden), nn.ReLU(), nn.Dropout(dropout), nn.Linear(hidden, classes))
+
+        def forward(self, ids: Any, mask: Any) -> Any:
+            return self.decide(self.look((self.words(ids) * mask.unsqueeze(-1)).transpose(1, 2)))
+
+    return Net()
+
+
+def text_lstm(vocabulary: int, classes: int, width: int = 100, hidden: int = 128, layers: int = 2, dropout: float = 0.5) -> Any:
+    """Embedding, a two-way recurrent net, and a linear layer on the states after the last real token."""
+    _need()
+    nn = torch.nn
+
+    class Net(nn.Module):
+        def __init__(self) -> None:
+            super().__init__()
+            self.words = nn.Embedding(vocabulary, width, padding_idx=0)
+            self.read = nn.LSTM(width, hidden, layers, batch_first=True, bidirectional=True, dropout=dropout)
+            self.decide = nn.Sequential(nn.Dropout(dropout), nn.Linear(2 * hidden, classes))
+
+        def forward(self, ids: Any, mask: Any) -> Any:
+            lengths = mask.sum(1).clamp(min=1).cpu()
+            packed = nn.utils.rnn.pack_padded_sequence(self.words(ids), lengths, batch_first=True, enforce_sorted=False)
+            _, (state, _) = self.read(packed)
+            return self.decide(torch.cat((state[-2], state[-1]), 1))
+
+    return Net()
+
+
+def _batches(path: str, rank: int, workers: int, size: int, seed: int) -> Iterator[tuple[Any, ...]]:
+    """This worker's files in a seeded order, as tensors of so many rows."""
+    import pyarrow.dataset as ds
+
+    files = sorted(ds.dataset(path).files)[rank::workers]
+    files = [files[i] for i in np.random.default_rng(seed).permutation(len(files))]
+    for f in files:
+        for b in ds.dataset(f).to_batches(columns=["input_ids", "attention_mask", "label_id", "loss_weight"], batch_size=size):
+            if b.num_rows:
+                ids, mask = (torch.tensor(np.stack(b.column(k).to_numpy(zero_copy_only=False)), dtype=torch.long) for k in (0, 1))
+                yield ids, mask, torch.tensor(b.column(2).to_numpy()), torch.tensor(b.column(3).to_numpy(), dtype=torch.float32)
+
+
+def _loss(model: Any, batch: tuple[Any, ...], device: Any) -> tuple[Any, Any]:
+    """Weighted sum of losses, and the weights' sum."""
+    ids, mask, label, weight = (x.to(device) for x in batch)
+    each = torch.nn.functional.cross_entropy(model(ids, mask), label, reduction="none")
+    return (each * weight).sum(), weight.sum()
+
+
+def fit(build: Callable[[], Any], train_path: str, valid_path: str, epochs: int = 10, rate: float = 1e-3, batch: int = 250, patience: int = 3, clip: float = 1.0, seed: int = 42) -> tuple[dict, float]:
+    """Weights of the epoch with the least validation loss, and that loss. Run it in TorchDistributor.run for several workers; alone it
+    uses one."""
+    _need()
+    dist = torch.distributed
+    many = dist.is_available() and "RANK" in os.environ
+    if many and not dist.is_initialized():
+        dist.init_process_group("nccl" if torch.cuda.is_available() else "gloo")
+    rank, workers = (dist.get_rank(), dist.get_world_size()) if many else (0, 1)
+    device = torch.device(f"cuda:{rank % torch.cuda.device_count()}" if torch.cuda.is_available() else "cpu")
+    torch.manual_seed(seed)
+    model = build().to(device)
+    steps = torch.optim.AdamW(model.parameters(), lr=rate)
+    falling = torch.optim.lr_scheduler.LinearLR(steps, 1.0, 0.0, epochs)
+    best, since = (None, float("inf")), 0
+    for epoch in range(epochs):
+        model.train()
+        for b in _batches(train_path, rank, workers, batch, seed + epoch):
+            steps.zero_grad()
+            total, weight = _loss(model, b, device)
+            (total / weight).backward()
+            torch.nn.utils.clip_grad_norm_(model.parameters(), clip)
+            steps.step()
+        falling.step()
+        if many:  # workers have unlike numbers of batches, so they meet once an epoch and average
+            for p in model.parameters():
+                dist.all_reduce(p.data)
+                p.data /= workers
+        model.eval()
+        with torch.no_grad():
+            sums = torch.zeros(2, device=device)
+            for b in _batches(valid_path, rank, workers, batch, seed):
+                sums += torch.stack(_loss(model, b, device))
+        if many:
+            dist.all_reduce(sums)
+        loss = float(sums[0] / sums[1])
+        if loss < best[1]:
+            best, since = ({k: v.cpu().clone() for k, v in model.state_dict().items()}, loss), 0
+        else:
+            since += 1
+            if since >= patience:
+                break
+    return best
+
+
+def predictor(build: Callable[[], Any], weights: dict, classes: int, length: int, batch: int = 250) -> Any:
+    """A column function of (input_ids, attention_mask): the scores of each class as an array of floats."""
+    _need()
+
+    def make() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        model = build()
+        model.load_state_dict({k.removeprefix("module."): v for k, v in weights.items()})
+        model.eval()
+
+        def predict(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+            with torch.no_grad():
+                return model(torch.tensor(ids, dtype=torch.long), torch.tensor(mask, dtype=torch.long)).numpy().astype(np.float32)
+
+        return predict
+
+    return predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=[[length], [length]])

@@ -29,6 +29,11 @@ def loss_weight(df: DataFrame, class_weights: DataFrame, label: str) -> DataFram
     return df.join(F.broadcast(class_weights), label, "left").withColumn("loss_weight", F.col("class_weight") * F.col("weight"))
 
 
+def shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """Rows in a seeded order, for training in batches."""
+    return df.orderBy(F.rand(seed))
+
+
 def evaluate(model: PipelineModel, df: DataFrame, metric: str, label: str = "label_id", weight: str = "loss_weight") -> float:
     scorer = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
     return (scorer.setWeightCol(weight) if metric == "logLoss" else scorer).evaluate(model.transform(df))

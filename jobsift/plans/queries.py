@@ -244,6 +244,16 @@ def label_encode(get):
     return encode.label_ids(get("documents"), "source")
 
 
+@_query("select count(distinct source) as labels from documents")
+def label_count(get):
+    return encode.label_count(get("documents"), "source")
+
+
+@_query("select doc_id, lang from documents")
+def batch_shuffle(get):
+    return train.shuffled(get("documents").select("doc_id", "lang"), 42)
+
+
 @_query("""
     with ids as (select source, cast(dense_rank() over (order by source) - 1 as bigint) as label_id from (select distinct source from documents))
     select doc_id, label_id from documents left join ids using (source)""")
