@@ -26,11 +26,16 @@ TRAIN_DOCS = 5_000
 LANGUAGES = 100
 SMOOTH = 0.5
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _NO_WORD = re.compile(r"[\W\d_]+")
 _MUL = np.uint32(0x9E3779B1)
 
 
+def has_letter(text: str) -> bool:
+    """Numbers such as fractions are word characters to a regular expression, but no letters."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def _buckets(text: str) -> np.ndarray:
     """Buckets of all n-grams of the lower-cased letters, runs of anything else being one space."""
     code = np.frombuffer((" " + _NO_WORD.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -66,7 +71,7 @@ class LanguageModel:
     def score(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """The likeliest language and its posterior probability; und and 0 without a letter."""
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-        own = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+        own = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
         if not own or not self.languages:
             return out
         for k in range(0, len(own), 64):
@@ -88,7 +93,7 @@ def _count(lang_index: dict[str, int]):
         docs = np.zeros(len(lang_index), np.int64)
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is not None and _LETTER.search(text):
+                if text is not None and has_letter(text):
                     totals[lang_index[lang]] += np.bincount(_buckets(text), minlength=BUCKETS).astype(np.uint32)
                     docs[lang_index[lang]] += 1
         seen = [k for k in range(len(docs)) if docs[k]]

@@ -20,23 +20,31 @@ from .shingles import word_hashes
 
 BUCKETS = 1 << 20
 #: Labelled rows that a model is fitted on at most (about; a hash of the id picks them).
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 12_000
 #: Words (buckets) with a weight in each model: those that tell most, by chi-square.
-WORDS_KEPT = 2_000
+WORDS_KEPT = 500
 FOLDS = 5
-RIDGE = 2.0
-ROUNDS = 25
+RIDGE = 0.1
+#: A word needs at least this chi-square: rare words that meet a label by chance have less.
+LEAST_CHI = 25.0
+ROUNDS = 12
 #: Bytes between words: ASCII other than letters and digits.
 GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def _words(texts: Sequence[str | None]) -> list[np.ndarray]:
+def words_of(texts: Sequence[str | None]) -> list[np.ndarray]:
     """Distinct word buckets of each text."""
     w, at = word_hashes(texts, GAP)
     w = (w >> np.uint64(44)).astype(np.int32)
     return [np.unique(w[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = pa.array([w.tobytes() for w in words_of(batch.column(0).to_pylist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([words, *batch.columns[1:]], names=["_words", *batch.schema.names[1:]])
+
+
 def _telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The WORDS_KEPT buckets of largest chi-square with the label."""
     n, pos = len(y), float(y.sum())
@@ -47,7 +55,7 @@ def _telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.where((df >= 3) & (wanted > 0), (hit - wanted) ** 2 / (wanted * (1 - df / n + 1e-9) * (1 - pos / n + 1e-9)), 0.0)
     best = np.argsort(-chi, kind="stable")[:WORDS_KEPT]
-    return np.sort(best[chi[best] > 0])
+    return np.sort(best[chi[best] >= LEAST_CHI])
 
 
 @dataclass(frozen=True)
@@ -88,18 +96,18 @@ def _fit_one(x: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> LinearM
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
         grad = backward(p - y) + ridge * w
-        if np.abs(grad).max() < 1e-3:
+        if np.abs(grad).max() < 1e-5 * n:
             break
         curve = np.maximum(p * (1 - p), 1e-6)
         step, res = np.zeros_like(w), -grad
         way, norm = res.copy(), res @ res
-        for _ in range(20):
+        for _ in range(15):
             seen = backward(curve * forward(way)) + ridge * way
             size = norm / (way @ seen)
             step += size * way
             res = res - size * seen
             new = res @ res
-            if new < 1e-4 * (grad @ grad):
+            if new < 1e-3 * (grad @ grad):
                 break
             way, norm = res + new / norm * way, new
         w += step
@@ -134,9 +142,9 @@ class ToxicityChain:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit_chain(texts: Sequence[str | None], labels: dict[str, np.ndarray], fold: np.ndarray) -> ToxicityChain:
-    """Fit on texts and 0/1 labels by category, in the order of the dict. fold: 0 to FOLDS - 1 a row."""
-    x = _words(texts)
+def fit_chain(x: list[np.ndarray], labels: dict[str, np.ndarray], fold: np.ndarray) -> ToxicityChain:
+    """Fit on the texts' words and 0/1 labels by category, in the order of the dict. fold: 0 to FOLDS - 1
+    for each text."""
     out_of_fold, models, cutoffs = np.zeros((len(x), 0)), [], []
     for y in labels.values():
         y = np.asarray(y, float)
@@ -153,8 +161,8 @@ def fit_chain(texts: Sequence[str | None], labels: dict[str, np.ndarray], fold:
 
 
 def _best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the best range by F1, within 0.2 to 0.8."""
-    tries = np.linspace(0.2, 0.8, 61)
+    """The middle of the best range by F1, within 0.1 to 0.9."""
+    tries = np.linspace(0.1, 0.9, 81)
     f1 = [2 * y[p >= t].sum() / max(1.0, (p >= t).sum() + y.sum()) for t in tries]
     return float(np.median(tries[np.array(f1) >= max(f1) - 1e-9]))
 
@@ -170,10 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text:
     marked = marked.filter(chance < min(1.0, train_docs / max(1, n)))
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(marked), "_id")
     fold = F.pmod(F.xxhash64(F.lit(4), "_id"), F.lit(FOLDS)).cast("int").alias("_fold")
-    got = rows.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), fold, *categories).toArrow()
+    rows = rows.select("_text", "_id", fold, *categories)
+    kind = schema_with(rows.drop("_text").select(F.lit(b"").alias("_words"), "*"))
+    got = rows.mapInArrow(_bag, kind).toArrow()
     order = np.argsort(got.column("_id").to_numpy(), kind="stable")
-    texts = got.column("_text").to_pylist()
-    return fit_chain([texts[i] for i in order], {c: got.column(c).to_numpy()[order] for c in categories}, got.column("_fold").to_numpy()[order])
+    words = got.column("_words").to_pylist()
+    return fit_chain([np.frombuffer(words[i], np.int32) for i in order], {c: got.column(c).to_numpy()[order] for c in categories}, got.column("_fold").to_numpy()[order])
 
 
 def classify(docs: DataFrame, chain: ToxicityChain, text: str = "text") -> DataFrame:
