@@ -153,6 +153,15 @@ def _mixture_sql() -> str:
         from l join it using (c0, c1, c2) where k = {ROUNDS}"""
 
 
+#: Smallest node that each node reaches by links l(a, b).
+_REACHED = """e as (
+            select a, b from l union all select b, a from l
+        ), r(node, root) as (
+            select id, id from ids union select e.b, r.root from r join e on e.a = r.node
+        ), c as (
+            select node as id, min(root) as component_id from r group by node
+        )"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_raked_mixture": _mixture_sql(),
     "op5_warc_round_trip": """
@@ -168,6 +177,17 @@ ORACLE_SQL: dict[str, str] = {
                case when page_id > first then 'revisit' else 'response' end as record_type,
                case when page_id > first then first end as refers_to
         from based""",
+    "op7_subspace_near_vectors": f"""
+        with recursive ids as (
+            select vec_id as id from embeddings
+        ), v as (
+            select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null
+        ), n as (
+            select vec_id, v, sqrt(list_dot_product(v, v)) as s from v where isfinite(list_dot_product(v, v)) and list_dot_product(v, v) > 0
+        ), l as (
+            select x.vec_id as a, y.vec_id as b from n x join n y on x.vec_id < y.vec_id where list_dot_product(x.v, y.v) / (x.s * y.s) >= 0.95
+        ), {_REACHED}
+        select id as vec_id, (select count(*) from e where e.a = c.id) as n_links, component_id, id = component_id as kept from c""",
     "op8_bloom_exact_dedup": f"""
         with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as norm from documents)
         select doc_id, max(doc_id) over (partition by norm) as keep_id,
@@ -175,4 +195,21 @@ ORACLE_SQL: dict[str, str] = {
                row_number() over (partition by norm order by doc_id desc) = 1 as kept,
                sha256(norm) as text_sha256
         from t""",
+    "op10_chosen_path_near_dedup": rf"""
+        with recursive ids as (
+            select doc_id as id from documents
+        ), w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents
+        ), g as (
+            select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                when len(w) > 0 then [array_to_string(w, ' ')] end) as g
+            from w
+        ), n as (
+            select doc_id, count(*) as n from g group by doc_id
+        ), p as (
+            select x.doc_id as a, y.doc_id as b, count(*) as k from g x join g y on x.g = y.g and x.doc_id < y.doc_id group by all
+        ), l as (
+            select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 85 * (x.n + y.n - k)
+        ), {_REACHED}
+        select id as doc_id, coalesce(n.n, 0) as n_shingles, component_id, id = component_id as kept from c left join n on id = n.doc_id""",
 }

@@ -38,7 +38,9 @@ def test_exact_edges(spark):
     assert exact_dedup(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr("jobsift.llm.components.BROADCAST_ROWS", rows)
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(5, 5), (1, 0), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -127,6 +129,10 @@ def test_near_empty(spark):
     assert near_duplicates(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")).filter("kept").count() == 2
 
 
+def test_near_query_equals_sql(spark):
+    assert_same(QUERIES["op10_chosen_path_near_dedup"](spark, SF), connect(SF), ORACLE_SQL["op10_chosen_path_near_dedup"])
+
+
 def test_near_query(spark):
     got = QUERIES["op10_chosen_path_near_dedup"](spark, "/root/testdata/sf0.001").toPandas().sort_values("doc_id")
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()

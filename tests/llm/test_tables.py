@@ -165,6 +165,10 @@ def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
     assert sorted(got, key=key) == sorted(brute_vectors([(i, v) for i, v in rows]), key=key)
 
 
+def test_vectors_query_equals_sql(spark):
+    assert_same(QUERIES["op7_subspace_near_vectors"](spark, SF), connect(SF), ORACLE_SQL["op7_subspace_near_vectors"])
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert subspace_join.near_vectors(df).count() == 0
