@@ -66,11 +66,12 @@ def screened_title_counts(get):
 
 @_query("""
     select 'c' || c_custkey as posting_id, c_name as company_id, c_mktsegment as company_name, cast(c_nationkey as varchar) as city,
-           case when c_custkey % 3 <> 0 then 'x' end as source
-    from customer where c_custkey % 5 <> 0""")
+           case when c_acctbal >= 0 then 'x' end as source
+    from customer where c_mktsegment <> 'BUILDING'""")
 def parse_lines_of_fields(get):
-    some = F.when(F.col("c_custkey") % 3 == 0, "@!".join("x" * 10)).otherwise("@!".join("x" * 11))
-    many = F.when(F.col("c_custkey") % 5 == 0, "@!@!@!").otherwise("")
+    """Lines of 14 fields for accounts in debt, of 15 for others, and of too many for one segment."""
+    some = F.when(F.col("c_acctbal") >= 0, "@!".join("x" * 11)).otherwise("@!".join("x" * 10))
+    many = F.when(F.col("c_mktsegment") == "BUILDING", "@!@!@!").otherwise("")
     fields = [F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_name", "c_mktsegment", F.col("c_nationkey").cast("string"), F.concat(some, many)]
     return parse_lines(get("customer").select(F.concat_ws("@!", *fields).alias("value"))).select("posting_id", "company_id", "company_name", "city", "source")
 
@@ -218,9 +219,11 @@ def unpassed_pool(get):
 
 @_query("""
     with pool as (
-        select doc_id, lang as soc_code from documents join labels using (doc_id)
+        select doc_id, lang as soc_code, quality from documents join labels using (doc_id)
     ), checked as (
-        select doc_id, lang as soc_code, case when quality = 1 then 'Yes' else 'No' end as true_ind from documents join labels using (doc_id) where doc_id % 3 = 0
+        select doc_id, soc_code, case when quality = 1 then 'Yes' else 'No' end as true_ind from (
+            select *, row_number() over (partition by soc_code order by md5('42:' || cast(doc_id as varchar)), doc_id) as n from pool)
+        where n <= 30
     ), part1 as (
         select * from checked where true_ind = 'Yes'
     ), part2 as (
@@ -233,7 +236,7 @@ def unpassed_pool(get):
     from (select * from part1 union all select * from part2) where soc_code not like 'es%'""")
 def estimation_sample(get):
     pool = get("documents").join(get("labels"), "doc_id").select("doc_id", F.col("lang").alias("soc_code"), "quality")
-    checked = pool.filter("doc_id % 3 = 0").withColumn("answer", F.when(F.col("quality") == 1, "Yes.").otherwise("No."))
+    checked = sampling.per_group(pool, "soc_code", 30, "doc_id", 42).withColumn("answer", F.when(F.col("quality") == 1, "Yes.").otherwise("No."))
     checked = assemble.checked_answers(checked).drop("answer", "quality")
     cfg = replace(Config(), rest_cap=40, excluded_code_prefix="es")
     return assemble.estimation(pool.drop("quality"), checked, cfg, "doc_id")
@@ -381,14 +384,14 @@ def argmax_prediction(get):
 @_query("""
     with chars as (select unnest(string_split(text, '')) as token from documents),
     v as (select token, row_number() over (order by n desc, token) + 1 as id from (select token, count(*) as n from chars where token <> '' group by token order by n desc, token limit 64)),
-    f as (select doc_id, left(repeat(source || ' ', 2) || text, 24) as t from documents),
-    c as (select doc_id, i, substr(t, i, 1) as token from f, unnest(range(1, 25)) as r(i)),
+    f as (select doc_id, left(repeat(source || ' ', 2) || text, 512) as t from documents),
+    c as (select doc_id, i, substr(t, i, 1) as token from f, unnest(range(1, 513)) as r(i)),
     k as (select doc_id, i, case when c.token = '' then 0 else coalesce(v.id, 1) end as id from c left join v on c.token = v.token)
     select doc_id, string_agg(cast(id as varchar), ',' order by i) as input_ids, string_agg(case when id = 0 then '0' else '1' end, ',' order by i) as attention_mask
     from k group by doc_id""")
 def token_ids(get):
     docs = get("documents")
-    out = encode.tokens(docs, encode.vocabulary(docs, "text", 64), 24, "source", "text")
+    out = encode.tokens(docs, encode.vocabulary(docs, "text", 64), Config().max_length, "source", "text")
     return out.select("doc_id", *[F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("input_ids", "attention_mask")])
 
 
@@ -407,7 +410,7 @@ def union_missing_columns(get):
 @_query()
 def train_predict(get):
     """Fit a classifier of the language on the training split and report on the test split."""
-    docs = get("documents").select("doc_id", "lang", F.lit("").alias("title"), F.substring("text", 1, 2000).alias("description"))
+    docs = get("documents").select("doc_id", "lang", F.lit("").alias("title"), F.col("text").alias("description"))
     ids = encode.label_ids(docs, "lang")
     whole = encode.encode(sampling.split(docs, "doc_id", 42), ids, "lang").withColumn("text", C.feature_text(F.col("title"), F.col("description"), 2)).withColumn("weight", F.lit(1.0))
     fit_on = whole.filter("split = 'train'")
