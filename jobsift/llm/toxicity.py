@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, small_batches
+from .common import lean, schema_with, small_batches
 from .shingles import word_hashes
 
 BUCKETS = 1 << 20
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text:
     fold = F.pmod(F.xxhash64(F.lit(4), "_id"), F.lit(FOLDS)).cast("int").alias("_fold")
     rows = rows.select("_text", "_id", fold, *categories)
     kind = schema_with(rows.drop("_text").select(F.lit(b"").alias("_words"), "*"))
-    got = rows.mapInArrow(_bag, kind).toArrow()
+    got = rows.mapInArrow(lean(_bag), kind).toArrow()
     order = np.argsort(got.column("_id").to_numpy(), kind="stable")
     words = got.column("_words").to_pylist()
     return fit_chain([np.frombuffer(words[i], np.int32) for i in order], {c: got.column(c).to_numpy()[order] for c in categories}, got.column("_fold").to_numpy()[order])
@@ -206,4 +206,4 @@ def classify(docs: DataFrame, chain: ToxicityChain, text: str = "text") -> DataF
             )
 
     kinds = {n: "double" if n.startswith("p_") else "boolean" for n in new}
-    return docs.mapInArrow(run, schema_with(docs, **kinds))
+    return docs.mapInArrow(lean(run), schema_with(docs, **kinds))
