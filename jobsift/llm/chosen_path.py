@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, small_batches, stage, unstage
+from .common import BROADCAST_ROWS, join_groups, lean, small_batches, stage, unstage
 from .components import Forest, components
 from .shingles import minhashes, mix, set_key, shingle_sets
 
@@ -218,14 +218,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     threshold = share[0] / share[1]
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    sketch = stage(docs.mapInArrow(_sketch, f"id {id_type}, n long, cid binary, sig binary, low binary"), "sketch")
+    sketch = stage(docs.mapInArrow(lean(_sketch), f"id {id_type}, n long, cid binary, sig binary, low binary"), "sketch")
     classes = sketch.filter("cid is not null").groupBy("cid").agg(
         F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("low").alias("low")
     )
     classes = stage(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
     leaves: list[DataFrame] = []
-    rows = classes.select("rid", "sig").mapInArrow(_branch(threshold, _roots(threshold)), "path long, rid long")
+    rows = classes.select("rid", "sig").mapInArrow(lean(_branch(threshold, _roots(threshold))), "path long, rid long")
     for depth in range(DEPTH):
         counts = rows.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
         met = stage(rows.join(counts, "path"), "nodes")
@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         if large.isEmpty():
             break
         if depth < DEPTH - 1:
-            rows = large.select("path", "rid").join(classes.select("rid", "sig"), "rid").mapInArrow(_branch(threshold, None), "path long, rid long")
+            rows = large.select("path", "rid").join(classes.select("rid", "sig"), "rid").mapInArrow(lean(_branch(threshold, None)), "path long, rid long")
+            rows = stage(rows, "branches")
             continue
         # still too large for one task: meet in pairs of blocks
         half = NODE_ROWS // 2
@@ -243,7 +244,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         leaves.append(dealt.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rid"))
     nodes = reduce(DataFrame.union, leaves)
     signed = nodes.join(classes.select("rid", "n", "low"), "rid")
-    similar = signed.repartition("path").sortWithinPartitions("path").mapInArrow(_compare_nodes(share), "a long, b long")
+    similar = signed.repartition("path").sortWithinPartitions("path").mapInArrow(lean(_compare_nodes(share)), "a long, b long")
     clusters = components(similar).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
     clusters = clusters.join(classes.select("rid", "cid", "rep", "n"), "rid")
     sizes = clusters.groupBy("cluster").agg(
@@ -254,12 +255,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     n_clustered = clusters.count()
     wanted = clusters.select("cluster", "rid", "blocks", "cid", "rep")
     there = docs.join(F.broadcast(wanted) if n_clustered <= BROADCAST_ROWS else wanted, docs["id"].eqNullSafe(wanted["rep"]))
-    sets = there.select("cluster", "rid", "blocks", "cid", "text").mapInArrow(_sets_of, "cluster long, rid long, blocks long, hashes binary")
+    sets = there.select("cluster", "rid", "blocks", "cid", "text").mapInArrow(lean(_sets_of), "cluster long, rid long, blocks long, hashes binary")
     sets = sets.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
     tasks = sets.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "hashes")
-    links = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirm(share), "a long, b long")
+    links = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lean(_confirm(share)), "a long, b long")
     linked = components(links).withColumnRenamed("node", "rid")
 
     named = classes.select("rid", "cid", "rep", "copies").join(linked, "rid", "left").withColumn("root", F.coalesce("root", "rid"))

@@ -7,7 +7,7 @@ from collections.abc import Hashable, Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import BROADCAST_ROWS, stage, unstage
 
 
 class Forest:
@@ -49,39 +49,41 @@ def stars_of(links: Iterable[tuple[Hashable, Hashable]]) -> list[tuple[Hashable,
     return list(f.stars())
 
 
-def _min_of_each(e: DataFrame) -> DataFrame:
-    return e.groupBy("u").agg(F.min("v").alias("m"))
+def _min_of_each(e: DataFrame, few: bool) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    return F.broadcast(least) if few else least
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, few: bool) -> DataFrame:
+    """Link the larger neighbours of each node to its smallest neighbour, or to itself if it is smaller."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _min_of_each(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    met = both.join(_min_of_each(both, few), "u").filter("v > u")
+    return met.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _min_of_each(down)
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+def _small_star(e: DataFrame, few: bool) -> DataFrame:
+    """Link each node and its smaller neighbours to the smallest of them. Links point to the smaller node."""
+    met = e.join(_min_of_each(e, few), "u")
+    ends = F.explode(F.array("u", "v")).alias("u")
+    return met.select(ends, F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link, root the smallest node of its component.
 
     Nulls in a link are ignored; self-links and repeated links do no harm. No step collects rows to
-    the driver: minima are pre-aggregated, hub nodes meet in a join that adaptive execution splits,
-    and every round is written to the shared folder."""
+    the driver: minima are pre-aggregated, hub nodes meet in a join that adaptive execution splits (one
+    that is broadcast while there are at most BROADCAST_ROWS links), and every round is written to the
+    shared folder."""
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = stage(e, "links")
-    state = None
-    while True:
-        after = stage(_small_star(_large_star(e)), "links")
+    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    state, n = None, e.count()
+    while n:
+        after = stage(_small_star(_large_star(e, n <= BROADCAST_ROWS), n <= BROADCAST_ROWS), "links")
         seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         unstage(e)
-        e = after
-        if seen == state or seen[0] == 0:
+        e, n = after, seen[0]
+        if seen == state:
             break
         state = seen
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

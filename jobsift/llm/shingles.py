@@ -14,7 +14,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = int(_RNG.integers(1, 2**63)) | 1
 _STEP = _RNG.integers(1, 2**63, size=WORDS + 1, dtype=np.uint64) | np.uint64(1)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
