@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, small_batches, stage, unstage
+from .common import join_groups, lean, small_batches, stage, unstage
 from .components import Forest, components
 
 BLOCK_DIMS = 16
 #: Pivots are a sample of the vectors, one for each CHUNK of them and at most MAX_CELLS.
-CHUNK, MAX_CELLS = 4096, 512
+CHUNK, MAX_CELLS = 8192, 512
 #: Rows of a chunk that are compared at once; bounds memory.
 STRIPE = 512
 #: Block distances are found in single precision; this covers its error.
@@ -39,34 +39,35 @@ def _blocks(dims: int) -> list[slice]:
     return [slice(a, min(a + BLOCK_DIMS, dims)) for a in range(0, dims, BLOCK_DIMS)]
 
 
-def _units(dims: int):
-    """(id, cid, unit): the vector over its length in doubles, and a name for the vector; null for those
-    that can't link. Shorter vectors are filled up with zeros."""
+def _named(dims: int, kind: str):
+    """(id, cid, vec): the vector in its own precision, and a name for it; null for those that can't link.
+    Shorter vectors are filled up with zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cids: list[bytes | None] = []
-            units: list[bytes | None] = []
+            vecs: list[bytes | None] = []
             for v in batch.column(1).to_pylist():
-                x = np.zeros(dims) if v is None or None in v else np.pad(np.asarray(v, float), (0, dims - len(v))) + 0.0
-                top = np.abs(x).max(initial=0.0)
-                if not np.isfinite(top) or top == 0:
-                    cids.append(None)
-                    units.append(None)
-                    continue
-                y = x / top
-                cids.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                units.append((y / np.sqrt(y @ y)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, pa.binary()), pa.array(units, pa.binary())], names=["id", "cid", "unit"])
+                x = np.zeros(dims, kind)
+                if v is not None and None not in v:
+                    x[: len(v)] = v
+                    x += 0  # no negative zeros
+                own = np.isfinite(x).all() and x.any()
+                vecs.append(x.tobytes() if own else None)
+                cids.append(hashlib.blake2b(vecs[-1], digest_size=16).digest() if own else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "cid", "vec"])
 
     return run
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dims)
+def _units(data: bytes, dims: int, kind: str) -> np.ndarray:
+    """Unit vectors in doubles, scaled first so that no square overflows."""
+    x = np.frombuffer(data, kind).reshape(-1, dims).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _assign(pivots: np.ndarray, dims: int):
+def _assign(pivots: np.ndarray, dims: int, kind: str):
     """The nearest pivot of each vector, and its distance from it in each block."""
     blocks, turn = _blocks(dims), _rotation(dims)
     centres = pivots @ turn
@@ -74,13 +75,13 @@ def _assign(pivots: np.ndarray, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("unit"), dims)
+                x = _units(b"".join(batch.column("vec").to_pylist()), dims, kind)
                 cell = (x @ pivots.T).argmax(axis=1)
                 off = x @ turn - centres[cell]
                 far = [np.sqrt((off[:, b] ** 2).sum(axis=1)) for b in blocks]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rid"), batch.column("copies"), pa.array(cell, pa.int64()), batch.column("unit"), *map(pa.array, far)],
-                    names=["rid", "copies", "cell", "unit", *(f"far{i}" for i in range(len(blocks)))],
+                    [batch.column("rid"), batch.column("copies"), pa.array(cell, pa.int64()), batch.column("vec"), *map(pa.array, far)],
+                    names=["rid", "copies", "cell", "vec", *(f"far{i}" for i in range(len(blocks)))],
                 )
 
     return run
@@ -91,15 +92,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, held = None, ([], [], [])
 
     def out() -> pa.RecordBatch:
-        rid, copies, unit = held
-        blobs = [np.array(rid, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), b"".join(unit)]
+        rid, copies, vec = held
+        blobs = [np.array(rid, np.int64).tobytes(), np.array(copies, np.int64).tobytes(), b"".join(vec)]
         return pa.RecordBatch.from_arrays(
             [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)],
-            names=["cell", "chunk", "rids", "copies", "units"],
+            names=["cell", "chunk", "rids", "copies", "vecs"],
         )
 
     for batch in batches:
-        for cell, chunk, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "chunk", "rid", "copies", "unit")), strict=True):
+        for cell, chunk, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "chunk", "rid", "copies", "vec")), strict=True):
             if (cell, chunk) != key:
                 if key is not None:
                     yield out()
@@ -128,7 +129,7 @@ def range_join(a: np.ndarray, b: np.ndarray, turn: np.ndarray, budget: float) ->
         yield i + at, j
 
 
-def _compare(dims: int, cosine: float):
+def _compare(dims: int, kind: str, cosine: float):
     """Counts of links (rid, links) and a spanning forest (a, b) of each pair of chunks."""
     turn = _rotation(dims)
 
@@ -139,7 +140,7 @@ def _compare(dims: int, cosine: float):
                 same = (row["c1"], row["k1"]) == (row["c2"], row["k2"])
                 rid = [np.frombuffer(row[f"rids{k}"], np.int64) for k in (1, 2)]
                 copies = [np.frombuffer(row[f"copies{k}"], np.int64) for k in (1, 2)]
-                unit = [np.frombuffer(row[f"units{k}"], np.float64).reshape(-1, dims) for k in (1, 2)]
+                unit = [_units(row[f"vecs{k}"], dims, kind) for k in (1, 2)]
                 links = [np.zeros(len(r), np.int64) for r in rid]
                 for i, j in range_join(*unit, turn, 2 * (1 - cosine)):
                     if same:
@@ -180,21 +181,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     spark = vectors.sparkSession
     small_batches(spark)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    kind = rows.schema["id"].dataType.simpleString()
+    id_type = rows.schema["id"].dataType.simpleString()
+    kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
     dims = int(rows.agg(F.max(F.size("v"))).first()[0] or 0)
     dims = max(dims, 1)
-    units = stage(rows.mapInArrow(_units(dims), f"id {kind}, cid binary, unit binary"), "units")
-    classes = units.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("unit").alias("unit"))
+    named_rows = stage(rows.mapInArrow(lean(_named(dims, kind)), f"id {id_type}, cid binary, vec binary"), "vectors")
+    classes = named_rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("vec").alias("vec"))
     classes = stage(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    n_rows, n = units.count(), classes.count()
+    n_rows, n = named_rows.count(), classes.count()
 
     cells = min(MAX_CELLS, -(-n // CHUNK))
-    pivots = classes.orderBy(F.xxhash64(F.lit(5), "rid"), "rid").limit(cells).select("unit").toArrow().column(0)
-    pivots = np.frombuffer(b"".join(pivots.to_pylist()), np.float64).reshape(-1, dims)
+    pivots = classes.orderBy(F.xxhash64(F.lit(5), "rid"), "rid").limit(cells).select("vec").toArrow().column(0)
+    pivots = _units(b"".join(pivots.to_pylist()), dims, kind)
     blocks = _blocks(dims)
     far = [f"far{i}" for i in range(len(blocks))]
-    placed = classes.select("rid", "copies", "unit").mapInArrow(
-        _assign(pivots, dims), "rid long, copies long, cell long, unit binary, " + ", ".join(f"{c} double" for c in far)
+    placed = classes.select("rid", "copies", "vec").mapInArrow(
+        lean(_assign(pivots, dims, kind)), "rid long, copies long, cell long, vec binary, " + ", ".join(f"{c} double" for c in far)
     )
     placed = stage(placed, "placed")
     found = placed.groupBy("cell").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in far]).collect()  # MAX_CELLS rows at most
@@ -203,13 +205,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
 
     size_of = F.broadcast(spark.createDataFrame([(r.cell, -(-r.rows // CHUNK)) for r in found] or [(-1, 1)], "cell long, n long"))
     dealt = placed.drop(*far).join(size_of, "cell").withColumn("chunk", F.pmod(F.xxhash64(F.lit(6), "rid"), F.col("n")))
-    chunks = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk").mapInArrow(_chunks, "cell long, chunk long, rids binary, copies binary, units binary")
+    chunks = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk").mapInArrow(lean(_chunks), "cell long, chunk long, rids binary, copies binary, vecs binary")
     chunks = stage(chunks, "chunks")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     tasks = pair_of.withColumn("k1", upto("n1")).withColumn("k2", upto("n2")).filter("c1 <> c2 or k1 <= k2").select("c1", "k1", "c2", "k2")
-    side = lambda k: chunks.select(F.col("cell").alias(f"c{k}"), F.col("chunk").alias(f"k{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("rids", "copies", "units")])
+    side = lambda k: chunks.select(F.col("cell").alias(f"c{k}"), F.col("chunk").alias(f"k{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("rids", "copies", "vecs")])
     met = tasks.join(side(1), ["c1", "k1"]).repartition("c1", "k1", "c2", "k2").join(side(2), ["c2", "k2"])
-    said = stage(met.mapInArrow(_compare(dims, cosine), "rid long, links long, a long, b long"), "links")
+    said = stage(met.mapInArrow(lean(_compare(dims, kind, cosine)), "rid long, links long, a long, b long"), "links")
 
     links = said.filter("rid is not null").groupBy("rid").agg(F.sum("links").alias("links"))
     roots = components(said.filter("a is not null").select("a", "b")).withColumnRenamed("node", "rid")
@@ -217,7 +219,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     named = stage(named.filter("copies > 1 or links is not null").withColumn("root", F.coalesce("root", "rid")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     names = named.join(least, "root").select("cid", "component_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = join_groups(units.select("id", "cid"), stage(names, "names"), "cid", "copies", n_rows, "left")
+    out = join_groups(named_rows.select("id", "cid"), stage(names, "names"), "cid", "copies", n_rows, "left")
     component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"))
     unstage(classes, placed, chunks, said, named)
