@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, small_batches
+from .common import lean, schema_with, small_batches
 
 WINDOW = 3
 #: The window sum at which an article begins, on a page that doesn't mark its article.
@@ -234,4 +234,4 @@ def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
             rest = [i for i in range(batch.num_columns) if i != k]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), text], names=[*(batch.schema.names[i] for i in rest), "text"])
 
-    return pages.mapInArrow(run, schema_with(pages.drop(markup), text="string")).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.mapInArrow(lean(run), schema_with(pages.drop(markup), text="string")).withColumn("n_chars", F.length("text").cast("long"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, small_batches
+from .common import lean, schema_with, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     shares = F.create_map(*[x for r in found for x in (F.lit(r.l), F.lit(min(1.0, train_docs / r.n)))])
     chance = F.pmod(F.xxhash64(F.lit(2), F.col(key)), F.lit(1_000_000)) / 1_000_000
     picked = rows.filter(chance < F.coalesce(shares[F.col(lang)], F.lit(0.0))).select(text, lang)
-    counted = picked.repartition(4).mapInArrow(_count({r.l: i for i, r in enumerate(found)}), "k int, docs long, totals binary").collect()
+    counted = picked.repartition(4).mapInArrow(lean(_count({r.l: i for i, r in enumerate(found)})), "k int, docs long, totals binary").collect()
     totals, docs_of = np.zeros((len(found), BUCKETS)), np.zeros(len(found))
     for r in counted:
         totals[r.k] += np.frombuffer(r.totals, np.uint32)
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema_with(docs, lang_pred="string", score="double"))
+    return docs.mapInArrow(lean(run), schema_with(docs, lang_pred="string", score="double"))
 
 
 def is_held_out(key: Column) -> Column:

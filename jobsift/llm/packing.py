@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, small_batches
 
 WINDOW = 1024
 TIERS = (1024, 512, 256)
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_i
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     schema = T.StructType([T.StructField("doc_id", kind), *T.StructType.fromDDL(_SCHEMA.format(id="long")).fields[1:]])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(lean(run), schema)
 
 
 def crc32_of(ids: Sequence[int]) -> int:
