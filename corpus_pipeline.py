@@ -19,6 +19,8 @@ from jobsift.llm.queries import KEEP, TARGETS, ranks_path
 
 #: A document is rejected if no language is at least so likely.
 LEAST_SCORE = 0.5
+#: Documents are near-duplicates from this Jaccard similarity of their 5-word shingle sets.
+NEAR = (80, 100)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     tells documents with equal ids apart; rows that repeat both stay or go together, and the stage before
     leaves none."""
     marked = docs.withColumn("_jobsift_key", F.struct("doc_id", F.xxhash64("text").alias("text")))
-    found = near_duplicates(marked.select("_jobsift_key", "text"), key="_jobsift_key")
+    found = near_duplicates(marked.select("_jobsift_key", "text"), key="_jobsift_key", share=NEAR)
     gone = stage(found.filter("not kept").select(F.col("_jobsift_key").alias("_jobsift_gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return marked.join(gone, F.col("_jobsift_key").eqNullSafe(F.col("_jobsift_gone")), "left_anti").select(docs.columns)

@@ -29,14 +29,18 @@ TREES = 10
 THRESHOLD, SURVIVE = (85, 100), 1.25
 NODE_ROWS = 1024
 DEPTH = 4
-#: Signatures must agree in this share: four standard deviations below the wanted similarity.
-AGREE = 0.72
+#: Signatures must agree in a share that lies so many standard deviations below the wanted similarity.
+AGREE_DEVIATIONS = 4
 #: A block of a large cluster has at most about so many classes, and so many shingles in all.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _agree(threshold: float) -> float:
+    return threshold - AGREE_DEVIATIONS * (threshold * (1 - threshold) / SIGNATURE) ** 0.5
+
+
 def _chosen(path: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the SIGNATURE positions each node branches on."""
     at = mix(path.astype(np.uint64)[:, None] + np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -126,6 +130,7 @@ def _edges(forest: Forest) -> pa.RecordBatch:
 
 def _compare_nodes(share: tuple[int, int]):
     """Similar pairs by signature and set size of each node; their spanning forest."""
+    least = _agree(share[0] / share[1]) * SIGNATURE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -144,7 +149,7 @@ def _compare_nodes(share: tuple[int, int]):
                 i, j = i[fits], j[fits]
                 for at in range(0, len(i), 1 << 15):
                     x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-                    near = (sig[x] == sig[y]).sum(axis=1) >= AGREE * SIGNATURE
+                    near = (sig[x] == sig[y]).sum(axis=1) >= least
                     for p, q in zip(rid[x[near]].tolist(), rid[y[near]].tolist(), strict=True):
                         forest.join(p, q)
         yield _edges(forest)

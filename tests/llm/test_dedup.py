@@ -1,5 +1,6 @@
 """Exact and near deduplication against brute force."""
 
+import math
 import random
 import re
 
@@ -138,3 +139,27 @@ def test_near_query(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     sizes, want = brute([tuple(r) for r in rows])
     assert got.n_shingles.tolist() == sizes and got.component_id.tolist() == want
+
+
+def test_near_stage_equals_brute_force_at_its_share(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):  # pairs with Jaccard similarities from 0.74 to 0.88 by words changed at the end
+        w = [f"p{i}w{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 104 - (6 + i % 10)] + [f"x{rng.randrange(10**9)}" for _ in range(6 + i % 10)]))]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)]
+    assert any(0.8 <= x < 0.85 for x in share) and any(x < 0.8 for x in share) and any(x >= 0.85 for x in share)
+    want = {rows[i][0] for i in range(len(rows)) if i % 2 == 0 or share[i // 2] < 0.8}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.near_deduplicated(spark, docs, SF).collect()} == want
+    monkeypatch.setattr(chosen_path, "NODE_ROWS", 8)
+    assert {r.doc_id for r in p.near_deduplicated(spark, docs, SF).collect()} == want
+
+
+def test_signatures_follow_the_share():
+    for share in (0.5, 0.8, 0.85, 0.95):
+        lost = sum(math.comb(128, k) * share**k * (1 - share) ** (128 - k) for k in range(129) if k < chosen_path._agree(share) * 128)
+        assert lost < 5e-4
