@@ -20,7 +20,8 @@ TOLERANCE = 1e-9
 
 @dataclass(frozen=True)
 class Marginal:
-    """A column's target shares by value. Values that aren't named, and null, count as other."""
+    """A column's target shares by value. Values that aren't named, and null, count as other; where other
+    has no target, mix() gives it the share of tokens that it has."""
 
     column: str
     targets: dict[str, float]
@@ -42,6 +43,18 @@ def form_topic(text: str = "text") -> Column:
     return F.when(size < 400, "note").when(size < 2000, "article").when(size < 10000, "essay").otherwise("book")
 
 
+def with_observed_other(cells: dict[tuple[str, ...], float], marginals: list[Marginal]) -> list[Marginal]:
+    """The marginals, other having its own share of all tokens where it has tokens but no target."""
+    total, out = sum(cells.values()), []
+    for i, m in enumerate(marginals):
+        rest = sum(n for c, n in cells.items() if c[i] == OTHER)
+        if rest and OTHER not in m.targets:
+            named = sum(m.targets.get(v, 0.0) for v in {c[i] for c, n in cells.items() if n})
+            m = Marginal(m.column, {**m.targets, OTHER: named * rest / (total - rest) if named else 1.0})
+        out.append(m)
+    return out
+
+
 def rake(cells: dict[tuple[str, ...], float], marginals: list[Marginal], cap: float | None = None) -> dict[tuple[str, ...], float]:
     """A factor for each cell, so that the factors times the cells' tokens have the target shares and sum
     to the cells' sum. Shares of values without tokens go to the others in proportion; a value that has
@@ -89,7 +102,8 @@ def chance(key: str, seed: int) -> Column:
 
 def mix(docs: DataFrame, marginals: list[Marginal], keep: float = 0.5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """Add tokens, weight, probability and kept to every row, and topic where a marginal asks for it and the
-    table has none. Null texts have one token. An empty table gives an empty result. Columns of the input
+    table has none. Values without a target are sampled too: together they keep their share of the tokens.
+    Null texts have one token. An empty table gives an empty result. Columns of the input
     pass through; those named like a new one are replaced, topic excepted, and names that begin with
     _jobsift are reserved."""
     docs = docs.drop("tokens", "weight", "probability", "kept")
@@ -97,6 +111,7 @@ def mix(docs: DataFrame, marginals: list[Marginal], keep: float = 0.5, key: str
         docs = docs.withColumn("topic", form_topic(text))
     marked = docs.withColumn("tokens", word_count(text)).withColumn("_jobsift_cell", F.concat_ws("\x1f", *[m.label() for m in marginals]))
     cells = {tuple(r._jobsift_cell.split("\x1f")): float(r.tokens) for r in marked.groupBy("_jobsift_cell").agg(F.sum("tokens").alias("tokens")).collect()}
+    marginals = with_observed_other(cells, marginals)
     weight, p = rake(cells, marginals, cap=1 / keep), probabilities(cells, marginals, keep)
     rates = [("\x1f".join(c), weight[c], p[c]) for c in sorted(cells)]
     table = docs.sparkSession.createDataFrame(rates, "_jobsift_cell string, weight double, probability double")

@@ -47,6 +47,21 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), ms).count() == 0
 
 
+def test_mix_samples_unnamed_values(spark):
+    from jobsift.llm.queries import KEEP, TARGETS
+
+    rows = [(i, "word " * (90 + i % 400), ["src0", "src1", "src2", "hot", None][i % 5], ["en", "de", "fr", "es", "it", None][i // 5 % 6]) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), TARGETS, KEEP).toPandas()
+    got["mass"] = got.tokens * got.probability
+    for column, named in (("source", TARGETS[0].targets), ("lang", TARGETS[1].targets)):
+        rest = ~got[column].isin(list(named))
+        assert got.mass[rest].sum() / got.mass.sum() == pytest.approx(got.tokens[rest].sum() / got.tokens.sum(), rel=0.15)
+        assert (got.probability[rest] > 0).all() and got[rest & got.kept][column].isna().any()
+    assert {"hot", None} <= set(got[got.kept].source.where(got.source.notna(), None))
+    alone = mixing.mix(spark.createDataFrame([(i, "a b", None, None) for i in range(100)], "doc_id long, text string, source string, lang string"), TARGETS, KEEP)
+    assert [r.probability for r in alone.select("probability").distinct().collect()] == [pytest.approx(KEEP)]
+
+
 def test_mix_query_equals_brute_force(spark):
     from jobsift.llm.queries import KEEP, TARGETS
 
