@@ -2,8 +2,9 @@
 
 Documents with the same shingle set form one class. Independent trees branch the classes by selected
 minwise tokens; small nodes are compared exhaustively on their signatures, larger ones branch again.
-Every tree keeps a pair of the wanted similarity in 1.25 nodes a level on average (a branching factor
-above 1 / threshold), so trees multiply recall. What a task finds similar it reduces to a spanning
+Every tree begins at one position of its own and keeps a pair of the wanted similarity in 1.25 nodes a
+level on average (a branching factor above 1 / threshold); as many trees grow as the wanted recall needs
+when every node is large on every level. What a task finds similar it reduces to a spanning
 forest, never a list of all pairs. The forests' components, candidate clusters, are then compared on
 full shingle sets, block by block where a cluster is large, and the confirmed links make the result.
 """
@@ -11,7 +12,8 @@ full shingle sets, block by block where a cluster is large, and the confirmed li
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,13 +26,14 @@ from .components import Forest, components
 from .shingles import minhashes, mix, set_key, shingle_sets
 
 SIGNATURE = 128
-TREES = 10
+#: A pair of just the wanted similarity may be lost so often, over all levels and the comparison of signatures.
+MISS = 5e-5
 #: Wanted similarity, and how often a pair of just that similarity is expected in the children of a node.
 THRESHOLD, SURVIVE = (85, 100), 1.25
 NODE_ROWS = 1024
 DEPTH = 4
 #: Signatures must agree in a share that lies so many standard deviations below the wanted similarity.
-AGREE_DEVIATIONS = 4
+AGREE_DEVIATIONS = 5
 #: A block of a large cluster has at most about so many classes, and so many shingles in all.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 
@@ -52,9 +55,31 @@ def _child(path: np.ndarray, position: np.ndarray, token: np.ndarray) -> np.ndar
     return mix(x + token.astype(np.uint64)).astype(np.int64)
 
 
+def miss(threshold: float, trees: int) -> float:
+    """How often a pair of just this similarity is lost if all its nodes are large: its signatures agree too
+    little, or no tree has a node for it at the last level."""
+    p, lost = SURVIVE / (threshold * SIGNATURE), 0.0
+    for k in range(SIGNATURE + 1):  # positions that agree
+        gone = 0.0
+        for _ in range(DEPTH - 1):
+            gone = (1 - p + p * gone) ** k
+        if k < _agree(threshold) * SIGNATURE:
+            none = 1.0
+        else:
+            none = sum(comb(k, j) * comb(SIGNATURE - k, trees - j) * gone**j for j in range(trees + 1)) / comb(SIGNATURE, trees)
+        lost += comb(SIGNATURE, k) * threshold**k * (1 - threshold) ** (SIGNATURE - k) * none
+    return lost
+
+
+@cache
+def _trees(threshold: float) -> int:
+    """The fewest trees that lose no more than MISS; all positions if none do."""
+    return next((t for t in range(1, SIGNATURE) if miss(threshold, t) <= MISS), SIGNATURE)
+
+
 def _roots(threshold: float) -> list[tuple[int, int]]:
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-    return [(int(roots[t]), int(i)) for t, i in zip(*np.nonzero(_chosen(roots, threshold)), strict=True)]
+    """A root and the one position that it branches on for each tree."""
+    return [(int(mix(np.array([i + 1], np.uint64))[0]), i) for i in range(_trees(threshold))]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +242,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     component_id. Rows without words link with nothing. Null keys are allowed: they are never a
     component's name unless all its keys are null, and such rows are all kept. Rows that repeat a key
     are all kept if it names the component. Other columns are ignored, whatever their names. Lost links
-    are those that no tree brings into a node: fewer than one in 10,000 at the threshold itself."""
+    are those that no tree brings into a node or whose signatures agree too little: fewer than one in 10,000
+    at the threshold itself, by miss(), however large the nodes are."""
     spark = docs.sparkSession
     small_batches(spark)
     threshold = share[0] / share[1]

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from jobsift.llm import chosen_path
 from jobsift.llm.bloom_dedup import exact_dedup
@@ -163,3 +164,42 @@ def test_signatures_follow_the_share():
     for share in (0.5, 0.8, 0.85, 0.95):
         lost = sum(math.comb(128, k) * share**k * (1 - share) ** (128 - k) for k in range(129) if k < chosen_path._agree(share) * 128)
         assert lost < 5e-4
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_trees_keep_pairs_in_large_nodes(share):
+    """Pairs of just the wanted similarity in thousands of near copies, no node being small enough to compare."""
+    rng, lost, pairs = np.random.default_rng(11), 0, 0
+    roots = chosen_path._roots(share)
+    assert len({p for p, _ in roots}) == len({i for _, i in roots}) == len(roots)
+    for _ in range(20):
+        agree = rng.random((1500, 128)) < share
+        sig = rng.integers(0, 2**32, (1500, 128), dtype=np.uint32)
+        who = np.concatenate([np.flatnonzero(agree[:, i]) for _, i in roots])
+        path = np.concatenate([chosen_path._child(np.full(agree[:, i].sum(), p, np.uint64), np.full(agree[:, i].sum(), i), sig[agree[:, i], i]) for p, i in roots])
+        for _ in range(chosen_path.DEPTH - 1):
+            row, at = np.nonzero(chosen_path._chosen(path.view(np.uint64), share))
+            met = agree[who[row], at]
+            row, at = row[met], at[met]
+            path, who = chosen_path._child(path.view(np.uint64)[row], at, sig[who[row], at]), who[row]
+        kept = np.zeros(1500, bool)
+        kept[who] = True
+        lost += int((~kept | (agree.sum(axis=1) < chosen_path._agree(share) * 128)).sum())
+        pairs += 1500
+    assert lost <= 6, f"{lost} of {pairs}"
+
+
+def test_near_group_of_thousands(spark, monkeypatch):
+    """Pairs at 0.85 among copies of one text that are less similar to each other: one node holds all."""
+    monkeypatch.setattr(chosen_path, "NODE_ROWS", 64)
+    rng = random.Random(4)
+    common, rows = [f"c{k}" for k in range(84)], []
+    for i in range(1000):
+        own = [f"p{i}w{k}" for k in range(11)]
+        for j in (0, 1):
+            rows.append((2 * i + j, " ".join(common + own + [f"x{rng.randrange(10**9)}" for _ in range(8)])))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.85 <= like(0, 1) < 0.86 and like(0, 2) < 0.85
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got.collect())
