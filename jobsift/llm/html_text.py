@@ -1,8 +1,8 @@
 """Main text of web pages by the line-block distribution (Chen, 2010).
 
 Markup is stripped to lines, one for each block element. Text lengths of lines are summed over a sliding
-window; where the sum surges the article begins, where it dives to nothing it ends, and the lines between
-are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
+window of lines with text; where the sum surges the article begins, where it dives to nothing it pauses, and
+the lines of all such regions are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
 their element, role or class) are left out, and lines that are mostly links have no length; if a page marks
 its article, lines outside have none either.
 """
@@ -190,6 +190,35 @@ def _regions(sizes: list[int], surge: float) -> Iterator[tuple[int, int]]:
             i += 1
 
 
+def _unmarked(lines: list[Line], length: list[int]) -> list[Line]:
+    """The article's lines on a page that doesn't mark it. Windows are over lines with text, so markup alone
+    never ends a region; WINDOW lines of links do. All regions that surge count, up to the last line before
+    links or an end note; lines of links within a region stay."""
+    at = [i for i, x in enumerate(lines) if x.text]
+    sizes = [length[i] for i in at]
+    most = max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0)
+    out: list[Line] = []
+    for n, (_, end) in enumerate(_regions(sizes, min(SURGE, most))):
+        a = end
+        while a and any(sizes[max(0, a - WINDOW) : a]):  # back to links or the page's begin
+            a -= 1
+        surge = next(i for i in range(a, end) if sum(sizes[i : i + WINDOW]) >= min(SURGE, most))
+        while a < end and not sizes[a]:
+            a += 1
+        if not n:  # labels far above the first heading
+            for k in range(a + 1, min(surge + WINDOW, end)):
+                if lines[at[k]].heading and at[k] - at[k - 1] > WINDOW and all(sizes[j] < SURGE // 2 for j in range(a, k)):
+                    a = k
+                    break
+        b = end
+        while b > a and not sizes[b - 1]:
+            b -= 1
+        while b > a and _END_NOTE.match(lines[at[b - 1]].text) and len(lines[at[b - 1]].text) < 200:
+            b -= 1
+        out += [lines[i] for i in at[a:b]]
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The text of the article, blocks joined by a space; empty if there is none."""
     lines = [x for x in lines_of(page or "") if not x.out]
@@ -209,15 +238,7 @@ def main_text(page: str | None) -> str:
         spans = list(_regions(sizes, surge))
         spans = [(spans[0][0], spans[-1][1])] if spans else []
     else:
-        sizes = [n for n in length]
-        most = max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0)
-        spans = sorted(_regions(sizes, min(SURGE, most)), key=lambda s: (-sum(sizes[s[0] : s[1]]), s))[:1]
-        for a, b in spans:
-            while a and (lines[a - 1].heading and sizes[a - 1] or not lines[a - 1].text):
-                a -= 1
-            while b > a and (not sizes[b - 1] or _END_NOTE.match(lines[b - 1].text) and len(lines[b - 1].text) < 200):
-                b -= 1
-            spans = [(a, b)]
+        return " ".join(x.text for x in _unmarked(lines, length))
     return " ".join(lines[i].text for a, b in spans for i in range(a, b) if sizes[i])
 
 

@@ -131,6 +131,30 @@ def test_unmarked_article():
     assert html_text.main_text(f"<h1>Head</h1><p>{para}</p>{ad}<p>{para}</p>") == f"Head {para}{para}".strip()
 
 
+PARA = "This sentence is long enough to be the text of an article, not a label of some menu."
+
+
+@pytest.mark.parametrize("between", [
+    "</p></div><div><p>", "</p><figure><img src=x></figure><p>", "</p></section><section><h2></h2><p>", "</p></div></div><div><div><div><p>",
+    "</p><div class=ad>Buy</div><div class=ad>Buy</div><p>", "</p><table><tr><td></td></tr></table><p>",
+])
+@pytest.mark.parametrize("last", [PARA, "Short end."])
+def test_unmarked_article_goes_on_after_markup(between, last):
+    menu = "<div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>About</a></div>"
+    body = between.join(["<div><section><h1>Head</h1><p>" + PARA, PARA + " Two.", PARA + " Three.", last + "</p></section></div>"])
+    assert html_text.main_text(f"<body>{menu}{body}{menu}<p>© 2020 someone</p></body>") == f"Head {PARA} {PARA} Two. {PARA} Three. {last}"
+
+
+def test_unmarked_article_keeps_cells_and_links():
+    rows = "".join(f"<tr><td>row {i}</td><td>{PARA} {i}</td></tr>" for i in range(5))
+    cells = " ".join(f"row {i} {PARA} {i}" for i in range(5))
+    assert html_text.main_text(f"<table>{rows}</table>") == cells
+    linked = f"<p>{PARA}</p><p><a href=x>A source that is named by a link</a></p><p>{PARA}</p>"
+    menu = "".join(f"<li><a href={i}>Other {i}</a></li>" for i in range(4))
+    assert html_text.main_text(linked) == f"{PARA} A source that is named by a link {PARA}"
+    assert html_text.main_text(f"{linked}<ul>{menu}</ul>{linked}") == " ".join([f"{PARA} A source that is named by a link {PARA}"] * 2)
+
+
 def test_page_edges(spark):
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "<!--", "<script>", "<p class=\"x>")][:3] == ["", "", "<"]
     assert html_text.main_text("plain text") == "plain text" and html_text.main_text("<a href='>'>x</a>") in ("", "x")
