@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, lean, small_batches, stage, unstage
+from .common import BROADCAST_ROWS, join_groups, lean, ship, stage, unstage
 from .components import Forest, components
 from .shingles import minhashes, mix, set_key, shingle_sets
 
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     are those that no tree brings into a node or whose signatures agree too little: fewer than one in 10,000
     at the threshold itself, by miss(), however large the nodes are."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     threshold = share[0] / share[1]
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,23 +15,29 @@ from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch handed to Python; bounds a worker's memory with long texts.
-BATCH_ROWS = 512
+#: Rows that a Python worker works on at once. Batches arrive with at most 64 MB
+#: (spark.sql.execution.arrow.maxBytesPerBatch) and are worked on in slices of so many rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: A table of at most so many (narrow) rows may be broadcast: about 100 bytes a row, so 20 MB.
 BROADCAST_ROWS = 200_000
 
 _own_dir: str | None = None
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, else one beside the
-    warehouse on a cluster, else (local mode only) a temporary folder."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir; if that is unset, one beside
+    a warehouse that isn't a local folder; in local mode a temporary folder. A cluster with none of these is
+    refused, since each executor would write to its own disk."""
     global _own_dir
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        return warehouse.rstrip("/") + "/_stages"
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="jobsift-")
     return _own_dir
@@ -43,22 +49,36 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back. This cuts lineage, so a lost executor
-    costs no more than re-reading a file, and later steps see the very same rows."""
+    costs no more than re-reading a file, and later steps see the very same rows. unstage() or sweep()
+    deletes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _staged.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._jobsift_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _staged.remove(path)
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
+    """Delete tables, as stage() returned them, that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        base = shared_dir(spark).removeprefix("file://")
-        for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if base in top:
-                path = spark._jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._jobsift_path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that operators have staged and not deleted yet, once no result that was returned is
+    needed any more; how many they were. What an operator returns reads such tables when it runs."""
+    gone = [p for p in _staged if p.startswith(shared_dir(spark))]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int | None = None) -> DataFrame:
@@ -85,9 +105,9 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Before an operator runs Python: hand it at most BATCH_ROWS rows at a time. In local mode also see
-    that Python workers can import this package; on a cluster it is installed, or given as --py-files."""
+def ship(spark: SparkSession) -> None:
+    """Before an operator runs Python: see that workers can import this package in local mode. On a cluster it
+    is installed, or given as --py-files."""
     sc = spark.sparkContext
     if sc.master.startswith("local[") and not getattr(sc, "_jobsift_shipped", False):
         package = Path(__file__).resolve().parent.parent
@@ -97,15 +117,24 @@ def small_batches(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(package.parent))
         sc.addPyFile(str(made))
         sc._jobsift_shipped = True
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most BATCH_ROWS rows, and fewer where rows are long."""
+    for batch in batches:
+        a_row = batch.nbytes // max(1, batch.num_rows)
+        rows = max(1, min(BATCH_ROWS, BATCH_BYTES // max(1, a_row)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A batch function whose worker, which Spark keeps for later tasks, gives unused memory back."""
+    """A batch function that gets slices, and whose worker, which Spark keeps for later tasks, gives unused
+    memory back."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(slices(batches))
         finally:
             pa.default_memory_pool().release_unused()
 

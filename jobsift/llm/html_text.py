@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, schema_with, small_batches
+from .common import lean, schema_with, ship
 
 WINDOW = 3
 #: The window sum at which an article begins, on a page that doesn't mark its article.
@@ -245,7 +245,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
     """Add text, the main text of each whole page ("" if the page is null, empty or has none). Other
     columns pass through without the markup; a column named text is replaced."""
-    small_batches(pages.sparkSession)
+    ship(pages.sparkSession)
     pages = pages.drop(*(["text"] if markup != "text" else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

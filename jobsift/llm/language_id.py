@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, schema_with, small_batches
+from .common import lean, schema_with, ship
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     Of languages with more than train_docs rows a hash of the id picks about that many; so the matrices
     that reach the driver are at most one per task, and a task per few thousand texts."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     found = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
     found = sorted(found, key=lambda r: r.l)
@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     the model knows no language. Whole texts are read. Other columns pass through; columns that are
     already named so are replaced."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
 

@@ -26,11 +26,10 @@ TARGETS = [
 KEEP = 0.6
 
 
-def ranks_path() -> str:
-    """The tokenizer's vocabulary as ranks: the same ids as byte_bpe_50k.json."""
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def op3_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), ranks_path())
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, lean, small_batches, stage, unstage
+from .common import join_groups, lean, ship, stage, unstage
 from .components import Forest, components
 
 BLOCK_DIMS = 16
@@ -179,7 +179,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     a shorter vector counts as filled up with zeros. Null keys are allowed and name a component only if all
     its keys are null. Rows that repeat a vector are linked with each other, whatever their keys."""
     spark = vectors.sparkSession
-    small_batches(spark)
+    ship(spark)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
     id_type = rows.schema["id"].dataType.simpleString()
     kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, schema_with, small_batches
+from .common import lean, schema_with, ship
 from .shingles import word_hashes
 
 BUCKETS = 1 << 20
@@ -170,7 +170,7 @@ def _best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> ToxicityChain:
     """Fit on labelled documents. categories: for each, a boolean expression over the columns of labels;
     rows where one is null are left out. Of repeated labels of a document the largest counts."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     marked = labels.select(F.col(key).alias("_id"), *[e.cast("int").alias(c) for c, e in categories.items()]).dropna()
     marked = marked.groupBy("_id").agg(*[F.max(c).alias(c) for c in categories])
     n = marked.count()
@@ -190,7 +190,7 @@ def classify(docs: DataFrame, chain: ToxicityChain, text: str = "text") -> DataF
     """Add p_<category> for each category and is_<category> (at or over the cutoff). A null or empty
     text has no words and so the constant's probability, below every cutoff. Other columns pass through;
     those named like a new one are replaced."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     new = [*(f"p_{c}" for c in chain.categories), *(f"is_{c}" for c in chain.categories)]
     docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most WORDS_KEPT weights a category

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from jobsift.llm import html_text, language_id, packing, toxicity
-from jobsift.llm.queries import QUERIES, ranks_path
+from jobsift.llm.queries import QUERIES, tokenizer_path
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -88,20 +88,52 @@ def test_packing(spark, monkeypatch):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(3)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    more = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "😀 \x00 don't  \n\n x"), (None, "null id"), (10**6 + 3, "word " * 300_000), *[(2 * 10**6 + i, "a " * int(rng.integers(1, 900))) for i in range(200)]]
+    more = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "😀 \x00 don't  \n\n x"), (None, "null id"), (10**6 + 4, "a<|endoftext|>b <|endoftext|><|endoftext|> <|endoftext| >\n\n<|endoftext|>"), (10**6 + 3, "word " * 300_000), *[(2 * 10**6 + i, "a " * int(rng.integers(1, 900))) for i in range(200)]]
     df = docs.union(spark.createDataFrame(more, "doc_id long, text string")).withColumn("ids", F.lit(1)).withColumn("tier", F.lit("old"))
     ids = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [0] for r in df.collect()}
-    pieces = packing.pack(df.repartition(3), ranks_path()).collect()
+    pieces = packing.pack(df.repartition(3), tokenizer_path()).collect()
     hold(pieces, ids)
-    assert packing.pack(df.limit(0), ranks_path()).count() == 0
+    assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
     group = {}
     for p in pieces:
         group[p.step_group] = group.get(p.step_group, 0) + p.length
     assert max(group.values()) <= 1.6 * packing.STEP_TOKENS
 
 
+def test_packing_query_equals_the_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {k: np.asarray(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for k, t in docs.items()}
+    at, fill = dict.fromkeys(ids, 0), {}
+    got = QUERIES["op4_tiered_packing"](spark, SF).collect()
+    for p in sorted(got, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == at[p.doc_id] and p.doc_tokens == len(ids[p.doc_id])
+        at[p.doc_id] += p.length
+        assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : at[p.doc_id]].tobytes())
+    assert at == {k: len(v) for k, v in ids.items()}
+    for p in sorted(got, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == fill.get(p.sequence_id, 0)
+        fill[p.sequence_id] = p.offset + p.length
+    assert all(n <= 1024 and n & (n - 1) == 0 for n in fill.values())
+
+
+def test_encoder_equals_tokenizer_on_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), np.random.default_rng(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "\t ", "don't", "I'LL", "\u00a0", "\u0301e", "é", "中文", "😀", "12", "½", "\x00", "\u200d", "a" * 3000, "   ", "_"]
+    for _ in range(300):
+        t = "".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 30)))
+        assert packing.ids_of(t, path).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_packing_repeats(spark):
-    pieces = packing.pack(spark.createDataFrame([(1, "a b")] * 5, "doc_id long, text string").coalesce(1), ranks_path()).collect()
+    pieces = packing.pack(spark.createDataFrame([(1, "a b")] * 5, "doc_id long, text string").coalesce(1), tokenizer_path()).collect()
     assert sum(p.start == 0 for p in pieces) == 5
     assert sum(p.length for p in pieces) == 15
 
