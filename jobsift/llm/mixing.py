@@ -2,39 +2,82 @@
 
 Tokens are summed by cell of source, language and topic. Raking scales the cells in turn until their
 weighted sums meet the target share of each source, each language and each topic. A cell's weight times a
-common rate is its documents' probability of being kept; a hash of the id decides. The cells are as many
+common rate is its documents' probability of being kept; a hash of the id decides. The rate is as high as it
+can be without a probability over 1, so that the kept tokens have the target shares. The cells are as many
 as the targets name, so they are raked on the driver; the documents never leave their partitions.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage, unstage
+
 OTHER = "other"
-ROUNDS = 200
+ROUNDS = 100
 TOLERANCE = 1e-9
+#: Values of a column without named targets that get a target each, the largest ones; all others count as other.
+VALUES = 200
+
+Cells = dict[tuple[str, ...], float]
 
 
 @dataclass(frozen=True)
 class Marginal:
-    """A column's target shares by value. Values that aren't named, and null, count as other; where other
-    has no target, mix() gives it the share of tokens that it has."""
+    """A column's target shares by value. Values that aren't named, and null, count as other, which has the share
+    of tokens that it has unless it has a target. With flatten, the targets are found from the tokens: shares
+    to that power, made to sum to 1, so that large values shrink and small ones grow; every value
+    counts, null too, the VALUES largest each by itself."""
 
     column: str
-    targets: dict[str, float]
+    targets: dict[str, float] = field(default_factory=dict)
+    flatten: float | None = None
 
-    def label(self) -> Column:
-        value = F.col(self.column).cast("string")
+    def label(self, column: str | None = None) -> Column:
+        value = F.col(column or self.column).cast("string")
         return F.when(value.isin([v for v in self.targets if v != OTHER]), value).otherwise(F.lit(OTHER))
 
+    def found(self, tokens: dict[str | None, float]) -> Marginal:
+        """This marginal with targets for a column that has so many tokens by value."""
+        total = sum(tokens.values())
+        if self.flatten is not None:
+            named = sorted((v for v in tokens if v not in (None, OTHER)), key=lambda v: (-tokens[v], v))[:VALUES]
+            own = {v: tokens[v] for v in named}
+            rest = sum(n for v, n in tokens.items() if v not in own)
+            raised = {v: (n / total) ** self.flatten for v, n in {**own, **({OTHER: rest} if rest else {})}.items()}
+            return Marginal(self.column, {v: x / sum(raised.values()) for v, x in raised.items()})
+        rest = sum(n for v, n in tokens.items() if v not in self.targets)
+        if not rest or OTHER in self.targets:
+            return self
+        named = sum(self.targets[v] for v in self.targets if tokens.get(v))
+        return Marginal(self.column, {**self.targets, OTHER: named * rest / (total - rest) if named else 1.0})
+
+
+@dataclass(frozen=True)
+class Mixture:
+    """What raking found. residual: the largest difference between a share of the tokens that are kept on
+    average and its target; over 0 only if no weights meet all targets."""
 
-def word_count(text: str = "text") -> Column:
-    """Tokens of a text for weighting: its words, and one more for its end."""
-    trimmed = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    return F.when(trimmed == "", 1).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 2).cast("long")
+    marginals: list[Marginal]
+    weights: Cells
+    rate: float
+    residual: float
+
+    def probability(self, cell: tuple[str, ...]) -> float:
+        return min(1.0, self.rate * self.weights[cell])
+
+
+def token_estimate(text: str = "text") -> Column:
+    """Tokens of a text for weighting: one for each white-space character, and one more for its end."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    bare = whole
+    for gap in (" ", "\n", "\t", "\r"):
+        bare = F.replace(bare, F.lit(gap), F.lit(""))
+    return (F.octet_length(whole) - F.octet_length(bare) + 1).cast("long")
 
 
 def form_topic(text: str = "text") -> Column:
@@ -43,55 +86,57 @@ def form_topic(text: str = "text") -> Column:
     return F.when(size < 400, "note").when(size < 2000, "article").when(size < 10000, "essay").otherwise("book")
 
 
-def with_observed_other(cells: dict[tuple[str, ...], float], marginals: list[Marginal]) -> list[Marginal]:
-    """The marginals, other having its own share of all tokens where it has tokens but no target."""
-    total, out = sum(cells.values()), []
+def wanted_shares(cells: Cells, marginals: list[Marginal]) -> list[dict[str, float]]:
+    """The target share of each value that has tokens, in each marginal. Shares of values without tokens
+    go to the others in proportion; a value that has tokens but no target keeps none."""
+    wanted = []
     for i, m in enumerate(marginals):
-        rest = sum(n for c, n in cells.items() if c[i] == OTHER)
-        if rest and OTHER not in m.targets:
-            named = sum(m.targets.get(v, 0.0) for v in {c[i] for c, n in cells.items() if n})
-            m = Marginal(m.column, {**m.targets, OTHER: named * rest / (total - rest) if named else 1.0})
-        out.append(m)
-    return out
+        own = {v: m.targets.get(v, 0.0) for v in {c[i] for c, n in cells.items() if n}}
+        s = sum(own.values())
+        wanted.append({v: x / s if s else 1 / len(own) for v, x in own.items()})
+    return wanted
 
 
-def rake(cells: dict[tuple[str, ...], float], marginals: list[Marginal], cap: float | None = None) -> dict[tuple[str, ...], float]:
+def shares(cells: Cells, weight: Cells, i: int) -> dict[str, float]:
+    """The share of the weighted tokens that each value of marginal i has."""
+    now: dict[str, float] = {}
+    for c, n in cells.items():
+        now[c[i]] = now.get(c[i], 0.0) + n * weight[c]
+    total = sum(now.values())
+    return {v: x / total if total else 0.0 for v, x in now.items()}
+
+
+def rake(cells: Cells, marginals: list[Marginal]) -> Cells:
     """A factor for each cell, so that the factors times the cells' tokens have the target shares and sum
-    to the cells' sum. Shares of values without tokens go to the others in proportion; a value that has
-    tokens but no target (other, if unnamed) keeps none. cap: no factor above it; the rest of the marginal
-    makes up for what it cuts, as far as it can."""
+    to the cells' sum."""
     total = sum(cells.values())
     weight = dict.fromkeys(cells, 1.0)
     if not total:
         return weight
-    wanted: list[dict[str, float]] = []
-    for i, m in enumerate(marginals):
-        there = {c[i] for c, n in cells.items() if n}
-        own = {v: m.targets.get(v, 0.0) for v in there}
-        s = sum(own.values())
-        wanted.append({v: (x / s if s else 1 / len(own)) * total for v, x in own.items()})
+    wanted = wanted_shares(cells, marginals)
     for _ in range(ROUNDS):
         moved = 0.0
         for i, target in enumerate(wanted):
-            now = dict.fromkeys(target, 0.0)
+            now = shares(cells, weight, i)
+            mass = sum(n * weight[c] for c, n in cells.items())
             for c, n in cells.items():
                 if n:
-                    now[c[i]] += n * weight[c]
-            for c, n in cells.items():
-                if n:
-                    f = target[c[i]] / now[c[i]] if now[c[i]] else 0.0
+                    f = target[c[i]] * total / (now[c[i]] * mass) if now[c[i]] else 0.0
                     moved = max(moved, abs(f - 1) if target[c[i]] else 0.0)
-                    weight[c] = weight[c] * f if cap is None else min(cap, weight[c] * f)
+                    weight[c] *= f
         if moved < TOLERANCE:
             break
     return weight
 
 
-def probabilities(cells: dict[tuple[str, ...], float], marginals: list[Marginal], keep: float) -> dict[tuple[str, ...], float]:
-    """Each cell's chance to be kept: about the share keep of all tokens, in the target mix. A cell can't be
-    kept more than once, so weights are capped at 1 / keep while raking."""
-    weight = rake(cells, marginals, cap=1 / keep)
-    return {c: min(1.0, keep * w) for c, w in weight.items()}
+def plan(cells: Cells, marginals: list[Marginal], keep: float) -> Mixture:
+    """Weights and rate for about the share keep of all tokens in the target mix. A document can't be kept
+    more than once, so the rate is lower where a weight needs that."""
+    weight = rake(cells, marginals)
+    most = max((weight[c] for c, n in cells.items() if n), default=1.0)
+    wanted = wanted_shares(cells, marginals)
+    gaps = [abs(shares(cells, weight, i)[v] - x) for i, target in enumerate(wanted) for v, x in target.items()]
+    return Mixture(marginals, weight, min(keep, 1 / most if most else keep), max(gaps, default=0.0))
 
 
 def chance(key: str, seed: int) -> Column:
@@ -100,20 +145,53 @@ def chance(key: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, marginals: list[Marginal], keep: float = 0.5, key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
+def _with_topic(docs: DataFrame, marginals: Iterable[Marginal], text: str) -> DataFrame:
+    if any(m.column == "topic" for m in marginals) and "topic" not in [c.lower() for c in docs.columns]:
+        docs = docs.withColumn("topic", form_topic(text))
+    return docs
+
+
+def fit(docs: DataFrame, marginals: list[Marginal], keep: float = 0.5, text: str = "text") -> Mixture:
+    """Sum tokens by value in one pass over the documents, and rake them. Of a column's values only those with a
+    target of their own reach the driver, VALUES at most where targets are found from the tokens."""
+    columns = [f"_jobsift_{i}" for i in range(len(marginals))]
+    values = [F.col(m.column).cast("string").alias(c) for m, c in zip(marginals, columns, strict=True)]
+    sums = _with_topic(docs, marginals, text).groupBy(*values).agg(F.sum(token_estimate(text)).alias("_jobsift_n"))
+    sums = stage(sums, "tokens")
+    whole = float(sums.agg(F.sum("_jobsift_n")).first()[0] or 0)
+    known = []
+    for m, c in zip(marginals, columns, strict=True):
+        if m.flatten is not None:
+            by = sums.filter(F.col(c) != OTHER).groupBy(c).agg(F.sum("_jobsift_n").alias("n"))
+            found = {r[0]: float(r.n) for r in by.orderBy(F.desc("n"), c).limit(VALUES).collect()}
+            rest = whole - sum(found.values())
+            m = m.found(found | ({None: rest} if rest else {})) if whole else Marginal(m.column)
+        known.append(m)
+    labels = [m.label(c).alias(c) for m, c in zip(known, columns, strict=True)]
+    cells = {tuple(r)[:-1]: float(r[-1]) for r in sums.groupBy(*labels).agg(F.sum("_jobsift_n")).collect()}
+    unstage(sums)
+    for i, m in enumerate(known):
+        totals: dict[str | None, float] = {}
+        for cell, n in cells.items():
+            totals[cell[i]] = totals.get(cell[i], 0.0) + n
+        known[i] = m.found(totals) if whole else m
+    return plan(cells, known, keep)
+
+
+def mix(docs: DataFrame, marginals: list[Marginal], keep: float = 0.5, key: str = "doc_id", text: str = "text", seed: int = 42, mixture: Mixture | None = None) -> DataFrame:
     """Add tokens, weight, probability and kept to every row, and topic where a marginal asks for it and the
-    table has none. Values without a target are sampled too: together they keep their share of the tokens.
-    Null texts have one token. An empty table gives an empty result. Columns of the input
-    pass through; those named like a new one are replaced, topic excepted, and names that begin with
-    _jobsift are reserved."""
+    table has none. mixture: what fit() found, if it is known.
+
+    Kept tokens have the target shares on average, as near as Mixture.residual says. Values without a target
+    are sampled too, and so are nulls. Null and empty texts have one token, a very long text as many as it
+    has; rows that repeat an id are kept or left together. An empty table gives an empty result. Columns of
+    the input pass through; those named like a new one are replaced, topic excepted, and names that begin
+    with _jobsift are reserved."""
     docs = docs.drop("tokens", "weight", "probability", "kept")
-    if any(m.column == "topic" for m in marginals) and "topic" not in docs.columns:
-        docs = docs.withColumn("topic", form_topic(text))
-    marked = docs.withColumn("tokens", word_count(text)).withColumn("_jobsift_cell", F.concat_ws("\x1f", *[m.label() for m in marginals]))
-    cells = {tuple(r._jobsift_cell.split("\x1f")): float(r.tokens) for r in marked.groupBy("_jobsift_cell").agg(F.sum("tokens").alias("tokens")).collect()}
-    marginals = with_observed_other(cells, marginals)
-    weight, p = rake(cells, marginals, cap=1 / keep), probabilities(cells, marginals, keep)
-    rates = [("\x1f".join(c), weight[c], p[c]) for c in sorted(cells)]
+    found = mixture or fit(docs, marginals, keep, text)
+    marked = _with_topic(docs, marginals, text).withColumn("tokens", token_estimate(text))
+    marked = marked.withColumn("_jobsift_cell", F.concat_ws("\x1f", *[m.label() for m in found.marginals]))
+    rates = [("\x1f".join(c), found.weights[c], found.probability(c)) for c in sorted(found.weights)]
     table = docs.sparkSession.createDataFrame(rates, "_jobsift_cell string, weight double, probability double")
     # no more cells than the product of the named values, plus one, of each marginal
     out = marked.join(F.broadcast(table), "_jobsift_cell").drop("_jobsift_cell")

@@ -25,21 +25,29 @@ def test_rake_meets_marginals():
     for i, m in enumerate(ms):
         for v, share in m.targets.items():
             assert sum(n * w[c] for c, n in cells.items() if c[i] == v) == pytest.approx(share * total, rel=1e-6)
-    p = mixing.probabilities(cells, ms, 0.2)
-    assert all(0 <= x <= 1 for x in p.values())
-    assert sum(n * p[c] for c, n in cells.items()) == pytest.approx(0.2 * total, rel=1e-6)
+    m = mixing.plan(cells, ms, 0.1)
+    assert m.rate == 0.1 and m.residual < 1e-6
+    assert sum(n * m.probability(c) for c, n in cells.items()) == pytest.approx(0.1 * total, rel=1e-6)
+    most = mixing.plan(cells, ms, 1.0)  # the rate gives way, not the targets
+    assert most.rate < 1 and most.residual < 1e-6 and max(most.probability(c) for c in cells) == pytest.approx(1)
+    kept = {c: n * most.probability(c) for c, n in cells.items()}
+    for i, m in enumerate(ms):
+        for v, share in m.targets.items():
+            assert sum(n for c, n in kept.items() if c[i] == v) / sum(kept.values()) == pytest.approx(share, rel=1e-6)
     assert mixing.rake({}, ms) == {} and mixing.rake({("x", "p", "u"): 0.0}, ms) == {("x", "p", "u"): 1.0}
     gone = mixing.rake({("x",): 5.0, ("other",): 5.0}, [mixing.Marginal("a", {"x": 1.0, "never": 1.0})])
     assert gone == {("x",): 2.0, ("other",): 0.0}
+    apart = {("x", "p"): 5.0, ("y", "q"): 5.0}  # no weights can meet both
+    assert mixing.plan(apart, [mixing.Marginal("a", {"x": 0.9, "y": 0.1}), mixing.Marginal("b", {"p": 0.5, "q": 0.5})], 1.0).residual > 0.1
 
 
 def test_mix(spark):
-    rows = [(i, "word " * (i % 90), "s" + str(i % 3), ["en", "de", None][i % 3], "old") for i in range(3000)] + [(None, None, None, None, "old"), (7, "", "s1", "en", "old"), (7, "", "s1", "en", "old")]
+    rows = [(i, "word\n" * (i % 90), "s" + str(i % 3), ["en", "de", None][i % 3], "old") for i in range(3000)] + [(None, None, None, None, "old"), (7, "", "s1", "en", "old"), (7, "", "s1", "en", "old")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight string")
     ms = [mixing.Marginal("source", {"s0": 0.5, "s1": 0.3, "s2": 0.15, "other": 0.05}), mixing.Marginal("topic", {"note": 0.6, "article": 0.4})]
     got = mixing.mix(df, ms, 0.5).toPandas()
     assert len(got) == len(rows) and got.weight.dtype == float
-    assert (got.tokens == [len((t or "").split()) + 1 for t in got.text.where(got.text.notna(), "")]).all()
+    assert (got.tokens == [sum(t.count(g) for g in " \n\t\r") + 1 for t in got.text.where(got.text.notna(), "")]).all()
     share = (got.tokens * got.probability).groupby(got.source.fillna("other")).sum()
     assert share["s0"] / share.sum() == pytest.approx(0.5, abs=0.03)
     h = [int(hashlib.md5(f"42:{'' if i != i else int(i)}".encode()).hexdigest()[:12], 16) / 2**48 for i in got.doc_id]
@@ -48,35 +56,59 @@ def test_mix(spark):
 
 
 def test_mix_samples_unnamed_values(spark):
-    from jobsift.llm.queries import KEEP, TARGETS
-
+    named = [mixing.Marginal("source", {"src0": 0.4, "src1": 0.2, "src2": 0.4}), mixing.Marginal("lang", {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2})]
     rows = [(i, "word " * (90 + i % 400), ["src0", "src1", "src2", "hot", None][i % 5], ["en", "de", "fr", "es", "it", None][i // 5 % 6]) for i in range(6000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), TARGETS, KEEP).toPandas()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), named, 0.6).toPandas()
     got["mass"] = got.tokens * got.probability
-    for column, named in (("source", TARGETS[0].targets), ("lang", TARGETS[1].targets)):
-        rest = ~got[column].isin(list(named))
-        assert got.mass[rest].sum() / got.mass.sum() == pytest.approx(got.tokens[rest].sum() / got.tokens.sum(), rel=0.15)
-        assert (got.probability[rest] > 0).all() and got[rest & got.kept][column].isna().any()
+    for m in named:
+        rest = ~got[m.column].isin(list(m.targets))
+        assert got.mass[rest].sum() / got.mass.sum() == pytest.approx(got.tokens[rest].sum() / got.tokens.sum(), rel=1e-6)
+        assert (got.probability[rest] > 0).all() and got[rest & got.kept][m.column].isna().any()
+        for v, share in m.targets.items():
+            assert got.mass[got[m.column] == v].sum() / got.mass[~rest].sum() == pytest.approx(share, rel=1e-6)
     assert {"hot", None} <= set(got[got.kept].source.where(got.source.notna(), None))
-    alone = mixing.mix(spark.createDataFrame([(i, "a b", None, None) for i in range(100)], "doc_id long, text string, source string, lang string"), TARGETS, KEEP)
-    assert [r.probability for r in alone.select("probability").distinct().collect()] == [pytest.approx(KEEP)]
-
-
-def test_mix_query_equals_brute_force(spark):
+    alone = mixing.mix(spark.createDataFrame([(i, "a b", None, None) for i in range(100)], "doc_id long, text string, source string, lang string"), named, 0.6)
+    assert [r.probability for r in alone.select("probability").distinct().collect()] == [pytest.approx(0.6)]
+
+
+def test_mix_flattens_any_values(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "VALUES", 3)
+    rows = [(i, "word " * 9, ["big"] * 6 + ["mid", "small", "tiny", None]) for i in range(10)]
+    rows = [(10 * i + k, t, s) for i, t, names in rows for k, s in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.fit(df, [mixing.Marginal("source", flatten=0.5)], 1.0)
+    assert set(found.marginals[0].targets) == {"big", "mid", "small", "other"} and found.residual < 1e-9
+    raised = {"big": 0.6**0.5, "mid": 0.1**0.5, "small": 0.1**0.5, "other": 0.2**0.5}
+    assert found.marginals[0].targets == {k: pytest.approx(v / sum(raised.values())) for k, v in raised.items()}
+    got = mixing.mix(df, [mixing.Marginal("source", flatten=0.5)], 1.0).toPandas()
+    assert len(got) == 100 and (got.probability > 0).all() and got.probability.max() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mix_query_equals_brute_force(spark, sf):
+    """Probabilities by raking the rows themselves; the shares that are reached, on average and as drawn."""
     from jobsift.llm.queries import KEEP, TARGETS
 
-    got = QUERIES["op3_raked_mixture"](spark, SF).toPandas()
-    label = [[v if v in m.targets else "other" for v in got[m.column]] for m in TARGETS]
+    got = QUERIES["op3_raked_mixture"](spark, f"/root/testdata/{sf}").toPandas()
     w = got.tokens.to_numpy(float)
-    total, index = w.sum(), [np.unique(x, return_inverse=True) for x in label]
+    index = [np.unique(got[m.column], return_inverse=True) for m in TARGETS]
+    goals = []
+    for (values, at), m in zip(index, TARGETS, strict=True):
+        now = np.bincount(at, weights=w) / w.sum()
+        goal = now**m.flatten if m.flatten else np.array([m.targets[v] for v in values])
+        goals.append(goal / goal.sum())
     factor = np.ones(len(w))
     for _ in range(mixing.ROUNDS):
-        for (values, at), m in zip(index, TARGETS, strict=True):
-            goal = np.array([m.targets.get(v, 0.0) for v in values])
-            now = np.bincount(at, weights=w * factor)
-            factor = np.minimum(1 / KEEP, factor * (goal / goal.sum() * total / now)[at])
+        for (_, at), goal in zip(index, goals, strict=True):
+            factor *= (goal * w.sum() / np.bincount(at, weights=w * factor))[at]
     assert np.allclose(got.weight, factor, atol=1e-6)
-    assert np.allclose(got.probability, np.minimum(1, KEEP * factor), atol=1e-6)
+    assert np.allclose(got.probability, min(KEEP, 1 / factor.max()) * factor, atol=1e-6)
+    for (_, at), goal in zip(index, goals, strict=True):
+        mass = np.bincount(at, weights=w * got.probability)
+        assert np.abs(mass / mass.sum() - goal).max() < 1e-5
+        drawn = np.bincount(at, weights=w * got.kept)
+        assert np.abs(drawn / drawn.sum() - goal).max() < (0.01 if sf == "sf0.1" else 0.05)
+    assert got.kept.mean() > 0.5
 
 
 def test_mix_query_equals_sql(spark):
