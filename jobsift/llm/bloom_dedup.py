@@ -1,45 +1,78 @@
 """Exact deduplication by a two-pass Bloom filter.
 
-Pass one hashes each text to a block and two bits and counts rows per bit; the bits that at least two
-rows set form a blocked Bloom filter of hashes that may be repeated. Pass two tests every row against
-the broadcast filter: rows that miss are unique and pass straight through without a shuffle; only the
-others meet by the SHA-256 of their text. Everything is a built-in SQL function.
+Pass one: each text's hash becomes a cell of a large, sparse Bloom filter. Every task gathers the cells it sets
+into a list for each range of the filter, so what it sends is a few lists, four bytes a row; where the lists
+of a range meet, cells set twice are the hashes that may be repeated. They make a second, dense filter of
+two bits a hash. Pass two tests every row against the broadcast second filter: rows that miss are unique
+and pass straight through without a shuffle; only the others meet by the SHA-256 of their text. A second filter
+that is too large to broadcast at once is used in parts, each for its own range of the hash, so it never
+gets fuller. Everything is a built-in SQL function.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, stage
+from .common import ascii_lower, join_groups, stage, unstage
 
 BLOCK_BITS = 32768  # of Spark's bitmap aggregates
-BITS_PER_ROW = 16
-#: 16,384 blocks of 4 KB: the broadcast filter has 64 MB at most. With more rows it gets fuller, and
-#: more unique rows take the shuffled way; results stay exact.
-MAX_BLOCKS = 16384
-
-
-def _cells(h: Column, blocks: int) -> tuple[Column, Column, Column]:
-    block = F.pmod(h, F.lit(blocks)).cast("int")
-    first = F.shiftright(h, 20).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("long")
-    second = F.shiftright(h, 40).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("long")
-    return block, first, second
-
-
-def repeat_filter(hashes: DataFrame, col: str, n_rows: int) -> tuple[DataFrame, int]:
-    """Bitmaps (block, bits) of the cells that two or more rows set, and the number of blocks."""
-    blocks = max(1, min(MAX_BLOCKS, math.ceil(n_rows * BITS_PER_ROW / BLOCK_BITS)))
-    block, first, second = _cells(F.col(col), blocks)
-    base = block.cast("long") * BLOCK_BITS
-    cells = hashes.select(F.explode(F.array(base + first, base + second)).alias("cell"))
-    twice = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    bits = twice.groupBy(F.expr(f"cast(cell div {BLOCK_BITS} as int)").alias("block")).agg(
-        F.bitmap_construct_agg(F.expr(f"cell % {BLOCK_BITS}")).alias("bits")
-    )
-    return bits, blocks
+#: Bits of the second filter for each hash that may be repeated; two are set, so about 1.4 % of unique rows hit.
+BITS_PER_HASH = 16
+#: Blocks of 4 KB that are broadcast at once: 64 MB. With more the rows are tested in several parts.
+PART_BLOCKS = 16384
+#: Cells of the first filter are 32 bits within a range, one for about so many rows and 2 ** RANGE_BITS at most.
+RANGE_ROWS, RANGE_BITS = 65536, 14
+SIGN = 1 << 31
+
+
+def _maybe_repeated(hashes: DataFrame, bits: int) -> DataFrame:
+    """(g): the cells that two or more rows set, and so every repeated hash, shortened. There are
+    2 ** bits ranges."""
+    g = _short(F.col("h"), bits)
+    cell = (g.bitwiseAND(F.lit(0xFFFFFFFF)) - SIGN).cast("int")
+    lists = hashes.select(F.shiftrightunsigned(g, 32).alias("range"), cell.alias("cell")).groupBy("range").agg(F.collect_list("cell").alias("cells"))
+    twice = lists.select("range", F.explode("cells").alias("cell")).groupBy("range", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    return twice.select(F.shiftleft("range", 32).bitwiseOR(F.col("cell").cast("long") + SIGN).alias("g"))
+
+
+def _short(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 32 - bits)
+
+
+class RepeatFilter:
+    """The second filter: bitmaps by block, staged. Tests rows for whether their hash may be repeated."""
+
+    def __init__(self, hashes: DataFrame, n_rows: int) -> None:
+        self.range_bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(1, n_rows) / RANGE_ROWS))))
+        repeated = stage(_maybe_repeated(hashes, self.range_bits), "repeated")
+        self.blocks = max(1, math.ceil(repeated.count() * BITS_PER_HASH / BLOCK_BITS))
+        block, first, second = self._cells(F.col("g"))
+        cells = repeated.select(block.alias("_jobsift_block"), F.explode(F.array(first, second)).alias("bit"))
+        self.bitmaps = stage(cells.groupBy("_jobsift_block").agg(F.bitmap_construct_agg("bit").alias("_jobsift_bits")), "bloom")
+        unstage(repeated)
+
+    def _cells(self, g: Column) -> tuple[Column, Column, Column]:
+        """A shortened hash's block, and its two bits there."""
+        h = F.xxhash64(F.lit(8), g)
+        block = F.pmod(h, F.lit(self.blocks)).cast("int")
+        return block, *(F.shiftright(h, at).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("long") for at in (24, 42))
+
+    def parts(self, rows: DataFrame, hashed: str) -> list[DataFrame]:
+        """The rows with _jobsift_maybe, a table for each part of the filter."""
+        block, first, second = self._cells(_short(F.col(hashed), self.range_bits))
+        rows = rows.withColumn("_jobsift_block", block)
+        out = []
+        for at in range(0, self.blocks, PART_BLOCKS):
+            own = rows if self.blocks <= PART_BLOCKS else rows.filter(F.col("_jobsift_block").between(at, at + PART_BLOCKS - 1))
+            bits = self.bitmaps if self.blocks <= PART_BLOCKS else self.bitmaps.filter(F.col("_jobsift_block").between(at, at + PART_BLOCKS - 1))
+            met = own.join(F.broadcast(bits), "_jobsift_block", "left")  # PART_BLOCKS rows of 4 KB at most
+            hit = F.coalesce(_bit(F.col("_jobsift_bits"), first) & _bit(F.col("_jobsift_bits"), second), F.lit(False))
+            out.append(met.withColumn("_jobsift_maybe", hit).drop("_jobsift_block", "_jobsift_bits"))
+        return out
 
 
 def _bit(bits: Column, at: Column) -> Column:
@@ -50,32 +83,30 @@ def _bit(bits: Column, at: Column) -> Column:
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Annotate every row with keep_id, group_size, kept and text_sha256.
 
-    Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of equal texts
-    the row with the largest key stays; a null key is smallest, and of rows that repeat the same key
-    and text just one stays. Empty tables give empty results. Columns of the input pass through,
-    except those that have one of the four new names, which are replaced; names that begin with _jobsift
-    are reserved."""
+    Texts are equal when identical after lower-casing A-Z only; null counts as empty, and very long texts
+    are compared whole. Of equal texts the row with the largest key stays; a null key is smallest, and of rows
+    that repeat the same key and text just one stays. Empty tables give empty results. Columns of the input
+    pass through, except those that have one of the four new names, which are replaced; names that begin
+    with _jobsift are reserved."""
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     hashed = docs.withColumn("_jobsift_h", F.xxhash64(norm))
     n_rows = docs.count()
-    filter_bits, blocks = repeat_filter(hashed.select("_jobsift_h"), "_jobsift_h", n_rows)
-    filter_bits = stage(filter_bits.withColumnsRenamed({"block": "_jobsift_block", "bits": "_jobsift_bits"}), "bloom")
-
-    block, first, second = _cells(F.col("_jobsift_h"), blocks)
-    tested = hashed.withColumn("_jobsift_block", block).join(F.broadcast(filter_bits), "_jobsift_block", "left")
-    repeated = F.coalesce(_bit(F.col("_jobsift_bits"), first) & _bit(F.col("_jobsift_bits"), second), F.lit(False))
-    tested = tested.withColumn("_jobsift_maybe", repeated).drop("_jobsift_block", "_jobsift_bits", "_jobsift_h").withColumn("text_sha256", F.sha2(norm, 256))
-
-    single = tested.filter(~F.col("_jobsift_maybe")).select(
-        *docs.columns,
-        F.col(key).alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"),
-        "text_sha256",
-    )
-    maybe = tested.filter("_jobsift_maybe").drop("_jobsift_maybe").withColumn("_jobsift_row", F.monotonically_increasing_id())
-    maybe = stage(maybe, "repeats")
+    tested = RepeatFilter(hashed.select(F.col("_jobsift_h").alias("h")), n_rows).parts(hashed, "_jobsift_h")
+    tested = [t.drop("_jobsift_h").withColumn("text_sha256", F.sha2(norm, 256)) for t in tested]
+
+    single = [
+        t.filter(~F.col("_jobsift_maybe")).select(
+            *docs.columns,
+            F.col(key).alias("keep_id"),
+            F.lit(1).cast("long").alias("group_size"),
+            F.lit(True).alias("kept"),
+            "text_sha256",
+        )
+        for t in tested
+    ]
+    maybe = reduce(DataFrame.unionByName, [t.filter("_jobsift_maybe").drop("_jobsift_maybe") for t in tested])
+    maybe = stage(maybe.withColumn("_jobsift_row", F.monotonically_increasing_id()), "repeats")
     groups = maybe.groupBy("text_sha256").agg(
         F.max(F.struct(F.col(key).alias("key"), F.col("_jobsift_row").alias("row"))).alias("_jobsift_best"), F.count("*").alias("group_size")
     )
@@ -86,4 +117,4 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         (F.col("_jobsift_row") == F.col("_jobsift_best.row")).alias("kept"),
         "text_sha256",
     )
-    return single.unionByName(met)
+    return reduce(DataFrame.unionByName, single).unionByName(met)

@@ -6,12 +6,13 @@ import re
 
 import numpy as np
 import pytest
-from jobsift.llm import chosen_path
+from jobsift.llm import bloom_dedup, chosen_path
 from jobsift.llm.bloom_dedup import exact_dedup
 from jobsift.llm.chosen_path import near_duplicates
 from jobsift.llm.components import components
 from jobsift.llm.queries import ORACLE_SQL, QUERIES
 from jobsift.llm.shingles import shingle_sets
+from pyspark.sql import functions as F
 from tests.parity import assert_same, connect
 
 SF = "/root/testdata/sf0.01"
@@ -203,3 +204,27 @@ def test_near_group_of_thousands(spark, monkeypatch):
     assert 0.85 <= like(0, 1) < 0.86 and like(0, 2) < 0.85
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert all(r.component_id == r.doc_id // 2 * 2 for r in got.collect())
+
+
+@pytest.mark.parametrize("ranges,part_blocks", [(1 << 16, 1 << 14), (50, 1)])
+def test_filter_passes_unique_rows_in_any_number_of_parts(spark, monkeypatch, ranges, part_blocks):
+    monkeypatch.setattr(bloom_dedup, "RANGE_ROWS", ranges)
+    monkeypatch.setattr(bloom_dedup, "PART_BLOCKS", part_blocks)
+    monkeypatch.setattr(bloom_dedup, "BLOCK_BITS", 32768 if part_blocks > 1 else 2048)
+    rows = [(i, f"text {i // 2 if i < 1500 else i}") for i in range(3000)]  # 750 pairs
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = df.withColumn("h", F.xxhash64("text"))
+    made = bloom_dedup.RepeatFilter(hashes.select("h"), 3000)
+    parts = made.parts(hashes, "h")
+    assert len(parts) == made.blocks // part_blocks + (made.blocks % part_blocks > 0) and (part_blocks > 1) == (len(parts) == 1)
+    got = [r for p in parts for r in p.collect()]
+    assert sorted(r.doc_id for r in got) == list(range(3000))
+    assert all(r._jobsift_maybe for r in got if r.doc_id < 1500)
+    assert sum(r._jobsift_maybe for r in got if r.doc_id >= 1500) < 60
+    assert sorted((r.keep_id, r.group_size) for r in exact_dedup(df).collect() if r.kept) == sorted([(2 * i + 1, 2) for i in range(750)] + [(i, 1) for i in range(1500, 3000)])
+
+
+def test_first_pass_sends_lists_not_rows(spark):
+    hashes = spark.range(0, 50_000, 1, 8).select(F.xxhash64("id").alias("h"))
+    plan = bloom_dedup._maybe_repeated(hashes, 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "partial_collect_list" in plan
