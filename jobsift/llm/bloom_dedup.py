@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_groups, stage, unstage
+from .common import BROADCAST_ROWS, ascii_lower, join_groups, stage, unstage
 
 BLOCK_BITS = 32768  # of Spark's bitmap aggregates
 #: Bits of the second filter for each hash that may be repeated; two are set, so about 1.4 % of unique rows hit.
@@ -43,27 +43,24 @@ def _short(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 32 - bits)
 
 
-class RepeatFilter:
-    """The second filter: bitmaps by block, staged. Tests rows for whether their hash may be repeated."""
+class KeyFilter:
+    """A blocked Bloom filter of hashes (g): bitmaps by block, staged, so that its size is known before it is used."""
 
-    def __init__(self, hashes: DataFrame, n_rows: int) -> None:
-        self.range_bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(1, n_rows) / RANGE_ROWS))))
-        repeated = stage(_maybe_repeated(hashes, self.range_bits), "repeated")
-        self.blocks = max(1, math.ceil(repeated.count() * BITS_PER_HASH / BLOCK_BITS))
+    def __init__(self, hashes: DataFrame, n: int) -> None:
+        self.blocks = max(1, math.ceil(n * BITS_PER_HASH / BLOCK_BITS))
         block, first, second = self._cells(F.col("g"))
-        cells = repeated.select(block.alias("_jobsift_block"), F.explode(F.array(first, second)).alias("bit"))
+        cells = hashes.select(block.alias("_jobsift_block"), F.explode(F.array(first, second)).alias("bit"))
         self.bitmaps = stage(cells.groupBy("_jobsift_block").agg(F.bitmap_construct_agg("bit").alias("_jobsift_bits")), "bloom")
-        unstage(repeated)
 
     def _cells(self, g: Column) -> tuple[Column, Column, Column]:
-        """A shortened hash's block, and its two bits there."""
+        """A hash's block, and its two bits there."""
         h = F.xxhash64(F.lit(8), g)
         block = F.pmod(h, F.lit(self.blocks)).cast("int")
         return block, *(F.shiftright(h, at).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("long") for at in (24, 42))
 
-    def parts(self, rows: DataFrame, hashed: str) -> list[DataFrame]:
-        """The rows with _jobsift_maybe, a table for each part of the filter."""
-        block, first, second = self._cells(_short(F.col(hashed), self.range_bits))
+    def parts(self, rows: DataFrame, g: Column) -> list[DataFrame]:
+        """The rows with _jobsift_maybe, whether the filter may hold their g: a table for each part of the filter."""
+        block, first, second = self._cells(g)
         rows = rows.withColumn("_jobsift_block", block)
         out = []
         for at in range(0, self.blocks, PART_BLOCKS):
@@ -75,6 +72,32 @@ class RepeatFilter:
         return out
 
 
+def repeat_filter(hashes: DataFrame, n_rows: int) -> tuple[KeyFilter, int]:
+    """The second filter of a table of hashes (h), and how many bits of a hash name its range in the first."""
+    bits = min(RANGE_BITS, max(0, math.ceil(math.log2(max(1, n_rows) / RANGE_ROWS))))
+    repeated = stage(_maybe_repeated(hashes, bits), "repeated")
+    made = KeyFilter(repeated, repeated.count())
+    unstage(repeated)
+    return made, bits
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in gone, a staged table of distinct keys; a null is a key like any other.
+    Up to BROADCAST_ROWS keys are broadcast; a filter of more of them lets the other rows pass straight through, so
+    that only rows that may go meet the keys."""
+    n = gone.count()
+    gone = gone.withColumnRenamed(key, "_jobsift_gone")
+    anti = lambda r, g: r.join(g, r[key].eqNullSafe(g["_jobsift_gone"]), "left_anti")
+    if n <= BROADCAST_ROWS:
+        return anti(rows, F.broadcast(gone))
+    made = KeyFilter(gone.select(F.xxhash64("_jobsift_gone").alias("g")), n)
+    tested = made.parts(rows.withColumn("_jobsift_h", F.xxhash64(key)), F.col("_jobsift_h"))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    passed = [t.filter("not _jobsift_maybe").select(*names) for t in tested]
+    met = [anti(t.filter("_jobsift_maybe").select(*names), gone) for t in tested]
+    return reduce(DataFrame.unionByName, [*passed, *met])
+
+
 def _bit(bits: Column, at: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
@@ -92,7 +115,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     hashed = docs.withColumn("_jobsift_h", F.xxhash64(norm))
     n_rows = docs.count()
-    tested = RepeatFilter(hashed.select(F.col("_jobsift_h").alias("h")), n_rows).parts(hashed, "_jobsift_h")
+    made, bits = repeat_filter(hashed.select(F.col("_jobsift_h").alias("h")), n_rows)
+    tested = made.parts(hashed, _short(F.col("_jobsift_h"), bits))
     tested = [t.drop("_jobsift_h").withColumn("text_sha256", F.sha2(norm, 256)) for t in tested]
 
     single = [

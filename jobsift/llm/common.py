@@ -44,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _staged.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +55,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     deletes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _staged.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._jobsift_path = path
@@ -81,11 +82,13 @@ def sweep(spark: SparkSession) -> int:
     return len(gone)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str | list[str], how: str, rows: int | None = None) -> DataFrame:
-    """Join a table whose size was counted: broadcast up to BROADCAST_ROWS narrow rows, and beyond
-    that a shuffled join, whose hot keys adaptive execution splits."""
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stage what make() returns and delete everything that was staged on the way to it."""
+    before = set(_staged)
+    out = stage(make(), name)
+    for path in [p for p in _staged if p not in before and p != out._jobsift_path]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:

@@ -2,7 +2,12 @@
 
 import os
 
-from jobsift.llm.common import join_groups, shared_dir, stage, unstage
+import pyarrow as pa
+import pytest
+
+from jobsift.llm import common
+from jobsift.llm.common import join_groups, settle, shared_dir, stage, sweep, unstage
+
 from pyspark.sql import functions as F
 
 
@@ -24,3 +29,35 @@ def test_join_groups(spark):
         assert left.columns == ["k", "i", "n"] and left.count() == rows.count()
         assert {(r.k, r.n) for r in left.collect()} == {("hot", 500), ("alone", None), (None, None), *((f"k{i}", 2) for i in range(40))}
         assert join_groups(rows, groups, "k", "n", total).count() == 580
+
+
+def test_settle_and_sweep_delete_what_was_staged(spark):
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    sweep(spark)
+    out = settle(lambda: stage(spark.range(3), "half"), "whole")
+    assert [x for x in os.listdir(where) if x.startswith(("half", "whole"))] == [out._jobsift_path.rpartition("/")[2]] and out.count() == 3
+    assert sweep(spark) == 1 and not [x for x in os.listdir(where) if x.startswith("whole")]
+
+
+def test_cluster_without_shared_folder_is_refused(monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, *other: "file:/tmp/warehouse" if "warehouse" in key else None)
+
+        class sparkContext:
+            master = "yarn"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+    monkeypatch.setattr(Cluster.conf, "get", staticmethod(lambda key, *other: "hdfs://n/w" if "warehouse" in key else None))
+    assert shared_dir(Cluster) == "hdfs://n/w/_stages"
+
+
+def test_slices_are_bounded_by_rows_and_bytes(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 2000)], names=["t"])
+    assert [b.num_rows for b in common.slices([batch])] == [512, 512, 512, 464]
+    monkeypatch.setattr(common, "BATCH_BYTES", 10_000)
+    assert {b.num_rows for b in common.slices([batch])} <= {8, 9} and sum(b.num_rows for b in common.slices([batch])) == 2000
+    monkeypatch.setattr(common, "BATCH_BYTES", 10)
+    assert {b.num_rows for b in common.slices([batch])} == {1} and not list(common.slices([batch.slice(0, 0)]))

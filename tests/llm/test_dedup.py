@@ -9,6 +9,7 @@ import pytest
 from jobsift.llm import bloom_dedup, chosen_path
 from jobsift.llm.bloom_dedup import exact_dedup
 from jobsift.llm.chosen_path import near_duplicates
+from jobsift.llm.common import stage
 from jobsift.llm.components import components
 from jobsift.llm.queries import ORACLE_SQL, QUERIES
 from jobsift.llm.shingles import shingle_sets
@@ -214,8 +215,8 @@ def test_filter_passes_unique_rows_in_any_number_of_parts(spark, monkeypatch, ra
     rows = [(i, f"text {i // 2 if i < 1500 else i}") for i in range(3000)]  # 750 pairs
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     hashes = df.withColumn("h", F.xxhash64("text"))
-    made = bloom_dedup.RepeatFilter(hashes.select("h"), 3000)
-    parts = made.parts(hashes, "h")
+    made, bits = bloom_dedup.repeat_filter(hashes.select("h"), 3000)
+    parts = made.parts(hashes, bloom_dedup._short(F.col("h"), bits))
     assert len(parts) == made.blocks // part_blocks + (made.blocks % part_blocks > 0) and (part_blocks > 1) == (len(parts) == 1)
     got = [r for p in parts for r in p.collect()]
     assert sorted(r.doc_id for r in got) == list(range(3000))
@@ -228,3 +229,11 @@ def test_first_pass_sends_lists_not_rows(spark):
     hashes = spark.range(0, 50_000, 1, 8).select(F.xxhash64("id").alias("h"))
     plan = bloom_dedup._maybe_repeated(hashes, 0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 1 and "partial_collect_list" in plan
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_without(spark, monkeypatch, rows):
+    monkeypatch.setattr(bloom_dedup, "BROADCAST_ROWS", rows)
+    df = spark.createDataFrame([(None if i % 10 == 3 else i, f"t{i}") for i in range(100)], "k long, text string").withColumn("key", F.struct("k", F.lit(1)))
+    gone = stage(df.filter("k is null or k < 50").select("key").distinct(), "gone")
+    assert sorted(r.k for r in bloom_dedup.without(df, gone, "key").collect()) == [i for i in range(50, 100) if i % 10 != 3]
