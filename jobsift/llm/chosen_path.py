@@ -6,7 +6,9 @@ Every tree begins at one position of its own and keeps a pair of the wanted simi
 level on average (a branching factor above 1 / threshold); as many trees grow as the wanted recall needs
 when every node is large on every level. What a task finds similar it reduces to a spanning
 forest, never a list of all pairs. The forests' components, candidate clusters, are then compared on
-full shingle sets, block by block where a cluster is large, and the confirmed links make the result.
+full shingle sets, and the confirmed links make the result. A node or cluster too large for one task is dealt
+out in blocks; blocks meet the group's first one, and only what doesn't join the group's largest component
+meets them all.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, lean, ship, stage, unstage
+from .common import BROADCAST_ROWS, join_groups, lean, settle, ship, stage, unstage
 from .components import Forest, components
 from .shingles import minhashes, mix, set_key, shingle_sets
 
@@ -191,49 +193,114 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(part.column("text").to_pylist())
             own = [i for i, s in enumerate(sets) if len(s) and set_key(s) == cid[i]]
             yield pa.RecordBatch.from_arrays(
-                [part.column(c).take(pa.array(own, pa.int64())) for c in ("cluster", "rid", "blocks")] + [pa.array([sets[i].tobytes() for i in own], pa.binary())],
-                names=["cluster", "rid", "blocks", "hashes"],
+                [part.column(c).take(pa.array(own, pa.int64())) for c in ("grp", "rid", "blocks")] + [pa.array([sets[i].tobytes() for i in own], pa.binary())],
+                names=["grp", "rid", "blocks", "hashes"],
             )
 
 
-def _confirm(share: tuple[int, int]):
-    """Links on full sets within each pair of blocks of a cluster; their spanning forest."""
-    keys = ["cluster", "i", "j"]
-
-    def link(part: pd.DataFrame, forest: Forest) -> None:
-        part = part.drop_duplicates("rid")
-        rid, block = part["rid"].tolist(), part["own"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
-        sizes = np.array([len(s) for s in sets])
-        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        mark = np.zeros(int(codes.max()) + 1, dtype=np.int32)
-        cross = part["i"].iloc[0] != part["j"].iloc[0]
-        for x in range(len(rid) - 1):
-            later = np.arange(x + 1, len(rid))
-            can = np.minimum(sizes[later], sizes[x]) * share[1] >= np.maximum(sizes[later], sizes[x]) * share[0]
-            if cross:
-                can &= block[later] != block[x]
-            if not can.any():
-                continue
-            mine = codes[at[x] : at[x + 1]]
-            mark[mine] = 1
-            common = np.add.reduceat(mark[codes[at[x + 1] :]], at[x + 1 : -1] - at[x + 1])
-            mark[mine] = 0
-            linked = can & (common * share[1] >= (sizes[later] + sizes[x] - common) * share[0])
-            for y in later[linked].tolist():
-                forest.join(rid[x], rid[y])
+def _by_signature(part: pd.DataFrame, share: tuple[int, int]):
+    """A test of row x against rows y: signatures agree as much as those of similar sets."""
+    least = _agree(share[0] / share[1]) * SIGNATURE
+    sig, n = np.frombuffer(b"".join(part["low"]), np.uint8).reshape(-1, SIGNATURE), part["n"].to_numpy()
+
+    def test(x: int, y: np.ndarray) -> np.ndarray:
+        y = y[np.minimum(n[y], n[x]) * share[1] >= np.maximum(n[y], n[x]) * share[0]]
+        return y[(sig[y] == sig[x]).sum(axis=1) >= least]
+
+    return test
+
+
+def _by_sets(part: pd.DataFrame, share: tuple[int, int]):
+    """A test of row x against rows y: full sets are similar."""
+    sets = [np.frombuffer(x, np.uint64) for x in part["hashes"]]
+    n = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(n)))[:-1]
+    mark = np.zeros(int(codes.max()) + 1, dtype=np.int32)
+
+    def test(x: int, y: np.ndarray) -> np.ndarray:
+        y = y[np.minimum(n[y], n[x]) * share[1] >= np.maximum(n[y], n[x]) * share[0]]
+        if not len(y):
+            return y
+        first = np.concatenate(([0], np.cumsum(n[y])))
+        where = np.repeat(at[y] - first[:-1], n[y]) + np.arange(first[-1])
+        mine = codes[at[x] : at[x] + n[x]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[codes[where]], first[:-1])
+        mark[mine] = 0
+        return y[common * share[1] >= (n[y] + n[x] - common) * share[0]]
+
+    return test
+
+
+def _spanning(part: pd.DataFrame, test) -> Iterator[tuple[int, int]]:
+    """Links that join the rows of a task; rows of which it is known that they are joined aren't compared. If the
+    task has two sides, only rows of different sides are."""
+    rid, side, label = part["rid"].to_numpy(), part["side"].to_numpy(), part["label"].to_numpy().copy()
+    two = bool(side.any())
+    for x in np.flatnonzero(side == 0):
+        can = label != label[x]
+        if two:
+            can &= side == 1
+        else:
+            can[:x] = False
+        if can.any() and len(y := test(x, np.flatnonzero(can))):
+            joined, one = np.unique(label[y], return_index=True)
+            label[np.isin(label, joined)] = label[x]
+            yield from ((int(rid[x]), int(rid[k])) for k in y[one])
+
 
+_TASK = ["grp", "i", "j"]
+
+
+def _compare_tasks(test_of, share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for frame in _runs(batches, keys, 2048):
-            for a, b in _groups(frame, keys):
-                link(frame.iloc[a:b], forest)
-        yield _edges(forest)
+        for frame in _runs(batches, _TASK, 2048):
+            found = []
+            for a, b in _groups(frame, _TASK):
+                part = frame.iloc[a:b].drop_duplicates(["rid", "side"], ignore_index=True)
+                found += _spanning(part, test_of(part, share))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def linked_in_blocks(rows: DataFrame, test_of, share: tuple[int, int], more: list[str]) -> DataFrame:
+    """Links (a, b) that join the similar rows of each group; rows are staged as (grp, rid, blocks, *more), and a
+    group is dealt out in that many blocks.
+
+    Each block is compared with itself and with the group's first block. What is not in the group's largest
+    component after that (few rows, where a group is one of copies) is then compared with all blocks,
+    so no link between different components is missed, and no pair is met that is joined already."""
+    compare = lambda tasks: tasks.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(lean(_compare_tasks(test_of, share)), "a long, b long")
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    placed = rows.withColumn("own", own)
+    meets = F.explode(F.when(F.col("own") == 0, upto("blocks")).otherwise(F.array(F.lit(0).cast("long"), "own"))).alias("other")
+    tasks = placed.select("*", meets).withColumns({
+        "i": F.when(F.col("own") == 0, F.lit(0).cast("long")).otherwise(F.col("other")),
+        "j": F.greatest("own", "other"),
+        "label": F.col("rid"),
+    })
+    tasks = tasks.withColumn("side", (F.col("own") != F.col("i")).cast("int"))
+    links = stage(compare(tasks.select(*_TASK, "side", "label", "rid", *more)), "links")
+    dealt = placed.filter("blocks > 1")
+    if dealt.isEmpty():
+        return links
+
+    joined = components(links).select(F.col("node").alias("rid"), F.col("root").alias("label"))
+    members = stage(dealt.select("grp", "rid", "own", "blocks").join(joined, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "members")
+    parts = members.groupBy("grp", "label").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("members"), (F.sum("size") - F.max("size")).alias("strays"))
+    largest = stage(largest.withColumn("s_blocks", F.ceil(F.col("strays") / BLOCK_CLASSES)).filter("strays > 0"), "largest")
+    total = members.count()
+    known = join_groups(members, largest, "grp", "members", total).select("grp", "rid", "own", "blocks", "label", "largest", "s_blocks")
+    strays = known.filter("label <> largest").select("grp", "rid", "label", F.pmod(F.xxhash64(F.lit(1), "rid"), "s_blocks").alias("i"), F.explode(upto("blocks")).alias("j"), F.lit(0).alias("side"))
+    others = known.select("grp", "rid", "label", F.explode(upto("s_blocks")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
+    met = stage(strays.unionByName(others), "strays").join(rows.select("grp", "rid", *more), ["grp", "rid"])
+    return links.union(compare(met.select(*_TASK, "side", "label", "rid", *more)))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", share: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
@@ -241,66 +308,63 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     component_id is the smallest key reachable by links, the row's own included, and kept is key =
     component_id. Rows without words link with nothing. Null keys are allowed: they are never a
     component's name unless all its keys are null, and such rows are all kept. Rows that repeat a key
-    are all kept if it names the component. Other columns are ignored, whatever their names. Lost links
-    are those that no tree brings into a node or whose signatures agree too little: fewer than one in 10,000
+    are all kept if it names the component. Very long texts are read whole, an empty table gives no rows, and
+    other columns are ignored, whatever their names. Lost links are those that no tree brings into a node or whose signatures agree too little: fewer than one in 10,000
     at the threshold itself, by miss(), however large the nodes are."""
-    spark = docs.sparkSession
-    ship(spark)
-    threshold = share[0] / share[1]
+    ship(docs.sparkSession)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     sketch = stage(docs.mapInArrow(lean(_sketch), f"id {id_type}, n long, cid binary, sig binary, low binary"), "sketch")
+    name_of = settle(lambda: _names(docs, sketch, share), "names")
+    out = join_groups(sketch.select("id", "n", "cid"), name_of, "cid", "copies", sketch.count(), "left")
+    component = F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("id"))
+    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(cid, component_id, copies, _met) of each class whose rows don't just name themselves."""
+    threshold = share[0] / share[1]
     classes = sketch.filter("cid is not null").groupBy("cid").agg(
         F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("low").alias("low")
     )
     classes = stage(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-
+    n_classes = classes.count()
     leaves: list[DataFrame] = []
+    large = None
     rows = classes.select("rid", "sig").mapInArrow(lean(_branch(threshold, _roots(threshold))), "path long, rid long")
     for depth in range(DEPTH):
-        counts = rows.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
-        met = stage(rows.join(counts, "path"), "nodes")
+        rows = stage(rows, "branches")
+        counts = stage(rows.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
+        met = stage(join_groups(rows, counts, "path", "members", rows.count()), "nodes")
         leaves.append(met.filter(F.col("members") <= NODE_ROWS).select("path", "rid"))
-        large = met.filter(F.col("members") > NODE_ROWS)
-        if large.isEmpty():
+        too_large = not counts.filter(F.col("members") > NODE_ROWS).isEmpty()
+        unstage(rows, counts)
+        if not too_large:
             break
+        large = met.filter(F.col("members") > NODE_ROWS)
         if depth < DEPTH - 1:
-            rows = large.select("path", "rid").join(classes.select("rid", "sig"), "rid").mapInArrow(lean(_branch(threshold, None)), "path long, rid long")
-            rows = stage(rows, "branches")
-            continue
-        # still too large for one task: meet in pairs of blocks
-        half = NODE_ROWS // 2
-        own = F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / half))
-        dealt = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / half) - 1)))
-        leaves.append(dealt.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rid"))
-    nodes = reduce(DataFrame.union, leaves)
-    signed = nodes.join(classes.select("rid", "n", "low"), "rid")
+            rows = large.join(classes.select("rid", "sig"), "rid").select("path", "rid", "sig").mapInArrow(lean(_branch(threshold, None)), "path long, rid long")
+            large = None
+    signed = reduce(DataFrame.union, leaves).join(classes.select("rid", "n", "low"), "rid")
     similar = signed.repartition("path").sortWithinPartitions("path").mapInArrow(lean(_compare_nodes(share)), "a long, b long")
-    clusters = components(similar).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
-    clusters = clusters.join(classes.select("rid", "cid", "rep", "n"), "rid")
-    sizes = clusters.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-    )
-    clusters = stage(clusters.join(sizes, "cluster"), "clusters")
-
+    if large is not None:  # still too large for one task
+        blocks = F.ceil(F.col("members") / (NODE_ROWS // 2)).alias("blocks")
+        dealt = large.select(F.col("path").alias("grp"), "rid", blocks).join(classes.select("rid", "n", "low"), "rid")
+        similar = similar.union(linked_in_blocks(stage(dealt, "large"), _by_signature, share, ["n", "low"]))
+    clusters = stage(components(similar).select(F.col("node").alias("rid"), F.col("root").alias("grp")).join(classes.select("rid", "cid", "rep", "n"), "rid"), "clusters")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    sizes = stage(clusters.groupBy("grp").agg(blocks, F.count("*").alias("members")), "sizes")
     n_clustered = clusters.count()
-    wanted = clusters.select("cluster", "rid", "blocks", "cid", "rep")
+    wanted = stage(join_groups(clusters, sizes, "grp", "members", n_clustered).select("grp", "rid", "blocks", "cid", "rep"), "wanted")
+
     there = docs.join(F.broadcast(wanted) if n_clustered <= BROADCAST_ROWS else wanted, docs["id"].eqNullSafe(wanted["rep"]))
-    sets = there.select("cluster", "rid", "blocks", "cid", "text").mapInArrow(lean(_sets_of), "cluster long, rid long, blocks long, hashes binary")
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    )
-    tasks = sets.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "hashes")
-    links = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lean(_confirm(share)), "a long, b long")
-    linked = components(links).withColumnRenamed("node", "rid")
+    sets = stage(there.select("grp", "rid", "blocks", "cid", "text").mapInArrow(lean(_sets_of), "grp long, rid long, blocks long, hashes binary"), "sets")
+    linked = components(linked_in_blocks(sets, _by_sets, share, ["hashes"])).withColumnRenamed("node", "rid")
 
     named = classes.select("rid", "cid", "rep", "copies").join(linked, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     named = stage(named, "named")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = stage(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "least")
     alone = F.col("copies") == 1
-    name_of = stage(named.join(least, "root").filter(~(alone & F.col("rep").eqNullSafe(F.col("component_id")))).select("cid", "component_id", "copies", F.lit(True).alias("_met")), "names")
-    out = join_groups(sketch.select("id", "n", "cid"), name_of, "cid", "copies", sketch.count(), "left")
-    component = F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    unstage(classes, clusters, named)
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    name_of = join_groups(named, least, "root", "members", n_classes).filter(~(alone & F.col("rep").eqNullSafe(F.col("component_id"))))
+    return name_of.select("cid", "component_id", "copies", F.lit(True).alias("_met"))

@@ -7,7 +7,7 @@ from collections.abc import Hashable, Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stage, unstage
+from .common import BROADCAST_ROWS, join_groups, settle, stage, unstage
 
 
 class Forest:
@@ -49,37 +49,46 @@ def stars_of(links: Iterable[tuple[Hashable, Hashable]]) -> list[tuple[Hashable,
     return list(f.stars())
 
 
-def _min_of_each(e: DataFrame, few: bool) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    return F.broadcast(least) if few else least
+def _with_least(e: DataFrame, n: int) -> DataFrame:
+    """e with m, the least v of each u. Hubs meet the one row of their minimum by broadcast."""
+    least = stage(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_jobsift_n")), "least")
+    return join_groups(e, least, "u", "_jobsift_n", n).drop("_jobsift_n")
 
 
-def _large_star(e: DataFrame, few: bool) -> DataFrame:
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     """Link the larger neighbours of each node to its smallest neighbour, or to itself if it is smaller."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = both.join(_min_of_each(both, few), "u").filter("v > u")
+    met = _with_least(both, 2 * n).filter("v > u")
     return met.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame, few: bool) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them. Links point to the smaller node."""
-    met = e.join(_min_of_each(e, few), "u")
     ends = F.explode(F.array("u", "v")).alias("u")
-    return met.select(ends, F.col("m").alias("v")).filter("u <> v").distinct()
+    return _with_least(e, n).select(ends, F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def _few(e: DataFrame) -> DataFrame:
+    """Both steps in one plan for at most BROADCAST_ROWS links, whose minima are broadcast."""
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    met = both.join(F.broadcast(both.groupBy("u").agg(F.min("v").alias("m"))), "u").filter("v > u")
+    large = met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    met = large.join(F.broadcast(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
+    return met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link, root the smallest node of its component.
 
-    Nulls in a link are ignored; self-links and repeated links do no harm. No step collects rows to
-    the driver: minima are pre-aggregated, hub nodes meet in a join that adaptive execution splits (one
-    that is broadcast while there are at most BROADCAST_ROWS links), and every round is written to the
-    shared folder."""
+    Nulls in a link are ignored; self-links and repeated links do no harm, and without links there are no
+    rows. No step collects rows to the driver: minima are pre-aggregated, nodes with a thousandth of all links meet
+    theirs by broadcast, and so does every node while there are at most BROADCAST_ROWS links. Every round is
+    written to the shared folder."""
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state, n = None, e.count()
     while n:
-        after = stage(_small_star(_large_star(e, n <= BROADCAST_ROWS), n <= BROADCAST_ROWS), "links")
+        after = settle(lambda: _few(e) if n <= BROADCAST_ROWS else _small_star(stage(_large_star(e, n), "stars"), n), "links")  # noqa: B023
         seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         unstage(e)
         e, n = after, seen[0]

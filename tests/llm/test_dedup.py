@@ -9,7 +9,7 @@ import pytest
 from jobsift.llm import bloom_dedup, chosen_path
 from jobsift.llm.bloom_dedup import exact_dedup
 from jobsift.llm.chosen_path import near_duplicates
-from jobsift.llm.common import stage
+from jobsift.llm.common import join_groups, stage
 from jobsift.llm.components import components
 from jobsift.llm.queries import ORACLE_SQL, QUERIES
 from jobsift.llm.shingles import shingle_sets
@@ -117,7 +117,7 @@ def test_shingles_match_words():
 @pytest.mark.parametrize("node_rows", [chosen_path.NODE_ROWS, 8])
 def test_near_equals_brute_force(spark, monkeypatch, node_rows):
     monkeypatch.setattr(chosen_path, "NODE_ROWS", node_rows)
-    monkeypatch.setattr(chosen_path, "BLOCK_CLASSES", node_rows)
+    monkeypatch.setattr(chosen_path, "BLOCK_CLASSES", min(node_rows, 3))
     rows = near_copies(240, 5) + [(None, "a b c d e f"), (2, "A b c d e f"), (5, ""), (6, None), (8, "a b c"), (11, "a B c"), (14, "a  b"), (17, "solo word"), (8, "one two three four five six"), (20, "é"), (23, "É")]
     df = spark.createDataFrame([(i, t, "old", 0) for i, t in rows], SCHEMA).repartition(3)
     sizes, want = brute(rows)
@@ -237,3 +237,45 @@ def test_without(spark, monkeypatch, rows):
     df = spark.createDataFrame([(None if i % 10 == 3 else i, f"t{i}") for i in range(100)], "k long, text string").withColumn("key", F.struct("k", F.lit(1)))
     gone = stage(df.filter("k is null or k < 50").select("key").distinct(), "gone")
     assert sorted(r.k for r in bloom_dedup.without(df, gone, "key").collect()) == [i for i in range(50, 100) if i % 10 != 3]
+
+
+def test_blocks_join_what_brute_force_joins(spark):
+    """Groups of a large component, of small ones, and of sets that link across blocks only."""
+    rng = random.Random(9)
+    rows, truth = [], []
+    for g in range(3):
+        base = [rng.randrange(2**60) for _ in range(40)]
+        for k in range(60):
+            if g == 0 or g == 1 and k % 3:  # copies of one set; the others are like one other set at most
+                s = set(base[: 39 + k % 2])
+            else:
+                s = {hash((g, k // 2, j)) & (2**62 - 1) for j in range(40)} | {k}
+            rows.append((g, 100 * g + k, 60 // 7, np.array(sorted(s), np.uint64).tobytes()))
+            truth.append((g, 100 * g + k, s))
+    up = {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, (g, a, s) in enumerate(truth):
+        for h, b, t in truth[:i]:
+            if g == h and len(s & t) * 100 >= 85 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    df = stage(spark.createDataFrame(rows, "grp long, rid long, blocks long, hashes binary").repartition(3), "sets")
+    links = chosen_path.linked_in_blocks(df, chosen_path._by_sets, (85, 100), ["hashes"])
+    got = {r.node: r.root for r in components(links).collect()}
+    assert {a: got.get(a, a) for _, a, _ in truth} == {a: find(a) for _, a, _ in truth}
+    assert links.count() < 3 * len(rows)
+
+
+def test_hot_nodes_and_hubs_meet_by_broadcast(spark):
+    """A key with a thousandth of all rows doesn't meet its one row in a shuffle."""
+    rows = stage(spark.range(0, 4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("path"), "id"), "rows")
+    counts = stage(rows.groupBy("path").agg(F.count("*").alias("members")), "counts")
+    joined = join_groups(rows, counts, "path", "members", 4000)
+    parts = joined.filter("path <> 7").groupBy(F.spark_partition_id()).count().collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.filter("path = 7").count() == 2001 and parts and "BroadcastHashJoin" in plan
