@@ -8,7 +8,8 @@ when every node is large on every level. What a task finds similar it reduces to
 forest, never a list of all pairs. The forests' components, candidate clusters, are then compared on
 full shingle sets, and the confirmed links make the result. A node or cluster too large for one task is dealt
 out in blocks; blocks meet the group's first one, and only what doesn't join the group's largest component
-meets them all.
+meets them all. So a large node of copies costs in proportion to its size and needs no branching, and a
+large node of different texts branches.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, join_groups, lean, settle, ship, stage, unstage
@@ -36,8 +37,10 @@ NODE_ROWS = 1024
 DEPTH = 4
 #: Signatures must agree in a share that lies so many standard deviations below the wanted similarity.
 AGREE_DEVIATIONS = 5
-#: A block of a large cluster has at most about so many classes, and so many shingles in all.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
+#: A block of a large group has about so many classes; of a cluster, so many shingles in all at most.
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 200_000
+#: Strays that are compared with a block at once.
+STRAYS = 1024
 
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, size=SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -265,40 +268,82 @@ def _compare_tasks(test_of, share: tuple[int, int]):
     return run
 
 
-def linked_in_blocks(rows: DataFrame, test_of, share: tuple[int, int], more: list[str]) -> DataFrame:
-    """Links (a, b) that join the similar rows of each group; rows are staged as (grp, rid, blocks, *more), and a
-    group is dealt out in that many blocks.
+def _upto(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+
+def _compare(tasks: DataFrame, test_of, share: tuple[int, int]) -> DataFrame:
+    return tasks.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(lean(_compare_tasks(test_of, share)), "a long, b long")
 
-    Each block is compared with itself and with the group's first block. What is not in the group's largest
-    component after that (few rows, where a group is one of copies) is then compared with all blocks,
-    so no link between different components is missed, and no pair is met that is joined already."""
-    compare = lambda tasks: tasks.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(lean(_compare_tasks(test_of, share)), "a long, b long")
+
+def first_links(rows: DataFrame, test_of, share: tuple[int, int], more: list[str]) -> DataFrame:
+    """Links (a, b) in groups dealt out in blocks; rows are (grp, rid, blocks, *more). Each block is compared with
+    itself and with the group's first block."""
     own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    placed = rows.withColumn("own", own)
-    meets = F.explode(F.when(F.col("own") == 0, upto("blocks")).otherwise(F.array(F.lit(0).cast("long"), "own"))).alias("other")
-    tasks = placed.select("*", meets).withColumns({
+    meets = F.explode(F.when(F.col("own") == 0, _upto("blocks")).otherwise(F.array(F.lit(0).cast("long"), "own"))).alias("other")
+    tasks = rows.withColumn("own", own).select("*", meets).withColumns({
         "i": F.when(F.col("own") == 0, F.lit(0).cast("long")).otherwise(F.col("other")),
         "j": F.greatest("own", "other"),
         "label": F.col("rid"),
     })
     tasks = tasks.withColumn("side", (F.col("own") != F.col("i")).cast("int"))
-    links = stage(compare(tasks.select(*_TASK, "side", "label", "rid", *more)), "links")
-    dealt = placed.filter("blocks > 1")
+    return _compare(tasks.select(*_TASK, "side", "label", "rid", *more), test_of, share)
+
+
+def with_strays(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (grp, rid, blocks, ...), staged, with label, the component they have by the links, and of their group
+    the largest label and strays, how many members have another. Groups without strays are left out: all their
+    members are joined."""
+    joined = components(links).select(F.col("node").alias("rid"), F.col("root").alias("label"))
+    named = stage(members.join(joined, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "members")
+    parts = named.groupBy("grp", "label").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("strays"))
+    largest = stage(largest.filter("strays > 0"), "largest")
+    return stage(join_groups(named, largest, "grp", "all", named.count()).drop("all"), "strays")
+
+
+def stray_links(known: DataFrame, payload: DataFrame, on: list[str], test_of, share: tuple[int, int], more: list[str]) -> DataFrame:
+    """Links (a, b) of strays with what of their group has another label, in all blocks. known: from with_strays()."""
+    known = known.withColumn("s_blocks", F.ceil(F.col("strays") / STRAYS))
+    strays = known.filter("label <> largest").select("grp", "rid", "label", F.pmod(F.xxhash64(F.lit(1), "rid"), "s_blocks").alias("i"), F.explode(_upto("blocks")).alias("j"), F.lit(0).alias("side"))
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
+    others = known.select("grp", "rid", "label", F.explode(_upto("s_blocks")).alias("i"), own.alias("j"), F.lit(1).alias("side"))
+    met = strays.unionByName(others).join(payload.select(*on, *more), on)
+    return _compare(met.select(*_TASK, "side", "label", "rid", *more), test_of, share)
+
+
+def linked_in_blocks(rows: DataFrame, test_of, share: tuple[int, int], more: list[str]) -> DataFrame:
+    """Links (a, b) that join the similar rows of each group; rows are staged as (grp, rid, blocks, *more), each rid
+    in one group.
+
+    What is not in its group's largest component after first_links() (few rows, where a group is one of
+    copies) is compared with all blocks, so no link between different components is missed, and no pair is
+    met that is joined already."""
+    links = stage(first_links(rows, test_of, share, more), "links")
+    dealt = rows.filter("blocks > 1").select("grp", "rid", "blocks")
     if dealt.isEmpty():
         return links
+    known = with_strays(dealt, links)
+    return links.union(stray_links(known, rows, ["grp", "rid"], test_of, share, more))
 
-    joined = components(links).select(F.col("node").alias("rid"), F.col("root").alias("label"))
-    members = stage(dealt.select("grp", "rid", "own", "blocks").join(joined, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "members")
-    parts = members.groupBy("grp", "label").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("members"), (F.sum("size") - F.max("size")).alias("strays"))
-    largest = stage(largest.withColumn("s_blocks", F.ceil(F.col("strays") / BLOCK_CLASSES)).filter("strays > 0"), "largest")
-    total = members.count()
-    known = join_groups(members, largest, "grp", "members", total).select("grp", "rid", "own", "blocks", "label", "largest", "s_blocks")
-    strays = known.filter("label <> largest").select("grp", "rid", "label", F.pmod(F.xxhash64(F.lit(1), "rid"), "s_blocks").alias("i"), F.explode(upto("blocks")).alias("j"), F.lit(0).alias("side"))
-    others = known.select("grp", "rid", "label", F.explode(upto("s_blocks")).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-    met = stage(strays.unionByName(others), "strays").join(rows.select("grp", "rid", *more), ["grp", "rid"])
-    return links.union(compare(met.select(*_TASK, "side", "label", "rid", *more)))
+
+def _large_nodes(large: DataFrame, signed: DataFrame, share: tuple[int, int], last: bool) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (a, b) of nodes too large for one task, and the rows (path, rid) of those nodes that must
+    branch again.
+
+    Each class is compared once first, in the largest of its nodes; that joins groups of copies. Of each node
+    only strays from its largest component are then compared with all, unless there are too many of them:
+    then the node is one of different texts that have a token in common, and branches, as long as it can."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_CLASSES).alias("blocks")
+    own = large.groupBy("rid").agg(F.max(F.struct("members", "path")).alias("at")).select("rid", F.col("at.path").alias("grp"))
+    own = stage(own, "own")
+    sizes = stage(own.groupBy("grp").agg(F.count("*").alias("members")), "sizes")
+    dealt = join_groups(own, sizes, "grp", "members", own.count()).select("grp", "rid", blocks("members"))
+    links = stage(first_links(dealt.join(signed, "rid"), _by_signature, share, ["n", "low"]), "links")
+    known = with_strays(large.select(F.col("path").alias("grp"), "rid", blocks("members")), links)
+    few = known if last else known.filter(F.col("strays") <= NODE_ROWS)
+    found = links.union(stray_links(few, signed, ["rid"], _by_signature, share, ["n", "low"]))
+    return stage(found, "similar"), known.filter(F.col("strays") > NODE_ROWS).select(F.col("grp").alias("path"), "rid")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", share: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -331,7 +376,8 @@ def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFr
     classes = stage(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     n_classes = classes.count()
     leaves: list[DataFrame] = []
-    large = None
+    found: list[DataFrame] = []
+    signed = classes.select("rid", "n", "low")
     rows = classes.select("rid", "sig").mapInArrow(lean(_branch(threshold, _roots(threshold))), "path long, rid long")
     for depth in range(DEPTH):
         rows = stage(rows, "branches")
@@ -342,16 +388,14 @@ def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFr
         unstage(rows, counts)
         if not too_large:
             break
-        large = met.filter(F.col("members") > NODE_ROWS)
-        if depth < DEPTH - 1:
-            rows = large.join(classes.select("rid", "sig"), "rid").select("path", "rid", "sig").mapInArrow(lean(_branch(threshold, None)), "path long, rid long")
-            large = None
-    signed = reduce(DataFrame.union, leaves).join(classes.select("rid", "n", "low"), "rid")
-    similar = signed.repartition("path").sortWithinPartitions("path").mapInArrow(lean(_compare_nodes(share)), "a long, b long")
-    if large is not None:  # still too large for one task
-        blocks = F.ceil(F.col("members") / (NODE_ROWS // 2)).alias("blocks")
-        dealt = large.select(F.col("path").alias("grp"), "rid", blocks).join(classes.select("rid", "n", "low"), "rid")
-        similar = similar.union(linked_in_blocks(stage(dealt, "large"), _by_signature, share, ["n", "low"]))
+        links, again = _large_nodes(met.filter(F.col("members") > NODE_ROWS), signed, share, depth == DEPTH - 1)
+        found.append(links)
+        if depth == DEPTH - 1 or again.isEmpty():
+            break
+        rows = again.join(classes.select("rid", "sig"), "rid").select("path", "rid", "sig").mapInArrow(lean(_branch(threshold, None)), "path long, rid long")
+    nodes = reduce(DataFrame.union, leaves).join(signed, "rid")
+    nodes = nodes.repartition("path").sortWithinPartitions("path").mapInArrow(lean(_compare_nodes(share)), "a long, b long")
+    similar = reduce(DataFrame.union, [nodes, *found])
     clusters = stage(components(similar).select(F.col("node").alias("rid"), F.col("root").alias("grp")).join(classes.select("rid", "cid", "rep", "n"), "rid"), "clusters")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
     sizes = stage(clusters.groupBy("grp").agg(blocks, F.count("*").alias("members")), "sizes")

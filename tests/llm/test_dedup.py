@@ -118,6 +118,7 @@ def test_shingles_match_words():
 def test_near_equals_brute_force(spark, monkeypatch, node_rows):
     monkeypatch.setattr(chosen_path, "NODE_ROWS", node_rows)
     monkeypatch.setattr(chosen_path, "BLOCK_CLASSES", min(node_rows, 3))
+    monkeypatch.setattr(chosen_path, "STRAYS", 2)
     rows = near_copies(240, 5) + [(None, "a b c d e f"), (2, "A b c d e f"), (5, ""), (6, None), (8, "a b c"), (11, "a B c"), (14, "a  b"), (17, "solo word"), (8, "one two three four five six"), (20, "é"), (23, "É")]
     df = spark.createDataFrame([(i, t, "old", 0) for i, t in rows], SCHEMA).repartition(3)
     sizes, want = brute(rows)
