@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each block element. Text lengths of lines are summed over a sliding
 window of lines with text; where the sum surges the article begins, where it dives to nothing it pauses, and
 the lines of all such regions are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
-their element, role or class) are left out, and lines that are mostly links have no length; if a page marks
-its article, lines outside have none either.
+their element, role or class) are left out. Markup otherwise only weighs lines: those that are mostly links have
+no length, nor have those outside of articles if a page marks some, and marked lines count more.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import lean, schema_with, ship
 
 WINDOW = 3
-#: The window sum at which an article begins, on a page that doesn't mark its article.
+#: The window sum at which an article begins, or the largest one if none is so large.
 SURGE = 86
+#: How many times a line counts that the page marks as its article's.
+MARKED = 4
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -50,7 +52,7 @@ _NUMBERED = re.compile(r"(?:ads?|banner|comment|sidebar|widget)\d+")
 _STATE = frozenset("has with no not is without".split())
 _NOT_HIDING = frozenset("html body main article".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_END_NOTE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)|.*\ball rights reserved\b", re.I | re.S)
+_END_NOTE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
 
 
 @dataclass
@@ -61,6 +63,7 @@ class Line:
     out: bool  # in a part that isn't article text
     article: int  # which marked article it is in, -1: none
     main: bool
+    place: int = 0  # among all lines, empty ones too
 
 
 @dataclass
@@ -105,7 +108,7 @@ def lines_of(page: str) -> list[Line]:
     def close(heading: bool = False) -> None:
         nonlocal now
         text = " ".join("".join(now.parts).split())
-        out.append(Line(text, min(now.links, len(text)), now.heading, bool(zone), current if article else -1, main > 0))
+        out.append(Line(text, min(now.links, len(text)), now.heading, bool(zone), current if article else -1, main > 0, len(out)))
         now = _Open(heading=heading)
 
     def add(raw: str) -> None:
@@ -190,61 +193,63 @@ def _regions(sizes: list[int], surge: float) -> Iterator[tuple[int, int]]:
             i += 1
 
 
-def _unmarked(lines: list[Line], length: list[int]) -> list[Line]:
-    """The article's lines on a page that doesn't mark it. Windows are over lines with text, so markup alone
-    never ends a region; WINDOW lines of links do. All regions that surge count, up to the last line before
-    links or an end note; lines of links within a region stay."""
-    at = [i for i, x in enumerate(lines) if x.text]
-    sizes = [length[i] for i in at]
+def _weights(lines: list[Line]) -> tuple[list[int], list[bool]]:
+    """Each line's length in the distribution, and which lines the page marks as its article's. Lines that are mostly links have none. If the page marks articles, or
+    else a main element, lines outside have none and lines inside count MARKED times; in the largest article its
+    links count as text."""
+    plain = [0 if 2 * x.links > len(x.text) else len(x.text) for x in lines]
+    inside = [x.article >= 0 for x in lines]
+    if not any(n and own for n, own in zip(plain, inside, strict=True)):
+        inside = [x.main for x in lines]
+    if not any(n and own for n, own in zip(plain, inside, strict=True)):
+        return plain, []
+    size: dict[int, int] = {}
+    for x, n, own in zip(lines, plain, inside, strict=True):
+        if own:
+            size[x.article] = size.get(x.article, 0) + n
+    largest = max(size, key=lambda k: (size[k], -k))
+    return [MARKED * (len(x.text) if x.article == largest else n) if own else 0 for x, n, own in zip(lines, plain, inside, strict=True)], inside
+
+
+def main_text(page: str | None) -> str:
+    """The text of the article, blocks joined by a space; empty if there is none.
+
+    Windows are over lines with text, so markup alone never ends a region; WINDOW lines without length do. All
+    regions that surge count. A region goes back from its surge to the dive before it, so short lines
+    at its begin are kept, and lines without length within it stay. On pages without a marked article,
+    labels far above the first heading and an end note don't belong to it."""
+    lines = [x for x in lines_of(page or "") if not x.out and x.text]
+    sizes, marked = _weights(lines)
     most = max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0)
+    surge = min(SURGE, most)
     out: list[Line] = []
-    for n, (_, end) in enumerate(_regions(sizes, min(SURGE, most))):
+    for n, (_, end) in enumerate(_regions(sizes, surge)):
         a = end
-        while a and any(sizes[max(0, a - WINDOW) : a]):  # back to links or the page's begin
+        while a and any(sizes[max(0, a - WINDOW) : a]):  # back to the dive before, or to the page's begin
             a -= 1
-        surge = next(i for i in range(a, end) if sum(sizes[i : i + WINDOW]) >= min(SURGE, most))
+        first = next(i for i in range(a, end) if sum(sizes[i : i + WINDOW]) >= surge)
         while a < end and not sizes[a]:
             a += 1
-        if not n:  # labels far above the first heading
-            for k in range(a + 1, min(surge + WINDOW, end)):
-                if lines[at[k]].heading and at[k] - at[k - 1] > WINDOW and all(sizes[j] < SURGE // 2 for j in range(a, k)):
-                    a = k
-                    break
         b = end
         while b > a and not sizes[b - 1]:
             b -= 1
-        while b > a and _END_NOTE.match(lines[at[b - 1]].text) and len(lines[at[b - 1]].text) < 200:
-            b -= 1
-        out += [lines[i] for i in at[a:b]]
-    return out
-
-
-def main_text(page: str | None) -> str:
-    """The text of the article, blocks joined by a space; empty if there is none."""
-    lines = [x for x in lines_of(page or "") if not x.out]
-    length = [0 if 2 * x.links > len(x.text) else len(x.text) for x in lines]
-    inside = [len(x.text) for x in lines]
-    by_article: dict[int, int] = {}
-    for x, n in zip(lines, length, strict=True):
-        if x.article >= 0 and n:
-            by_article[x.article] = by_article.get(x.article, 0) + n
-    if by_article:
-        best = max(by_article, key=lambda k: (by_article[k], -k))
-        sizes, surge = [n if x.article == best else 0 for x, n in zip(lines, inside, strict=True)], 1.0
-        spans = list(_regions(sizes, surge))
-        spans = [(spans[0][0], spans[-1][1])] if spans else []
-    elif any(n and x.main for x, n in zip(lines, length, strict=True)):
-        sizes, surge = [n if x.main else 0 for x, n in zip(lines, inside, strict=True)], 1.0
-        spans = list(_regions(sizes, surge))
-        spans = [(spans[0][0], spans[-1][1])] if spans else []
-    else:
-        return " ".join(x.text for x in _unmarked(lines, length))
-    return " ".join(lines[i].text for a, b in spans for i in range(a, b) if sizes[i])
+        if not marked:
+            if not n:
+                for k in range(a + 1, min(first + WINDOW, end)):
+                    if lines[k].heading and lines[k].place - lines[k - 1].place > WINDOW and all(sizes[j] < SURGE // 2 for j in range(a, k)):
+                        a = k
+                        break
+            while b > a and _END_NOTE.match(lines[b - 1].text) and len(lines[b - 1].text) < 200:
+                b -= 1
+        out += [lines[i] for i in range(a, b) if not marked or marked[i]]
+    return " ".join(x.text for x in out)
 
 
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
-    """Add text, the main text of each whole page ("" if the page is null, empty or has none). Other
-    columns pass through without the markup; a column named text is replaced."""
+    """Add text, the main text of each whole page ("" if the page is null, empty or has none), and n_chars.
+    Very long pages are read whole; of articles of equal size the first counts as the largest, and all that surge
+    are kept; rows that repeat are pages of their own, and an empty table gives an empty result. Other columns
+    pass through without the markup; columns named text and n_chars are replaced."""
     ship(pages.sparkSession)
     pages = pages.drop(*(["text"] if markup != "text" else []))
 

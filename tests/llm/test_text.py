@@ -198,11 +198,58 @@ def test_page_edges(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def test_pages_query(spark):
+def article_of(page):
     import html as h
     import re
 
+    body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    return " ".join(h.unescape(re.sub("<[^>]*>", " ", body)).split())
+
+
+def test_pages_query(spark):
     got = {r.page_id: r.text for r in QUERIES["op6_line_block_text"](spark, SF).collect()}
+    assert got == {r.page_id: article_of(r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+
+@pytest.mark.parametrize("tags", ["article", "article|nav|footer"])
+def test_pages_without_marks(spark, tags):
+    """The same pages with their marks made plain div elements: the distribution alone finds the article."""
+    import re
+
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        assert got[r.page_id] == " ".join(h.unescape(re.sub("<[^>]*>", " ", body)).split())
+        bare = re.sub(rf"<(/?)(?:{tags})(?=[ >])", r"<\1div", r.html)
+        assert html_text.main_text(bare) == article_of(r.html)
+
+
+def test_several_articles():
+    para = "<p>This sentence is long enough to be the text of an article, not a label of some menu.</p>"
+    teaser = "<article><h3><a href=x>Some other story that is not this one</a></h3></article>"
+    page = f"<nav><a href=1>Home</a></nav><main><article><h1>One</h1>{para * 3}<p><a href=s>Its source</a></p></article><div>between</div><article><h1>Two</h1>{para * 2}</article>{teaser * 4}</main>"
+    line = para[3:-4]
+    assert html_text.main_text(page) == " ".join(["One", *[line] * 3, "Its source", "Two", *[line] * 2])
+
+
+def _dives(sizes, surge, window):
+    """Regions by brute force: runs of lines whose windows have text and reach the surge somewhere."""
+    n = len(sizes)
+    sums = [sum(sizes[i : i + window]) for i in range(n)]
+    out, i = [], 0
+    while i < n:
+        if sums[i] == 0:
+            i += 1
+            continue
+        j = i
+        while j < n and sums[j]:
+            j += 1
+        first = next((k for k in range(i, j) if sums[k] >= surge), None)
+        if first is not None:
+            out.append((next(k for k in range(first, n) if sizes[k]), j))
+        i = j
+    return out
+
+
+def test_regions_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        sizes = [int(x) if rng.random() < 0.5 else 0 for x in rng.integers(1, 90, rng.integers(0, 25))]
+        assert list(html_text._regions(sizes, 86)) == _dives(sizes, 86, html_text.WINDOW)
