@@ -4,13 +4,15 @@ Unit vectors with cosine c or more are within a squared distance of 2 (1 - c). A
 that distance evenly, so of any pair within it at least one block of dimensions is within the block's
 proportional share. Every block is range-joined under its share, and the union of what the blocks find is
 verified exactly. Vectors lie in cells around pivots; a pair of cells is only joined if some block's balls
-come close enough, and a large cell is dealt out in chunks. Equal vectors are one class, and a task reports
+come close enough, and a large cell is dealt out in chunks. In a pair of chunks each block sorts its rows by
+one coordinate and compares only rows within reach there. Equal vectors are one class, and a task reports
 counts of links and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, lean, ship, stage, unstage
-from .components import Forest, components
+from .components import components
 
 BLOCK_DIMS = 16
-#: Pivots are a sample of the vectors, one for each CHUNK of them and at most MAX_CELLS.
-CHUNK, MAX_CELLS = 8192, 512
-#: Rows of a chunk that are compared at once; bounds memory.
-STRIPE = 512
+#: Pivots are a sample of the vectors, one for each chunk of them and at most MAX_CELLS.
+MAX_CELLS = 512
+#: Least and most rows of a chunk. Between them chunks are as large as keeps all cores busy, TASKS_A_CORE pairs of
+#: chunks for each, so that a vector travels no more often than that takes, whatever the number of vectors.
+CHUNKS, TASKS_A_CORE = (2048, 65536), 4
+#: Rows that are compared at once; bounds memory.
+STRIPE, TILE = 512, 8192
 #: Block distances are found in single precision; this covers its error.
 SLACK = 2e-5
 
@@ -111,22 +116,63 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def range_join(a: np.ndarray, b: np.ndarray, turn: np.ndarray, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows that at least one block finds within its share of the budget, in stripes of a."""
-    x, y = (a @ turn).astype(np.float32), (b @ turn).astype(np.float32)
-    dims = a.shape[1]
-    for at in range(0, len(x), STRIPE):
-        part = x[at : at + STRIPE]
-        near = np.zeros((len(part), len(y)), bool)
-        for s in _blocks(dims):
-            share = budget * (s.stop - s.start) / dims + SLACK
-            p, q = part[:, s], y[:, s]
-            half = p @ q.T
-            half -= ((p * p).sum(axis=1) / 2)[:, None]
-            half -= ((q * q).sum(axis=1) / 2)[None, :]
-            near |= half >= np.float32(-share / 2)
-        i, j = np.nonzero(near)
-        yield i + at, j
+def range_join(x: np.ndarray, y: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of one block within a squared distance of share, and perhaps a few just over it.
+
+    Rows are sorted by the coordinate that spreads most, and a stripe of x only meets the rows of y that lie
+    within reach of it there. Memory holds STRIPE x TILE distances at a time."""
+    if not len(x) or not len(y):
+        return
+    along = int(np.ptp(np.concatenate((x, y)), axis=0).argmax())
+    own, other = np.argsort(x[:, along], kind="stable"), np.argsort(y[:, along], kind="stable")
+    at, reach = y[other, along], np.sqrt(share + 2 * SLACK) + SLACK
+    # p.q - |p|^2 / 2 - |q|^2 / 2 as one product
+    p = np.column_stack((x, (x * x).sum(axis=1) / -2, np.ones(len(x)))).astype(np.float32)[own]
+    q = np.column_stack((y, np.ones(len(y)), (y * y).sum(axis=1) / -2)).astype(np.float32)[other]
+    for a in range(0, len(p), STRIPE):
+        part = p[a : a + STRIPE]
+        lo = int(np.searchsorted(at, x[own[a], along] - reach))
+        hi = int(np.searchsorted(at, x[own[a + len(part) - 1], along] + reach, side="right"))
+        for b in range(lo, hi, TILE):
+            near = part @ q[b : min(b + TILE, hi)].T >= np.float32(-(share + 2 * SLACK) / 2)
+            if near.any():
+                i, j = np.nonzero(near)
+                yield own[i + a], other[j + b]
+
+
+def _first_block(x: np.ndarray, y: np.ndarray, blocks: list[slice], budget: float) -> np.ndarray:
+    """The first block in which each pair of rows is within its share."""
+    square = (x - y) ** 2
+    within = [square[:, s].sum(axis=1) <= budget * (s.stop - s.start) / x.shape[1] + SLACK for s in blocks]
+    return np.argmax(np.column_stack(within), axis=1)
+
+
+def links_of(a: np.ndarray, b: np.ndarray, turn: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of unit vectors with at least this cosine, each once: every block is joined by range, what it
+    finds is verified exactly, and a pair counts in the first block that finds it."""
+    budget, blocks = 2 * (1 - cosine), _blocks(a.shape[1])
+    x, y = a @ turn, b @ turn
+    for k, s in enumerate(blocks):
+        for i, j in range_join(x[:, s], y[:, s], budget * (s.stop - s.start) / a.shape[1]):
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                true = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
+                p, q = p[true], q[true]
+                own = _first_block(x[p], y[q], blocks, budget) == k
+                yield p[own], q[own]
+
+
+def _join(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Union of members by links, root[x] being the smallest member known to be joined with x."""
+    while True:
+        u, v = root[p], root[q]
+        apart = u != v
+        if not apart.any():
+            return
+        p, q, u, v = p[apart], q[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def _compare(dims: int, kind: str, cosine: float):
@@ -134,7 +180,6 @@ def _compare(dims: int, kind: str, cosine: float):
     turn = _rotation(dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
         for batch in batches:
             for row in batch.to_pylist():
                 same = (row["c1"], row["k1"]) == (row["c2"], row["k2"])
@@ -142,23 +187,21 @@ def _compare(dims: int, kind: str, cosine: float):
                 copies = [np.frombuffer(row[f"copies{k}"], np.int64) for k in (1, 2)]
                 unit = [_units(row[f"vecs{k}"], dims, kind) for k in (1, 2)]
                 links = [np.zeros(len(r), np.int64) for r in rid]
-                for i, j in range_join(*unit, turn, 2 * (1 - cosine)):
+                shift = 0 if same else len(rid[0])
+                root = np.arange(len(rid[0]) if same else len(rid[0]) + len(rid[1]))
+                for p, q in links_of(*unit, turn, cosine):
                     if same:
-                        i, j = i[i < j], j[i < j]
-                    for at in range(0, len(i), 1 << 16):
-                        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                        true = np.einsum("ij,ij->i", unit[0][p], unit[1][q]) >= cosine
-                        p, q = p[true], q[true]
-                        np.add.at(links[0], p, copies[1][q])
-                        np.add.at(links[1], q, copies[0][p])
-                        for u, v in zip(rid[0][p].tolist(), rid[1][q].tolist(), strict=True):
-                            forest.join(u, v)
+                        p, q = p[p < q], q[p < q]
+                    np.add.at(links[0], p, copies[1][q])
+                    np.add.at(links[1], q, copies[0][p])
+                    _join(root, p, q + shift)
                 for r, n in zip(rid, links, strict=True):
                     some = np.flatnonzero(n)
                     if len(some):
                         yield _found(rid=r[some], links=n[some])
-        stars = list(forest.stars())
-        yield _found(a=np.array([s[0] for s in stars], np.int64), b=np.array([s[1] for s in stars], np.int64))
+                every = rid[0] if same else np.concatenate(rid)
+                joined = np.flatnonzero(root != np.arange(len(root)))
+                yield _found(a=every[joined], b=every[root[joined]])
 
     return run
 
@@ -170,6 +213,11 @@ def _found(**columns: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _chunk_rows(n: int, cores: int) -> int:
+    """A number c of chunks makes c * (c + 1) / 2 pairs."""
+    return min(CHUNKS[1], max(CHUNKS[0], -(-n // math.ceil(math.sqrt(2 * TASKS_A_CORE * cores)))))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
@@ -177,7 +225,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     directly, component_id is the smallest key reachable by links, the row's own included, and kept is key
     = component_id. Null and zero vectors and those with null or non-finite components link with nothing;
     a shorter vector counts as filled up with zeros. Null keys are allowed and name a component only if all
-    its keys are null. Rows that repeat a vector are linked with each other, whatever their keys."""
+    its keys are null. Rows that repeat a vector are linked with each other, whatever their keys. Pairs just at
+    the cosine count as their product in doubles says. An empty table gives no rows; other columns are ignored,
+    whatever their names."""
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
@@ -190,7 +240,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     classes = stage(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     n_rows, n = named_rows.count(), classes.count()
 
-    cells = min(MAX_CELLS, -(-n // CHUNK))
+    chunk = _chunk_rows(n, spark.sparkContext.defaultParallelism)
+    cells = min(MAX_CELLS, -(-n // chunk))
     pivots = classes.orderBy(F.xxhash64(F.lit(5), "rid"), "rid").limit(cells).select("vec").toArrow().column(0)
     pivots = _units(b"".join(pivots.to_pylist()), dims, kind)
     blocks = _blocks(dims)
@@ -200,10 +251,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     )
     placed = stage(placed, "placed")
     found = placed.groupBy("cell").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in far]).collect()  # MAX_CELLS rows at most
-    pairs = _close_cells(found, pivots @ _rotation(dims), blocks, 2 * (1 - cosine), dims)
+    pairs = _close_cells(found, pivots @ _rotation(dims), blocks, 2 * (1 - cosine), dims, chunk)
     pair_of = spark.createDataFrame(pairs or [(0, 0, 0, 0)], "c1 long, n1 long, c2 long, n2 long").filter("n1 > 0")
 
-    size_of = F.broadcast(spark.createDataFrame([(r.cell, -(-r.rows // CHUNK)) for r in found] or [(-1, 1)], "cell long, n long"))
+    size_of = F.broadcast(spark.createDataFrame([(r.cell, -(-r.rows // chunk)) for r in found] or [(-1, 1)], "cell long, n long"))
     dealt = placed.drop(*far).join(size_of, "cell").withColumn("chunk", F.pmod(F.xxhash64(F.lit(6), "rid"), F.col("n")))
     chunks = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk").mapInArrow(lean(_chunks), "cell long, chunk long, rids binary, copies binary, vecs binary")
     chunks = stage(chunks, "chunks")
@@ -226,7 +277,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def _close_cells(found: list, centres: np.ndarray, blocks: list[slice], budget: float, dims: int) -> list[tuple[int, int, int, int]]:
+def _close_cells(found: list, centres: np.ndarray, blocks: list[slice], budget: float, dims: int, chunk: int) -> list[tuple[int, int, int, int]]:
     """Pairs of cells, with their numbers of chunks, that some block can't tell apart."""
     out = []
     for x in range(len(found)):
@@ -236,5 +287,5 @@ def _close_cells(found: list, centres: np.ndarray, blocks: list[slice], budget:
             gap = np.sqrt(((centres[[r.cell for r in rest], s] - centres[found[x].cell, s]) ** 2).sum(axis=1))
             reach = np.sqrt(budget * (s.stop - s.start) / dims) + found[x][f"far{k}"] + np.array([r[f"far{k}"] for r in rest])
             near |= gap <= reach + 1e-9
-        out += [(found[x].cell, -(-found[x].rows // CHUNK), r.cell, -(-r.rows // CHUNK)) for r, ok in zip(rest, near, strict=True) if ok]
+        out += [(found[x].cell, -(-found[x].rows // chunk), r.cell, -(-r.rows // chunk)) for r, ok in zip(rest, near, strict=True) if ok]
     return out

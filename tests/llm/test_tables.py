@@ -199,9 +199,9 @@ def brute_vectors(rows, cosine=0.95):
     return [(key, links[i], least.get(find(i))) for i, (key, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [subspace_join.CHUNK, 16])
-def test_vectors_equal_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(subspace_join, "CHUNK", chunk)
+@pytest.mark.parametrize("chunks", [subspace_join.CHUNKS, (16, 16)])
+def test_vectors_equal_brute_force(spark, monkeypatch, chunks):
+    monkeypatch.setattr(subspace_join, "CHUNKS", chunks)
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 40))
     rows = [(i, (base[rng.integers(40)] + rng.standard_normal(40) * rng.choice([0, 0.1, 0.2, 0.25])).astype("f4").tolist()) for i in range(150)]
@@ -223,14 +223,31 @@ def test_vectors_empty(spark):
     assert sorted(tuple(r) for r in subspace_join.near_vectors(one).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_block_budget_is_lossless():
+def test_block_budget_is_lossless(monkeypatch):
     rng = np.random.default_rng(9)
     a = rng.standard_normal((300, 64))
     b = a + rng.standard_normal((300, 64)) * 0.25
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    found = {(i, j) for x, y in subspace_join.range_join(a, b, subspace_join._rotation(64), 0.1) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
-    true = {(i, j) for i, j in zip(*np.nonzero(a @ b.T >= 0.95), strict=True)}
-    assert true <= found and len(found) < 0.05 * 300 * 300
+    true = sorted(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.95)), strict=True))
+    monkeypatch.setattr(subspace_join, "STRIPE", 50)
+    monkeypatch.setattr(subspace_join, "TILE", 70)
+    found = [p for x, y in subspace_join.links_of(a, b, subspace_join._rotation(64), 0.95) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert sorted(found) == true  # each just once
+
+
+def test_range_join_equals_brute_force():
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((700, 5)), rng.standard_normal((900, 5))
+    found = {p for i, j in subspace_join.range_join(x, y, 0.3) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    far = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    assert set(zip(*(k.tolist() for k in np.nonzero(far <= 0.3)), strict=True)) <= found
+    assert found <= set(zip(*(k.tolist() for k in np.nonzero(far <= 0.3 + 1e-3)), strict=True))
+    assert not list(subspace_join.range_join(x[:0], y, 0.3))
+
+
+def test_chunks_follow_the_cores_not_the_vectors():
+    rows = [subspace_join._chunk_rows(n, 6) for n in (100, 51_000, 300_000, 10**9)]
+    assert rows == [2048, -(-51_000 // 7), -(-300_000 // 7), 65536]
 
 
 def hold_shards(rows, shards, slack):
