@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams are gathered per language, smoothed into a matrix of log probabilities, and broadcast
-(its size is fixed: buckets times languages). Documents are scored in batches as sparse rows of n-gram
+(its size is fixed: buckets times languages, 128 KB each). Documents are scored in batches as sparse rows of n-gram
 counts times that matrix, in numpy.
 """
 
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, schema_with, ship
+from .common import BROADCAST_ROWS, lean, schema_with, ship, stage, unstage
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
 #: The model is fitted on about so many documents of each language, chosen by a hash of the id.
 TRAIN_DOCS = 5_000
-#: A matrix has at most so many languages (the most frequent ones).
-LANGUAGES = 100
+#: Products of n-grams and languages that are summed at once; bounds memory with many languages.
+PRODUCTS = 4_000_000
 SMOOTH = 0.5
 UNDETERMINED = "und"
 _MAYBE_LETTER = re.compile(r"[^\W\d_]")
@@ -66,7 +66,7 @@ def _sparse(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class LanguageModel:
     languages: tuple[str, ...]
     prior: np.ndarray
-    weights: np.ndarray  # buckets x languages, log probabilities
+    weights: np.ndarray  # buckets x languages, log probabilities in single precision
 
     def score(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """The likeliest language and its posterior probability; und and 0 without a letter."""
@@ -74,10 +74,18 @@ class LanguageModel:
         own = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
         if not own or not self.languages:
             return out
+        most = max(1, PRODUCTS // len(self.languages))
         for k in range(0, len(own), 64):
             part = own[k : k + 64]
             at, which, counts = _sparse([texts[i] for i in part])
-            logs = np.add.reduceat(self.weights[which] * counts[:, None], at[:-1], axis=0) + self.prior
+            logs = np.empty((len(part), len(self.languages)))
+            first = 0
+            while first < len(part):  # a document has BUCKETS n-grams at most
+                last = max(first + 1, int(np.searchsorted(at, at[first] + most, side="right")) - 1)
+                lo, hi = at[first], at[last]
+                logs[first:last] = np.add.reduceat(self.weights[which[lo:hi]] * counts[lo:hi, None], at[first:last] - lo, axis=0)
+                first = last
+            logs += self.prior
             logs -= logs.max(axis=1, keepdims=True)
             p = np.exp(logs)
             p /= p.sum(axis=1, keepdims=True)
@@ -87,53 +95,60 @@ class LanguageModel:
         return out
 
 
-def _count(lang_index: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(lang_index), BUCKETS), np.uint32)
-        docs = np.zeros(len(lang_index), np.int64)
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is not None and has_letter(text):
-                    totals[lang_index[lang]] += np.bincount(_buckets(text), minlength=BUCKETS).astype(np.uint32)
-                    docs[lang_index[lang]] += 1
-        seen = [k for k in range(len(docs)) if docs[k]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int32()), pa.array(docs[seen], pa.int64()), pa.array([totals[k].tobytes() for k in seen], pa.binary())],
-            names=["k", "docs", "totals"],
-        )
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each language from rows sorted by language, so that one language's are held at a time."""
+    lang, docs, totals = None, 0, np.zeros(BUCKETS, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([docs], pa.int64()), pa.array([totals.tobytes()], pa.binary())], names=["l", "docs", "totals"])
 
-    return run
+    for batch in batches:
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if label != lang:
+                if docs:
+                    yield out()
+                lang, docs, totals = label, 0, np.zeros(BUCKETS, np.int64)
+            if has_letter(text):
+                totals += np.bincount(_buckets(text), minlength=BUCKETS)
+                docs += 1
+    if docs:
+        yield out()
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Learn from text and label of the given rows; rows with a null text or label teach nothing.
+    """Learn from text and label of the given rows; rows with a null text or label teach nothing, and rows that
+    repeat teach as often as they are there. Without labelled rows the model knows no language.
 
-    Of languages with more than train_docs rows a hash of the id picks about that many; so the matrices
-    that reach the driver are at most one per task, and a task per few thousand texts."""
+    Of languages with more than train_docs rows a hash of the id picks about that many, in sixteen groups by that
+    hash. Every language is learned; the driver gets at most sixteen rows of counts of each."""
     ship(docs.sparkSession)
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
-    found = sorted(found, key=lambda r: r.l)
-    if not found:
-        return LanguageModel((), np.zeros(0), np.zeros((BUCKETS, 0)))
-    shares = F.create_map(*[x for r in found for x in (F.lit(r.l), F.lit(min(1.0, train_docs / r.n)))])
-    chance = F.pmod(F.xxhash64(F.lit(2), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    picked = rows.filter(chance < F.coalesce(shares[F.col(lang)], F.lit(0.0))).select(text, lang)
-    counted = picked.repartition(4).mapInArrow(lean(_count({r.l: i for i, r in enumerate(found)})), "k int, docs long, totals binary").collect()
-    totals, docs_of = np.zeros((len(found), BUCKETS)), np.zeros(len(found))
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
+    found = rows.groupBy("l").agg(F.count("*").alias("n"))
+    found = stage(found, "languages")
+    h = F.xxhash64(F.lit(2), "k")
+    share = F.least(F.lit(1.0), F.lit(float(train_docs)) / F.col("n"))
+    n_languages = found.count()
+    picked = rows.join(F.broadcast(found) if n_languages <= BROADCAST_ROWS else found, "l").filter(F.pmod(h, F.lit(1_000_000)) / 1_000_000 < share)
+    dealt = picked.select("t", "l", F.pmod(F.shiftright(h, 32), F.lit(16)).alias("g")).repartition("l", "g").sortWithinPartitions("l", "g")
+    counted = dealt.select("t", "l").mapInArrow(lean(_count), "l string, docs long, totals binary").collect()
+    rows_of = {r.l: r.n for r in found.collect()}
+    unstage(found)
+    names = sorted({r.l for r in counted})
+    if not names:
+        return LanguageModel((), np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
+    place = {name: i for i, name in enumerate(names)}
+    totals = np.full((len(names), BUCKETS), SMOOTH)
     for r in counted:
-        totals[r.k] += np.frombuffer(r.totals, np.uint32)
-        docs_of[r.k] += r.docs
-    has = np.flatnonzero(docs_of)
-    prior = np.array([r.n for r in found], float)[has]
-    smooth = totals[has] + SMOOTH
-    return LanguageModel(tuple(found[i].l for i in has), np.log(prior / prior.sum()) if len(has) else prior, np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.copy())
+        totals[place[r.l]] += np.frombuffer(r.totals, np.int64)
+    prior = np.array([rows_of[name] for name in names], float)
+    return LanguageModel(tuple(names), np.log(prior / prior.sum()), np.log(totals / totals.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred and score (0 to 1); und and 0.0 where the text is null or has no letter, or where
-    the model knows no language. Whole texts are read. Other columns pass through; columns that are
-    already named so are replaced."""
+    the model knows no language. Of equally likely languages the first by name counts. Whole texts are read,
+    however long; rows that repeat an id are predicted by their own text; an empty table gives an empty result.
+    Other columns pass through; columns that are already named so are replaced."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

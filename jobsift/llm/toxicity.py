@@ -21,11 +21,10 @@ from .shingles import word_hashes
 BUCKETS = 1 << 20
 #: Labelled rows that a model is fitted on at most (about; a hash of the id picks them).
 TRAIN_DOCS = 12_000
-#: Words (buckets) with a weight in each model: those that tell most, by chi-square.
-WORDS_KEPT = 500
 FOLDS = 5
 RIDGE = 0.1
-#: A word needs at least this chi-square: rare words that meet a label by chance have less.
+#: A word (bucket) has a weight in a model if its chi-square with the label is at least this: rare words that meet
+#: a label by chance have less. All words that pass it are used, a bucket each, BUCKETS at most.
 LEAST_CHI = 25.0
 ROUNDS = 12
 #: Bytes between words: ASCII other than letters and digits.
@@ -46,7 +45,7 @@ def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The WORDS_KEPT buckets of largest chi-square with the label."""
+    """The buckets whose chi-square with the label is large enough."""
     n, pos = len(y), float(y.sum())
     flat = np.concatenate(x) if len(x) else np.zeros(0, np.int32)
     df = np.bincount(flat, minlength=BUCKETS).astype(float)
@@ -54,8 +53,7 @@ def _telling(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     wanted = df * pos / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.where((df >= 3) & (wanted > 0), (hit - wanted) ** 2 / (wanted * (1 - df / n + 1e-9) * (1 - pos / n + 1e-9)), 0.0)
-    best = np.argsort(-chi, kind="stable")[:WORDS_KEPT]
-    return np.sort(best[chi[best] >= LEAST_CHI])
+    return np.flatnonzero(chi >= LEAST_CHI)
 
 
 @dataclass(frozen=True)
@@ -169,7 +167,8 @@ def _best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> ToxicityChain:
     """Fit on labelled documents. categories: for each, a boolean expression over the columns of labels;
-    rows where one is null are left out. Of repeated labels of a document the largest counts."""
+    rows where one is null are left out. Of repeated labels of a document the largest counts, and rows that
+    repeat a labelled id all teach. Without labelled rows every probability is a half."""
     ship(docs.sparkSession)
     marked = labels.select(F.col(key).alias("_id"), *[e.cast("int").alias(c) for c, e in categories.items()]).dropna()
     marked = marked.groupBy("_id").agg(*[F.max(c).alias(c) for c in categories])
@@ -188,12 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text:
 
 def classify(docs: DataFrame, chain: ToxicityChain, text: str = "text") -> DataFrame:
     """Add p_<category> for each category and is_<category> (at or over the cutoff). A null or empty
-    text has no words and so the constant's probability, below every cutoff. Other columns pass through;
+    text has no words and so the constant's probability, and is in no category. Very long texts are read whole;
+    rows that repeat get the same answer; an empty table gives an empty result. Other columns pass through;
     those named like a new one are replaced."""
     ship(docs.sparkSession)
     new = [*(f"p_{c}" for c in chain.categories), *(f"is_{c}" for c in chain.categories)]
     docs = docs.drop(*new)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most WORDS_KEPT weights a category
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # BUCKETS weights a category at most, 12 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

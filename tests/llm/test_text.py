@@ -253,3 +253,78 @@ def test_regions_equal_brute_force():
     for _ in range(500):
         sizes = [int(x) if rng.random() < 0.5 else 0 for x in rng.integers(1, 90, rng.integers(0, 25))]
         assert list(html_text._regions(sizes, 86)) == _dives(sizes, 86, html_text.WINDOW)
+
+
+def test_language_query_equals_brute_force(spark):
+    """Naive Bayes with n-gram counts in dictionaries, over the whole table."""
+    import math
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").toPandas()
+    grams = {r.doc_id: Counter(language_id._buckets(r.text).tolist()) if r.text and language_id.has_letter(r.text) else None for r in docs.itertuples()}
+    counts, rows = defaultdict(Counter), Counter()
+    for r in docs.itertuples():
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            rows[r.lang] += 1
+            counts[r.lang].update(grams[r.doc_id] or {})
+    size = {k: sum(c.values()) + 0.5 * language_id.BUCKETS for k, c in counts.items()}
+    for r in QUERIES["op2_naive_bayes_language"](spark, SF).collect():
+        own = grams[r.doc_id]
+        if own is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {k: math.log(rows[k] / sum(rows.values())) + sum(n * math.log((c[g] + 0.5) / size[k]) for g, n in own.items()) for k, c in counts.items()}
+        best = max(logs, key=logs.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=0.02)
+
+
+def test_more_languages_than_fit_at_once(spark, monkeypatch):
+    word = lambda i: chr(97 + i % 26) * 2 + chr(97 + i // 26) * 3
+    rows = [(3 * i + k, f"{word(i)} {word(i)[::-1]}", f"l{i:03}") for i in range(150) for k in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 150
+    at_once = model.score([r[1] for r in rows])
+    assert all(pred == r[2] for (pred, _), r in zip(at_once, rows, strict=True))
+    monkeypatch.setattr(language_id, "PRODUCTS", 500)
+    assert [x for x, _ in model.score([r[1] for r in rows])] == [x for x, _ in at_once]
+
+
+def test_toxicity_query_equals_a_chain_of_dense_models(spark):
+    """Logistic regressions by plain Newton steps on dense matrices, chained by out-of-fold log odds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
+    labels = spark.read.parquet(f"{SF}/labels.parquet").orderBy("doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(toxicity.FOLDS))).toPandas()
+    words = toxicity.words_of([docs[i] for i in labels.doc_id])
+    y3 = {"toxic_prose": (labels.toxic == 1) & (labels.quality == 1), "toxic_junk": (labels.toxic == 1) & (labels.quality == 0), "toxic": labels.toxic == 1}
+
+    def newton(which, earlier, y):
+        keep = toxicity._telling([words[i] for i in which], y)
+        x = np.zeros((len(which), len(keep)))
+        for k, i in enumerate(which):
+            x[k] = np.isin(keep, words[i])
+        x = np.column_stack((x, earlier, np.ones(len(which))))
+        ridge = np.diag([toxicity.RIDGE] * len(keep) + [0.1] * earlier.shape[1] + [1e-6])
+        w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w -= np.linalg.solve(x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+        return keep, w
+
+    def odds(model, texts, earlier):
+        keep, w = model
+        return np.clip(np.column_stack((np.array([np.isin(keep, t) for t in texts], float).reshape(len(texts), len(keep)), earlier, np.ones(len(texts)))) @ w, -30, 30)
+
+    every = toxicity.words_of(list(docs))
+    oof, seen = np.zeros((len(words), 0)), np.zeros((len(every), 0))
+    for y in y3.values():
+        y = y.to_numpy(float)
+        own = np.zeros(len(y))
+        for k in range(toxicity.FOLDS):
+            test, train = np.flatnonzero(labels.fold == k), np.flatnonzero(labels.fold != k)
+            own[test] = odds(newton(train, oof[train], y[train]), [words[i] for i in test], oof[test])
+        seen = np.column_stack((seen, odds(newton(np.arange(len(y)), oof, y), every, seen)))
+        oof = np.column_stack((oof, own))
+    got = QUERIES["op1_toxicity_chain"](spark, SF).toPandas().set_index("doc_id")
+    want = dict(zip(docs.index, 1 / (1 + np.exp(-seen[:, 2])), strict=True))
+    gap = np.array([abs(got.p_toxic[i] - want[i]) for i in docs.index])
+    assert (gap < 0.05).mean() > 0.99 and ((got.p_toxic[docs.index] > 0.5) == np.array([want[i] > 0.5 for i in docs.index])).mean() > 0.995
