@@ -14,6 +14,7 @@ CHECK_PROMPT = (
     "Based on this job description (in Chinese): '%s' Is this Standard Occupational Classification code: '%s' a reasonable"
     " classification (at broad group level)? Only tell me yes or no."
 )
+# Fixed value: the model that is asked.
 SERVICE_MODEL = "gpt-3.5-turbo-0301"
 #: What a failed call answers.
 NO_ANSWER = "N/A"

@@ -42,6 +42,12 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return each.select(*columns).unionByName(summary.select(F.inline("rows")).select(*columns))
 
 
+def weighted_loss(df: DataFrame, probability: str = "probability", weight: str = "loss_weight") -> DataFrame:
+    """The mean of -ln of the true label's probability, by weight; a probability of 0 counts as 1e-15."""
+    lost = -F.log(F.greatest(F.col(probability), F.lit(1e-15)))
+    return df.agg((F.sum(lost * F.col(weight)) / F.sum(F.when(F.col(probability).isNotNull(), F.col(weight)))).alias("loss"))
+
+
 def best_run(runs: DataFrame, by: str = "loss") -> DataFrame:
     """The run with the least loss, or the greatest accuracy."""
     whole = F.struct(*runs.columns)

@@ -49,6 +49,12 @@ def descriptions(screened: DataFrame) -> DataFrame:
     return screened.select(*DESCRIPTION_COLUMNS)
 
 
+def with_group_size(df: DataFrame, by: str) -> DataFrame:
+    """Add n, how many rows have the row's value; 0 for a null."""
+    counts = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
+    return df.join(counts, by, "left").select(*df.columns, F.coalesce("_n", F.lit(0).cast("bigint")).alias("n"))
+
+
 def titles(screened: DataFrame) -> DataFrame:
     return screened.select("title")
 

@@ -7,17 +7,18 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .sampling import hash_rank
 
 
 def pipeline(features: int = 1 << 14, text: str = "text", label: str = "label_id", weight: str = "loss_weight", max_iter: int = 20, **params: float) -> Pipeline:
     model = LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, maxIter=max_iter, family="multinomial", **params)
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="chars", pattern=".", gaps=False),
+        SQLTransformer(statement=f"select *, split({text}, '') as chars from __THIS__"),
         HashingTF(inputCol="chars", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
         model,
@@ -29,33 +30,34 @@ def loss_weight(df: DataFrame, class_weights: DataFrame, label: str) -> DataFram
     return df.join(F.broadcast(class_weights), label, "left").withColumn("loss_weight", F.col("class_weight") * F.col("weight"))
 
 
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    """Rows in a seeded order, for training in batches."""
-    return df.orderBy(F.rand(seed))
+def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
+    """Rows in a seeded order, for training in batches, with their place in it from 0; the same whatever the
+    partitions. The key should be unique."""
+    places = hash_rank(df, key, seed).select(key, (F.col("rank") - 1).alias("place"))
+    return df.join(places, key).orderBy("place")
 
 
-def evaluate(model: PipelineModel, df: DataFrame, metric: str, label: str = "label_id", weight: str = "loss_weight") -> float:
+def evaluate(said: DataFrame, metric: str, label: str = "label_id", weight: str = "loss_weight") -> float:
+    """A metric of what a model has said; the loss is weighted."""
     scorer = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
-    return (scorer.setWeightCol(weight) if metric == "logLoss" else scorer).evaluate(model.transform(df))
+    return (scorer.setWeightCol(weight) if metric == "logLoss" else scorer).evaluate(said)
 
 
-def grid_search(train: DataFrame, valid: DataFrame, cfg: Config = Config(), features: int = 1 << 14, max_iter: int = 20, patience: int = 3) -> tuple[PipelineModel, list[dict[str, float]]]:
-    """Fit a model for each grid point and keep the best by our own validation set. Stops early after so
-    many points in a row that didn't improve."""
-    best, runs, since = None, [], 0
+def grid_search(train: DataFrame, valid: DataFrame, cfg: Config = Config(), features: int = 1 << 14, max_iter: int = 20) -> tuple[PipelineModel, list[dict[str, float]]]:
+    """Fit a model for each grid point and keep the best by our own validation set. A fit ends by itself when it
+    no longer improves, or after max_iter rounds."""
+    best, runs = None, []
     names = sorted(cfg.grid)
     for values in product(*(cfg.grid[k] for k in names)):
         params = dict(zip(names, values, strict=True))
         model = pipeline(features, max_iter=max_iter, **params).fit(train)
-        run = params | {"loss": evaluate(model, valid, "logLoss"), "accuracy": evaluate(model, valid, "accuracy")}
+        said = model.transform(valid).select("label_id", "loss_weight", "probability", "prediction").persist()
+        run = params | {"loss": evaluate(said, "logLoss"), "accuracy": evaluate(said, "accuracy")}
+        said.unpersist()
         runs.append(run)
         score = run["loss"] if cfg.select_by == "loss" else -run["accuracy"]
         if best is None or score < best[0]:
-            best, since = (score, model), 0
-        else:
-            since += 1
-            if since >= patience:
-                break
+            best = (score, model)
     return best[1], runs
 
 

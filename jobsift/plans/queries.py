@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import columns as C
+from ..functions.classify import RuleClassifier, ask_checks, ask_titles
 from ..operators import assemble, encode, report, sampling, screen, titles, train
 from ..sources.postings import parse_lines
-from ..sources.sinks import counted
+from ..sources.sinks import row_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,19 +130,34 @@ def source_census(get):
 
 @_query("select event_id, event_type, count(event_type) over (partition by event_type) as n from events")
 def group_counts(get):
-    rows = get("events").select("event_id", "event_type")
-    counts = rows.filter(F.col("event_type").isNotNull()).groupBy("event_type").agg(F.count("*").alias("n"))
-    return rows.join(counts, "event_type", "left").select("event_id", "event_type", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    return screen.with_group_size(get("events").select("event_id", "event_type"), "event_type")
 
 
-@_query("select doc_id, lang, source, n_chars from documents")
+#: Documents as postings: every seventh has no title, every fifth no date.
+_POSTINGS = r"""
+    select cast(doc_id as varchar) as posting_id, source as company_id, 'c' || source as company_name, lang as city, null::varchar as company_area, '' as salary,
+           '\N' as education, 'any' as experience, text as description, 'p' || cast(doc_id % 9 as varchar) as position_name,
+           case when doc_id % 7 = 0 then '\N' else 't' || cast(doc_id % 50 as varchar) end as title, cast(n_chars % 5 as varchar) as headcount,
+           case when doc_id % 5 = 0 then '\N' else '2024-01-0' || cast(1 + doc_id % 4 as varchar) end as publish_date, 'i' as industry, source from documents"""
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    return docs.sparkSession.sql(_POSTINGS.replace("::varchar", "").replace("null as company_area", "cast(null as string) as company_area").replace("varchar", "string").replace("from documents", "from {documents}").replace(r"'\N'", r"r'\N'"), documents=docs)
+
+
+@_query(rf"select * replace (nullif(salary, '') as salary, nullif(education, '\N') as education, coalesce(nullif(title, '\N'), position_name) as title) from ({_POSTINGS}) where publish_date <> '\N'")
+def clean_postings(get):
+    return screen.clean(_postings(get("documents")))
+
+
+@_query(f"select * exclude (description) from ({_POSTINGS})")
 def split_attributes(get):
-    return get("documents").drop("text")
+    return screen.attributes(_postings(get("documents")))
 
 
-@_query("select doc_id, source, text from documents")
+@_query(f"select posting_id, company_id, description from ({_POSTINGS})")
 def split_descriptions(get):
-    return get("documents").select("doc_id", "source", "text")
+    return screen.descriptions(_postings(get("documents")))
 
 
 @_query("select p_name, count(*) as count from part group by p_name having count(*) > 30")
@@ -252,9 +268,9 @@ def label_count(get):
     return encode.label_count(get("documents"), "source")
 
 
-@_query("select doc_id, lang from documents")
+@_query("select doc_id, lang, row_number() over (order by md5('42:' || cast(doc_id as varchar)), doc_id) - 1 as place from documents")
 def batch_shuffle(get):
-    return train.shuffled(get("documents").select("doc_id", "lang"), 42)
+    return train.shuffled(get("documents").select("doc_id", "lang"), 42, "doc_id")
 
 
 @_query("""
@@ -339,9 +355,13 @@ def accuracy(get):
     return report.accuracy(_said(get)).select(F.round("accuracy", 9).alias("accuracy"))
 
 
-@_query("select event_id, event_type as answer, json_extract_string(props, '$.k') as k, null::varchar as error from events")
+@_query("""
+    select event_id, case when event_id % 4 <> 0 then event_type end as answer, json_extract_string(props, '$.k') as k,
+           case when event_id % 4 = 0 then 'quota of ' || event_type end as error from events""")
 def json_answer(get):
-    response = F.concat(F.lit('{"choices":[{"message":{"content":"'), F.col("event_type"), F.lit('"}}]}'))
+    said = F.concat(F.lit('{"choices":[{"message":{"content":"'), F.col("event_type"), F.lit('"}}]}'))
+    failed = F.concat(F.lit('{"error":{"message":"quota of '), F.col("event_type"), F.lit('"}}'))
+    response = F.when(F.col("event_id") % 4 == 0, failed).otherwise(said)
     return get("events").select("event_id", C.answer_of(response).alias("answer"), F.get_json_object("props", "$.k").alias("k"), C.error_of(response).alias("error"))
 
 
@@ -395,10 +415,57 @@ def token_ids(get):
     return out.select("doc_id", *[F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("input_ids", "attention_mask")])
 
 
-@_query("select doc_id, source from documents where n_chars > 400")
+@_query("select 'kept' as name, count(*) as rows from documents where n_chars > 400")
 def observe_counts(get):
-    df, _ = counted(get("documents").filter("n_chars > 400").select("doc_id", "source"), "kept")
-    return df
+    return row_count(get("documents").filter("n_chars > 400").select("doc_id", "source"), "kept")
+
+
+@_query("select round(sum(-ln((1 + p_size) / 52.0) * p_retailprice) / sum(p_retailprice), 9) as loss from part")
+def weighted_loss(get):
+    rows = get("part").select(((F.col("p_size") + 1) / F.lit(52.0)).alias("probability"), F.col("p_retailprice").alias("loss_weight"))
+    return report.weighted_loss(rows).select(F.round("loss", 9).alias("loss"))
+
+
+@_query("select p_name as title, case when p_name like '%green%' then '37-3011' when p_name like '%red%' then '51-2090' else 'N/A' end as answer from (select distinct p_name from part where p_name is not null)")
+def asked_titles(get):
+    rules = RuleClassifier([("green", "37-3011"), ("red", "51-2090")])
+    return ask_titles(get("part").select(F.col("p_name").alias("title")), rules, 8, 4)
+
+
+@_query("select doc_id, lang as soc_code, text as description, case when lang = 'de' and contains(text, 'und') then 'Yes.' else 'No.' end as answer from documents")
+def asked_checks(get):
+    rows = get("documents").select("doc_id", F.col("lang").alias("soc_code"), F.col("text").alias("description"))
+    return ask_checks(rows, RuleClassifier([("und", "de")]), 8, 4)
+
+
+@_query("""
+    with pool as (select doc_id as posting_id, source as soc_code, case when doc_id % 3 <> 0 then lang end as description from documents),
+    checked as (select doc_id as posting_id, source as soc_code, lang as description, case when quality = 1 then 'Yes' else 'No' end as true_ind from labels join documents using (doc_id)),
+    part1 as (select * from checked where true_ind = 'Yes'),
+    rest as (select *, row_number() over (partition by soc_code order by md5('42:' || cast(posting_id as varchar)), posting_id) as n
+             from pool where description is not null and posting_id not in (select posting_id from part1))
+    select posting_id, soc_code, description, true_ind, 1.0::double as weight from part1
+    union all select posting_id, soc_code, description, null, 0.5::double from rest where n <= 9""")
+def estimation_with_descriptions(get):
+    docs = get("documents").select(F.col("doc_id").alias("posting_id"), F.col("source").alias("soc_code"), "lang", "doc_id")
+    pool = docs.select("posting_id", "soc_code", F.when(F.col("posting_id") % 3 != 0, F.col("lang")).alias("description"))
+    said = F.when(F.col("quality") == 1, "Yes").otherwise("No").alias("true_ind")
+    checked = docs.join(get("labels"), "doc_id").select("posting_id", "soc_code", F.col("lang").alias("description"), said)
+    return assemble.estimation(pool, checked, replace(Config(), rest_cap=9)).select("posting_id", "soc_code", "description", "true_ind", "weight")
+
+
+_PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "src", "##0", "##1", "##2", "##3", "##4", "##5", "##6", "##7", "##8", "##9"]
+
+
+@_query("""
+    with t as (select doc_id, substr(source, 4) as n from documents),
+    w as (select doc_id, '4,' || string_agg(cast(5 + ascii(substr(n, i, 1)) - 48 as varchar), ',' order by i) as word, max(length(n)) + 1 as k from t, unnest(range(1, 3)) as r(i) where i <= length(n) group by doc_id)
+    select doc_id, '2,' || word || ',' || word || ',' || word || ',3' || repeat(',0', cast(14 - 3 * k as bigint)) as input_ids,
+           repeat('1,', cast(3 * k + 2 as bigint)) || repeat('0,', cast(14 - 3 * k as bigint)) as attention_mask from w""")
+def wordpiece_ids(get):
+    docs = get("documents").select("doc_id", F.upper("source").alias("title"), F.col("source").alias("description"))
+    out = encode.wordpieces(docs, _PIECES, 16)
+    return out.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.concat(F.array_join("attention_mask", ","), F.lit(",")).alias("attention_mask"))
 
 
 @_query("select doc_id, lang, source, quality from documents left join (select doc_id, quality from labels where quality = 1) using (doc_id) union all select doc_id, lang, source, null from documents where lang = 'es'")

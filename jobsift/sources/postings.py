@@ -41,9 +41,14 @@ def shard_paths(folder: str, name: str, numbers: range) -> list[str]:
 
 
 def read_screened_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A screened table that was exported with '?' between fields, by position."""
-    schema = T.StructType(SCREENED.fields[:16])
-    return spark.read.schema(schema).option("sep", "?").option("header", header).option("escape", '"').option("mode", "DROPMALFORMED" if not header else "PERMISSIVE").csv(path)
+    """A screened table that was exported with '?' between fields, by position. Without a header, lines with too
+    many fields go, and short ones are filled up with nulls. Bytes that aren't UTF-8 go."""
+    names = [f.name for f in SCREENED.fields[:16]]
+    schema = T.StructType([*SCREENED.fields[:16], T.StructField("_more", T.StringType())])
+    df = spark.read.schema(schema).option("sep", "?").option("header", header).option("escape", '"').option("enforceSchema", True).csv(path)
+    if not header:
+        df = df.filter(F.col("_more").isNull())
+    return df.select(*[F.translate(c, "\ufffd", "").alias(c) for c in names])
 
 
 def read_table_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:

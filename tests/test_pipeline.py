@@ -7,7 +7,7 @@ import pytest
 from jobsift.config import Config
 from jobsift.functions import columns as C
 from jobsift.functions.classify import RuleClassifier, ServiceClassifier
-from jobsift.operators import assemble, encode, report, sampling, screen, titles
+from jobsift.operators import assemble, encode, report, sampling, screen, titles, train
 from jobsift.plans import recruitment
 from jobsift.schema import POSTING_COLUMNS
 from jobsift.sources import postings, sinks
@@ -112,6 +112,78 @@ def test_tokens(spark):
     assert rows[1].input_ids[:8] == [2, 1, 1, 2, 1, 1, 3, 1] and rows[1].attention_mask == [1] * 10 + [0, 0]
 
 
+def test_wordpieces_equal_the_tokenizers_package(spark):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, processors
+
+    vocab = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"会计工程师abcdehinrstw,.!?()", *(f"##{c}" for c in "abcdehinrst"), "the", "##ing", "engineer", "a#b"]
+    tok = Tokenizer(models.WordPiece({v: i for i, v in enumerate(vocab)}, unk_token="[UNK]", max_input_chars_per_word=100))
+    tok.normalizer = normalizers.BertNormalizer(lowercase=True)
+    tok.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    tok.post_processor = processors.TemplateProcessing(single="[CLS] $A [SEP]", special_tokens=[("[CLS]", 2), ("[SEP]", 3)])
+    tok.enable_truncation(24)
+    tok.enable_padding(length=24)
+    texts = ["The engineer, abc!", "会计 a会b计c", "École thé\tRésté\u00a0x", "ab" * 80, "", "z", "the-the (a) a#b", "in\u200bg \x00he 😀", "inging " * 30, "\u0130st ﬁsh", None]
+    df = spark.createDataFrame([(i, None if t is None else "a", t) for i, t in enumerate(texts)], "id int, title string, description string")
+    rows = {r.id: r for r in encode.wordpieces(df, vocab, 24, repeats=1).collect()}
+    for i, t in enumerate(texts):
+        text = f"a {t}" if t is not None else df.select(C.feature_text(F.col("title"), F.col("description"), 1)).collect()[i][0]
+        want = tok.encode(text)
+        assert rows[i].input_ids == want.ids and rows[i].attention_mask == want.attention_mask, t
+    with pytest.raises(ValueError):
+        encode.wordpieces(df, vocab[1:] + ["[PAD]"], 24)
+
+
+def test_shards_in_ranges_equal_ntile(spark):
+    rng = __import__("random").Random(2)
+    rows = [(f"{rng.choice('abc')}{rng.randrange(50)}x{i}", rng.choice([6, 6, 6, 7, 90])) for i in range(101)] + [("", 6), ("é", 7)]
+    for n in (1, 7, 100, 103, 300):
+        want, size = {}, divmod(len(rows), n)
+        for i, (t, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0].encode()))):
+            large = size[1] * (size[0] + 1)
+            want[t] = 1 + (i // (size[0] + 1) if i < large else size[1] + (i - large) // max(1, size[0]))
+        got = titles.shards(spark.createDataFrame(rows, "title string, count long"), n)
+        assert got.columns == ["title", "count", "shard"] and {r.title: r.shard for r in got.collect()} == want
+
+
+def test_positional_csv(spark, tmp_path):
+    fields = [f"f{i}" for i in range(16)]
+    lines = ["?".join(fields).encode(), "?".join(fields[:3]).encode(), "?".join([*fields, "more"]).encode(), b"x\xff\xc3y?" + "?".join(fields[1:]).encode()]
+    (tmp_path / "a.csv").write_bytes(b"\n".join(lines))
+    rows = sorted(postings.read_screened_csv(spark, str(tmp_path), header=False).collect(), key=lambda r: r[0])
+    assert len(rows) == 3 and [r[0] for r in rows] == ["f0", "f0", "xy"] and {r[15] for r in rows} == {"f15", None}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "h.csv").write_bytes(b"?".join(f"name {i}".encode() for i in range(16)) + b"\n" + lines[0])
+    rows = postings.read_screened_csv(spark, str(tmp_path / "b")).collect()
+    assert [tuple(r) for r in rows] == [tuple(fields)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 'x"y'), ("b", None)], "label string, t string")
+    sinks.write_csv(df, str(tmp_path / "q"), "?", quote_all=True)
+    assert '"a"?"x""y"' in "".join(p.read_text() for p in (tmp_path / "q").glob("part*"))
+    sinks.write_report(df.repartition(3), str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("part*"))) == 1
+    assert [tuple(r) for r in sinks.row_count(df, "n").collect()] == [("n", 2)]
+
+
+def test_grid_is_searched_whole_and_models_are_reloaded(spark, tmp_path):
+    import numpy as np
+
+    rows = [(i, ["ab ba", "cd dc", "ef fe"][i % 3] * (1 + i % 4), i % 3, 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, text string, label_id long, loss_weight double")
+    cfg = replace(Config(), grid={"regParam": (0.001, 0.01, 0.1), "elasticNetParam": (0.0, 0.25, 0.5)})
+    model, runs = train.grid_search(df, df, cfg, 64, 3)
+    assert len(runs) == 9 and {(r["regParam"], r["elasticNetParam"]) for r in runs} == {(a, b) for a in (0.001, 0.01, 0.1) for b in (0.0, 0.25, 0.5)}
+    train.save(model, str(tmp_path / "m"))
+    said = train.load(str(tmp_path / "m")).transform(df).select("features", "prediction", "probability").collect()
+    lr = model.stages[-1]
+    x = np.array([r.features.toArray() for r in said])
+    odds = x @ lr.coefficientMatrix.toArray().T + lr.interceptVector.toArray()
+    p = np.exp(odds - odds.max(axis=1, keepdims=True))
+    assert np.allclose(p / p.sum(axis=1, keepdims=True), [r.probability.toArray() for r in said])
+    assert [r.prediction for r in said] == odds.argmax(axis=1).tolist()
+
+
 def test_report(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "b")], "label string, prediction string")
     got = {r.label: r for r in report.classification_report(df).collect()}

@@ -44,5 +44,5 @@ def test_no_product_of_tables(spark, name):
     if name == "train_predict":
         pytest.skip("fits a model when it is planned")
     p = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in p and ("BroadcastNestedLoopJoin" not in p or name == "class_weights")
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "BatchEvalPython" not in p
