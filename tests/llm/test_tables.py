@@ -273,10 +273,23 @@ def test_shards(spark, monkeypatch):
     assert len(few) == 3 and {r.slot for r in few} <= {0, 1, 2}
 
 
-def test_shards_query(spark):
+def test_shards_query_equals_its_law(spark):
+    """Every row once, sizes and checksums of the bytes, even shards, gapless slots, equal texts together unless a
+    boundary between two shards cuts their group."""
+    import zlib
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op9_histogram_sort_shards"](spark, SF).collect()
-    assert len(got) == 1000
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        own = docs[r.doc_id]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(own) + 1, zlib.crc32(own), "bytes", None)
     hold_shards(got, 8, max(r.size for r in got) / 2 + 1)
+    shards_of = {}
+    for r in got:
+        shards_of.setdefault(docs[r.doc_id], set()).add(r.shard)
+    cut = [s for s in shards_of.values() if len(s) > 1]
+    assert len(cut) <= 7 and all(max(s) - min(s) == len(s) - 1 for s in cut)
 
 
 def test_pipeline(spark):
