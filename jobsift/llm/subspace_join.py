@@ -29,8 +29,10 @@ MAX_CELLS = 512
 #: Least and most rows of a chunk. Between them chunks are as large as keeps all cores busy, TASKS_A_CORE pairs of
 #: chunks for each, so that a vector travels no more often than that takes, whatever the number of vectors.
 CHUNKS, TASKS_A_CORE = (2048, 65536), 4
-#: Rows that are compared at once; bounds memory.
-STRIPE, TILE = 512, 8192
+#: Pairs of chunks are dealt out to so many partitions at most.
+MAX_PARTITIONS = 20_000
+#: Rows that are compared at once; a tile of distances stays in a core's own cache.
+STRIPE, TILE = 128, 1024
 #: Block distances are found in single precision; this covers its error.
 SLACK = 2e-5
 
@@ -120,10 +122,12 @@ def range_join(x: np.ndarray, y: np.ndarray, share: float) -> Iterator[tuple[np.
     """Index pairs of rows of one block within a squared distance of share, and perhaps a few just over it.
 
     Rows are sorted by the coordinate that spreads most, and a stripe of x only meets the rows of y that lie
-    within reach of it there. Memory holds STRIPE x TILE distances at a time."""
+    within reach of it there. Memory holds STRIPE x TILE distances at a time. If y is x itself, each pair of
+    different rows comes once, in either order."""
     if not len(x) or not len(y):
         return
-    along = int(np.ptp(np.concatenate((x, y)), axis=0).argmax())
+    same = y is x
+    along = int(np.ptp(x if same else np.concatenate((x, y)), axis=0).argmax())
     own, other = np.argsort(x[:, along], kind="stable"), np.argsort(y[:, along], kind="stable")
     at, reach = y[other, along], np.sqrt(share + 2 * SLACK) + SLACK
     # p.q - |p|^2 / 2 - |q|^2 / 2 as one product
@@ -131,12 +135,14 @@ def range_join(x: np.ndarray, y: np.ndarray, share: float) -> Iterator[tuple[np.
     q = np.column_stack((y, np.ones(len(y)), (y * y).sum(axis=1) / -2)).astype(np.float32)[other]
     for a in range(0, len(p), STRIPE):
         part = p[a : a + STRIPE]
-        lo = int(np.searchsorted(at, x[own[a], along] - reach))
+        lo = a if same else int(np.searchsorted(at, x[own[a], along] - reach))
         hi = int(np.searchsorted(at, x[own[a + len(part) - 1], along] + reach, side="right"))
         for b in range(lo, hi, TILE):
             near = part @ q[b : min(b + TILE, hi)].T >= np.float32(-(share + 2 * SLACK) / 2)
             if near.any():
                 i, j = np.nonzero(near)
+                if same:
+                    i, j = i[i + a < j + b], j[i + a < j + b]
                 yield own[i + a], other[j + b]
 
 
@@ -149,17 +155,20 @@ def _first_block(x: np.ndarray, y: np.ndarray, blocks: list[slice], budget: floa
 
 def links_of(a: np.ndarray, b: np.ndarray, turn: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of unit vectors with at least this cosine, each once: every block is joined by range, what it
-    finds is verified exactly, and a pair counts in the first block that finds it."""
+    finds is verified exactly, and a pair counts in the first block that finds it. If b is a itself, no vector
+    meets itself, and a pair comes in either order."""
     budget, blocks = 2 * (1 - cosine), _blocks(a.shape[1])
-    x, y = a @ turn, b @ turn
+    x = a @ turn
+    y = x if b is a else b @ turn
     for k, s in enumerate(blocks):
-        for i, j in range_join(x[:, s], y[:, s], budget * (s.stop - s.start) / a.shape[1]):
+        own = x[:, s]
+        for i, j in range_join(own, own if b is a else y[:, s], budget * (s.stop - s.start) / a.shape[1]):
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                 true = np.einsum("ij,ij->i", a[p], b[q]) >= cosine
                 p, q = p[true], q[true]
-                own = _first_block(x[p], y[q], blocks, budget) == k
-                yield p[own], q[own]
+                new = _first_block(x[p], y[q], blocks, budget) == k
+                yield p[new], q[new]
 
 
 def _join(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
@@ -176,32 +185,34 @@ def _join(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
 
 
 def _compare(dims: int, kind: str, cosine: float):
-    """Counts of links (rid, links) and a spanning forest (a, b) of each pair of chunks."""
+    """Counts of links (rid, links) and a spanning forest (a, b) of each pair of chunks, from rows sorted by task
+    and side. A chunk that meets itself is there once."""
     turn = _rotation(dims)
 
+    def pair(sides: list[dict]) -> Iterator[pa.RecordBatch]:
+        same = len(sides) == 1
+        rid = [np.frombuffer(s["rids"], np.int64) for s in sides]
+        copies = [np.frombuffer(s["copies"], np.int64) for s in sides]
+        unit = [_units(s["vecs"], dims, kind) for s in sides]
+        every = np.concatenate(rid)
+        links, root, shift = np.zeros(len(every), np.int64), np.arange(len(every)), 0 if same else len(rid[0])
+        for p, q in links_of(unit[0], unit[-1], turn, cosine):
+            np.add.at(links, p, copies[-1][q])
+            np.add.at(links, q + shift, copies[0][p])
+            _join(root, p, q + shift)
+        some = np.flatnonzero(links)
+        yield _found(rid=every[some], links=links[some])
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        yield _found(a=every[joined], b=every[root[joined]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                same = (row["c1"], row["k1"]) == (row["c2"], row["k2"])
-                rid = [np.frombuffer(row[f"rids{k}"], np.int64) for k in (1, 2)]
-                copies = [np.frombuffer(row[f"copies{k}"], np.int64) for k in (1, 2)]
-                unit = [_units(row[f"vecs{k}"], dims, kind) for k in (1, 2)]
-                links = [np.zeros(len(r), np.int64) for r in rid]
-                shift = 0 if same else len(rid[0])
-                root = np.arange(len(rid[0]) if same else len(rid[0]) + len(rid[1]))
-                for p, q in links_of(*unit, turn, cosine):
-                    if same:
-                        p, q = p[p < q], q[p < q]
-                    np.add.at(links[0], p, copies[1][q])
-                    np.add.at(links[1], q, copies[0][p])
-                    _join(root, p, q + shift)
-                for r, n in zip(rid, links, strict=True):
-                    some = np.flatnonzero(n)
-                    if len(some):
-                        yield _found(rid=r[some], links=n[some])
-                every = rid[0] if same else np.concatenate(rid)
-                joined = np.flatnonzero(root != np.arange(len(root)))
-                yield _found(a=every[joined], b=every[root[joined]])
+                held.append(row)
+                if len(held) == row["sides"]:
+                    yield from pair(held)
+                    held = []
 
     return run
 
@@ -252,16 +263,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     placed = stage(placed, "placed")
     found = placed.groupBy("cell").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in far]).collect()  # MAX_CELLS rows at most
     pairs = _close_cells(found, pivots @ _rotation(dims), blocks, 2 * (1 - cosine), dims, chunk)
-    pair_of = spark.createDataFrame(pairs or [(0, 0, 0, 0)], "c1 long, n1 long, c2 long, n2 long").filter("n1 > 0")
+    numbered, n_tasks = [], 0
+    for c1, n1, c2, n2 in pairs:
+        numbered.append((c1, n1, c2, n2, n_tasks))
+        n_tasks += n1 * n2 if c1 != c2 else n1 * (n1 + 1) // 2
+    pair_of = spark.createDataFrame(numbered or [(0, 0, 0, 0, 0)], "c1 long, n1 long, c2 long, n2 long, base long").filter("n1 > 0")
 
     size_of = F.broadcast(spark.createDataFrame([(r.cell, -(-r.rows // chunk)) for r in found] or [(-1, 1)], "cell long, n long"))
     dealt = placed.drop(*far).join(size_of, "cell").withColumn("chunk", F.pmod(F.xxhash64(F.lit(6), "rid"), F.col("n")))
     chunks = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk").mapInArrow(lean(_chunks), "cell long, chunk long, rids binary, copies binary, vecs binary")
     chunks = stage(chunks, "chunks")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    tasks = pair_of.withColumn("k1", upto("n1")).withColumn("k2", upto("n2")).filter("c1 <> c2 or k1 <= k2").select("c1", "k1", "c2", "k2")
-    side = lambda k: chunks.select(F.col("cell").alias(f"c{k}"), F.col("chunk").alias(f"k{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("rids", "copies", "vecs")])
-    met = tasks.join(side(1), ["c1", "k1"]).repartition("c1", "k1", "c2", "k2").join(side(2), ["c2", "k2"])
+    tasks = pair_of.withColumn("k1", upto("n1")).withColumn("k2", upto("n2")).filter("c1 <> c2 or k1 <= k2")
+    tasks = tasks.withColumn("task", F.expr("base + if(c1 <> c2, k1 * n2 + k2, k2 * (k2 + 1) div 2 + k1)"))
+    # every chunk goes once to each task that needs it, and tasks are dealt out by their number
+    alone = F.expr("c1 = c2 and k1 = k2")
+    first = F.struct(F.lit(0).alias("side"), F.col("c1").alias("cell"), F.col("k1").alias("chunk"))
+    second = F.struct(F.lit(1).alias("side"), F.col("c2").alias("cell"), F.col("k2").alias("chunk"))
+    needs = tasks.select("task", F.when(alone, 1).otherwise(2).alias("sides"), F.explode(F.when(alone, F.array(first)).otherwise(F.array(first, second))).alias("at"))
+    met = needs.select("task", "sides", "at.*").join(chunks, ["cell", "chunk"]).select("task", "side", "sides", "rids", "copies", "vecs")
+    met = met.repartitionById(max(1, min(n_tasks, MAX_PARTITIONS)), F.pmod("task", F.lit(MAX_PARTITIONS)).cast("int")).sortWithinPartitions("task", "side")
     said = stage(met.mapInArrow(lean(_compare(dims, kind, cosine)), "rid long, links long, a long, b long"), "links")
 
     links = said.filter("rid is not null").groupBy("rid").agg(F.sum("links").alias("links"))

@@ -233,6 +233,10 @@ def test_block_budget_is_lossless(monkeypatch):
     monkeypatch.setattr(subspace_join, "TILE", 70)
     found = [p for x, y in subspace_join.links_of(a, b, subspace_join._rotation(64), 0.95) for p in zip(x.tolist(), y.tolist(), strict=True)]
     assert sorted(found) == true  # each just once
+    both = np.concatenate((a, b))
+    true = {(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(both @ both.T >= 0.95)), strict=True) if i < j}
+    found = [(min(p), max(p)) for x, y in subspace_join.links_of(both, both, subspace_join._rotation(64), 0.95) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == true
 
 
 def test_range_join_equals_brute_force():
