@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,15 @@ def _named(dims: int, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids: list[bytes | None] = []
-            vecs: list[bytes | None] = []
-            for v in batch.column(1).to_pylist():
-                x = np.zeros(dims, kind)
-                if v is not None and None not in v:
-                    x[: len(v)] = v
-                    x += 0  # no negative zeros
-                own = np.isfinite(x).all() and x.any()
-                vecs.append(x.tobytes() if own else None)
-                cids.append(hashlib.blake2b(vecs[-1], digest_size=16).digest() if own else None)
+            given = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(given), 0).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            x = np.zeros((len(n), dims), kind)
+            x[row, np.arange(len(row)) - (np.cumsum(n) - n)[row]] = given.flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+            x += 0  # no negative zeros
+            own = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            vecs = [v.tobytes() if ok else None for v, ok in zip(x, own, strict=True)]
+            cids = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vecs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cids, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "cid", "vec"])
 
     return run
@@ -229,6 +229,11 @@ def _chunk_rows(n: int, cores: int) -> int:
     return min(CHUNKS[1], max(CHUNKS[0], -(-n // math.ceil(math.sqrt(2 * TASKS_A_CORE * cores)))))
 
 
+def _dealt(rows: int, chunk: int) -> int:
+    """Chunks of a cell: the number that brings them nearest to the wanted size, so they may be half as large again."""
+    return max(1, (rows + chunk // 2) // chunk)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
@@ -269,7 +274,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
         n_tasks += n1 * n2 if c1 != c2 else n1 * (n1 + 1) // 2
     pair_of = spark.createDataFrame(numbered or [(0, 0, 0, 0, 0)], "c1 long, n1 long, c2 long, n2 long, base long").filter("n1 > 0")
 
-    size_of = F.broadcast(spark.createDataFrame([(r.cell, -(-r.rows // chunk)) for r in found] or [(-1, 1)], "cell long, n long"))
+    size_of = F.broadcast(spark.createDataFrame([(r.cell, _dealt(r.rows, chunk)) for r in found] or [(-1, 1)], "cell long, n long"))
     dealt = placed.drop(*far).join(size_of, "cell").withColumn("chunk", F.pmod(F.xxhash64(F.lit(6), "rid"), F.col("n")))
     chunks = dealt.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk").mapInArrow(lean(_chunks), "cell long, chunk long, rids binary, copies binary, vecs binary")
     chunks = stage(chunks, "chunks")
@@ -308,5 +313,5 @@ def _close_cells(found: list, centres: np.ndarray, blocks: list[slice], budget:
             gap = np.sqrt(((centres[[r.cell for r in rest], s] - centres[found[x].cell, s]) ** 2).sum(axis=1))
             reach = np.sqrt(budget * (s.stop - s.start) / dims) + found[x][f"far{k}"] + np.array([r[f"far{k}"] for r in rest])
             near |= gap <= reach + 1e-9
-        out += [(found[x].cell, -(-found[x].rows // chunk), r.cell, -(-r.rows // chunk)) for r, ok in zip(rest, near, strict=True) if ok]
+        out += [(found[x].cell, _dealt(found[x].rows, chunk), r.cell, _dealt(r.rows, chunk)) for r, ok in zip(rest, near, strict=True) if ok]
     return out
