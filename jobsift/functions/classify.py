@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHECK_PROMPT, NO_ANSWER, SERVICE_MODEL, TITLE_PROMPT
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 
 class Classifier(Protocol):
     """What a classifier must offer. It is sent to the executors, so it must be picklable."""

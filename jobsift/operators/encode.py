@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import feature_text
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 
 def label_ids(df: DataFrame, label: str) -> DataFrame:
     """(label, label_id): distinct labels in order, numbered from 0. A few hundred rows."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import columns as C
 from ..functions.classify import RuleClassifier, ask_checks, ask_titles
-from ..operators import assemble, encode, report, sampling, screen, titles, train
+from ..operators import assemble, convolution, encode, report, sampling, screen, titles, train
 from ..sources.postings import parse_lines
 from ..sources.sinks import row_count
 
@@ -485,3 +485,21 @@ def train_predict(get):
     model = train.pipeline(1 << 10, max_iter=5, regParam=0.01).fit(weighted)
     said = model.transform(whole.filter("split = 'test'")).select("label_id", F.col("prediction").cast("bigint").alias("prediction"))
     return report.classification_report(said, "label_id", "prediction")
+
+
+@_query()
+def cnn_train_predict(get):
+    """Fit the convolutional classifier of the language on the training split, stopping early by the validation
+    split, and report on the test split."""
+    docs = get("documents").select("doc_id", "lang", F.lit("").alias("title"), F.col("text").alias("description"))
+    ids = encode.label_ids(docs, "lang")
+    whole = encode.encode(sampling.split(docs, "doc_id", 42), ids, "lang").withColumn("weight", F.lit(1.0))
+    fit_on = whole.filter("split = 'train'")
+    vocab = encode.vocabulary(fit_on, "description", 1000)
+    weighted = train.loss_weight(whole, encode.class_weights(fit_on, "label_id"), "label_id")
+    rows = encode.tokens(weighted, vocab, Config().max_length).select("doc_id", "split", "label_id", "loss_weight", "input_ids").persist()
+    part = lambda name: rows.filter(F.col("split") == name)
+    w, _ = convolution.fit(part("train"), part("valid"), convolution.initial(1002, max(1, ids.count())), "doc_id", epochs=4)
+    rows.unpersist()
+    said = convolution.predict(part("test"), w)
+    return report.classification_report(said.select("label_id", "prediction"), "label_id", "prediction")

@@ -1,0 +1,86 @@
+"""The convolutional classifier: forward and backward passes against plain ones, training, inference."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from jobsift.operators import convolution, encode
+
+SMALL = {"vocabulary": 20, "classes": 3, "width": 5, "filters": 4, "kernel": 3, "hidden": 6}
+
+
+def doubles(w):
+    return {k: v.astype(np.float64) for k, v in w.items()}
+
+
+def plain_scores(w, ids):
+    out = []
+    for row in ids:
+        x = w["words"][np.concatenate(([0], row, [0]))]
+        sums = np.array([[sum(x[i + k] @ w["look"][k, :, f] for k in range(3)) + w["look_bias"][f] for f in range(4)] for i in range(len(row))])
+        mid = np.maximum(np.maximum(sums, 0).max(axis=0) @ w["mid"] + w["mid_bias"], 0)
+        z = mid @ w["out"] + w["out_bias"]
+        out.append(z - np.log(np.exp(z).sum()))
+    return np.array(out)
+
+
+def test_scores_equal_plain_convolution():
+    w, ids = doubles(convolution.initial(**SMALL)), np.random.default_rng(1).integers(0, 20, (7, 9))
+    assert np.allclose(convolution.scores(w, ids), plain_scores(w, ids))
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(2)
+    w, ids = doubles(convolution.initial(**SMALL)), rng.integers(0, 20, (6, 9))
+    label, weight, drop = rng.integers(0, 3, 6), rng.random(6) + 0.5, (rng.random((6, 6)) > 0.3) / 0.7
+    _, g = convolution.gradients(w, ids, label, weight, drop)
+    for name, value in w.items():
+        for _ in range(25):
+            at = tuple(rng.integers(0, n) for n in value.shape)
+            if name == "words" and at[0] == 0:
+                continue  # padding stays zero
+            both = []
+            for step in (1e-6, -1e-6):
+                moved = w | {name: value.copy()}
+                moved[name][at] += step
+                both.append(convolution.gradients(moved, ids, label, weight, drop)[0])
+            assert (both[0] - both[1]) / 2e-6 == pytest.approx(g[name][at], abs=1e-6)
+
+
+def test_training_learns_and_predicts(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null and lang is not null")
+    docs = docs.select("doc_id", "lang", F.lit("").alias("title"), F.col("text").alias("description"), F.lit(1.0).alias("loss_weight"))
+    rows = encode.tokens(encode.encode(docs, encode.label_ids(docs, "lang"), "lang"), encode.vocabulary(docs, "description", 100), 256)
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    w, losses = convolution.fit(rows.filter(~test), rows.filter(test), convolution.initial(102, 4, filters=32), "doc_id", epochs=8, rate=3e-3, size=8, workers=2)
+    assert losses and min(losses) < 0.9 * np.log(4) and convolution.loss(rows.filter(test), w) == pytest.approx(min(losses))
+    convolution.save(w, str(tmp_path / "w.npz"))
+    said = convolution.predict(rows, convolution.load(str(tmp_path / "w.npz"))).select("doc_id", "label_id", "input_ids", "scores", "prediction").collect()
+    assert len(said) == rows.count()
+    assert np.mean([r.label_id == r.prediction for r in said]) > 0.8
+    assert np.allclose(convolution.scores(w, np.array([r.input_ids for r in said])), [r.scores for r in said], atol=1e-4)
+
+
+def test_empty_tables_and_nulls(spark):
+    w = convolution.initial(**SMALL)
+    schema = "doc_id long, input_ids array<int>, label_id long, loss_weight double, scores int"
+    none = spark.createDataFrame([], schema)
+    same, losses = convolution.fit(none, none, w, "doc_id")
+    assert same is w and losses == [] and convolution.loss(none, w) is None and convolution.predict(none, w).count() == 0
+    rows = spark.createDataFrame([(1, [2, 3, 0], 0, 1.0, 5), (2, None, 1, 1.0, 5), (3, [4, 5, 6], None, 1.0, 5), (3, [0, 0, 0], 2, None, 5)], schema)
+    trained, losses = convolution.fit(rows, rows, w, "doc_id", epochs=2)
+    assert len(losses) == 2 and np.isfinite(losses).all() and not trained["words"][0].any()
+    said = {(r.doc_id, r.label_id): r.prediction for r in convolution.predict(rows, trained).collect()}
+    assert said[(2, 1)] is None and sum(p is not None for p in said.values()) == 3
+
+
+def test_early_stop_keeps_the_best_epoch(spark):
+    rows = spark.createDataFrame([(i, [i % 3 + 2] * 4, i % 3, 1.0) for i in range(30)], "doc_id long, input_ids array<int>, label_id long, loss_weight double")
+    wrong = rows.withColumn("label_id", F.pmod(F.col("label_id") + 1, F.lit(3)))
+    w, losses = convolution.fit(rows, wrong, convolution.initial(**SMALL), "doc_id", epochs=30, rate=0.05, size=5, workers=2, patience=3)
+    assert len(losses) - 1 - int(np.argmin(losses)) == 3 and len(losses) < 30
+    assert convolution.loss(wrong, w) == pytest.approx(min(losses))
