@@ -10,7 +10,8 @@ model and nothing else.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -61,10 +62,10 @@ def _tables(w: Weights) -> list[np.ndarray]:
 def scores(w: Weights, ids: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
     """Log probabilities of the classes for each row of ids."""
     seen = np.maximum(_look(w, tables or _tables(w), ids)[0], 0)
-    return _log_softmax(np.maximum(seen @ w["mid"] + w["mid_bias"], 0) @ w["out"] + w["out_bias"])
+    return log_softmax(np.maximum(seen @ w["mid"] + w["mid_bias"], 0) @ w["out"] + w["out_bias"])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
@@ -76,7 +77,7 @@ def gradients(w: Weights, ids: np.ndarray, label: np.ndarray, weight: np.ndarray
     fired = np.maximum(seen, 0)
     inner = fired @ w["mid"] + w["mid_bias"]
     kept = np.maximum(inner, 0) * (1 if drop is None else drop)
-    said = _log_softmax(kept @ w["out"] + w["out_bias"])
+    said = log_softmax(kept @ w["out"] + w["out_bias"])
     share = (weight / weight.sum()).astype(w["out"].dtype)
     row = np.arange(len(ids))
     loss = float(-(said[row, label] * share).sum())
@@ -99,6 +100,19 @@ def gradients(w: Weights, ids: np.ndarray, label: np.ndarray, weight: np.ndarray
     return loss, g
 
 
+@dataclass(frozen=True)
+class Net:
+    """What is trained: scores(weights, ids, ready), gradients(weights, ids, label, weight, drop) with drop as wide as
+    the rows of weights["out"], and ready(weights), what many calls of scores share."""
+
+    scores: Callable[..., np.ndarray]
+    gradients: Callable[..., tuple[float, Weights]]
+    ready: Callable[[Weights], object]
+
+
+CNN = Net(scores, gradients, _tables)
+
+
 class _Adam:
     def __init__(self, w: Weights, rate: float, clip: float) -> None:
         self.w, self.rate, self.clip, self.n = w, rate, clip, 0
@@ -132,7 +146,7 @@ def _shaped(flat: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _epoch(w: Weights, rate: float, clip: float, size: int, dropout: float, seed: int):
+def _epoch(net: Net, w: Weights, rate: float, clip: float, size: int, dropout: float, seed: int):
     """Train on a worker's rows; its weights times its rows' weight, in blocks, as (block, weight, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +157,8 @@ def _epoch(w: Weights, rate: float, clip: float, size: int, dropout: float, seed
                 ids, label, weight = _arrays(whole.slice(at, size))
                 if weight.sum() <= 0:
                     continue
-                drop = ((rng.random((len(ids), own["mid"].shape[1])) >= dropout) / (1 - dropout)).astype(np.float32) if dropout else None
-                steps.step(gradients(own, ids, label, weight, drop)[1])
+                drop = ((rng.random((len(ids), len(own["out"]))) >= dropout) / (1 - dropout)).astype(np.float32) if dropout else None
+                steps.step(net.gradients(own, ids, label, weight, drop)[1])
                 mass += float(weight.sum())
         if mass:
             flat = _flat(own).astype(np.float64) * mass
@@ -163,21 +177,21 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.filter("input_ids is not null and label_id is not null and loss_weight is not null")
 
 
-def loss(df: DataFrame, w: Weights) -> float | None:
+def loss(df: DataFrame, w: Weights, net: Net = CNN) -> float | None:
     """The weighted mean loss over all rows; None without rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(w)
+        ready = net.ready(w)
         for batch in batches:
             if batch.num_rows:
                 ids, label, weight = _arrays(batch)
-                each = -scores(w, ids, tables)[np.arange(len(ids)), label] * weight
+                each = -net.scores(w, ids, ready)[np.arange(len(ids)), label] * weight
                 yield pa.RecordBatch.from_arrays([pa.array([float(each.sum())]), pa.array([float(weight.sum())])], names=["loss", "weight"])
 
     return _usable(df).select("input_ids", "label_id", F.col("loss_weight").cast("double")).mapInArrow(run, "loss double, weight double").agg(F.sum("loss") / F.sum("weight")).first()[0]
 
 
-def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, workers: int = 8, seed: int = 42) -> tuple[Weights, list[float]]:
+def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, workers: int = 8, seed: int = 42, net: Net = CNN) -> tuple[Weights, list[float]]:
     """The weights of the epoch with the least validation loss, and the loss after each epoch. It ends when patience epochs
     in a row bring nothing; the rate falls linearly to zero. Both tables should be stored, for each epoch reads
     them again. Rows are dealt to workers by a hash of key, which fixes their order too. Rows with nulls are
@@ -186,12 +200,12 @@ def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int =
     best, losses, since = (w, float("inf")), [], 0
     for epoch in range(epochs):
         dealt = rows.repartition(workers, F.xxhash64(F.lit(seed), "key")).sortWithinPartitions(F.xxhash64(F.lit(seed + epoch), "key"), "key").drop("key")
-        told = dealt.mapInArrow(_epoch(w, rate * (1 - epoch / epochs), clip, size, dropout, seed + epoch), "block int, mass double, data binary")
+        told = dealt.mapInArrow(_epoch(net, w, rate * (1 - epoch / epochs), clip, size, dropout, seed + epoch), "block int, mass double, data binary")
         blocks = told.groupBy("block").applyInPandas(_average, "block int, data binary").collect()  # one model
         if not blocks:
             break
         w = _shaped(np.concatenate([np.frombuffer(r.data, np.float64) for r in sorted(blocks, key=lambda r: r.block)]), w)
-        now = loss(valid, w)
+        now = loss(valid, w, net)
         if now is None:
             best = (w, now)
             continue
@@ -203,17 +217,17 @@ def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int =
     return best[0], losses
 
 
-def predict(df: DataFrame, w: Weights) -> DataFrame:
+def predict(df: DataFrame, w: Weights, net: Net = CNN) -> DataFrame:
     """Add scores, the log probability of each class, and prediction, the likeliest; null where input_ids is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(w)
+        ready = net.ready(w)
         for batch in batches:
             ids = batch.column("input_ids")
             there = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
             said: list = [None] * batch.num_rows
             if len(there):
-                for i, x in zip(there, scores(w, ids.flatten().to_numpy().reshape(len(there), -1), tables), strict=True):
+                for i, x in zip(there, net.scores(w, ids.flatten().to_numpy().reshape(len(there), -1), ready), strict=True):
                     said[i] = x
             best = pa.array([None if x is None else int(x.argmax()) for x in said], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.list_(pa.float32())), best], names=[*batch.schema.names, "scores", "prediction"])
