@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobsift.operators import convolution, encode
+from jobsift.plans.queries import QUERIES
 
 SMALL = {"vocabulary": 20, "classes": 3, "width": 5, "filters": 4, "kernel": 3, "hidden": 6}
 
@@ -84,3 +85,9 @@ def test_early_stop_keeps_the_best_epoch(spark):
     w, losses = convolution.fit(rows, wrong, convolution.initial(**SMALL), "doc_id", epochs=30, rate=0.05, size=5, workers=2, patience=3)
     assert len(losses) - 1 - int(np.argmin(losses)) == 3 and len(losses) < 30
     assert convolution.loss(wrong, w) == pytest.approx(min(losses))
+
+
+def test_query_reports_held_out_languages(spark):
+    said = {r["label"]: r for r in QUERIES["cnn_train_predict"](spark, "/root/testdata/sf0.01").collect()}
+    assert set(said) == {"0", "1", "2", "3", "accuracy", "macro avg", "weighted avg"}
+    assert said["accuracy"]["f1_score"] > 0.9 and said["macro avg"]["support"] == 200
