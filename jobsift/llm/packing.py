@@ -9,7 +9,6 @@ documents in a stream, holding no more than one pool of remainders, so nothing i
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import lean, ship
+from .tokens import ids_of
 
 WINDOW = 1024
 TIERS = (1024, 512, 256)
@@ -27,44 +27,8 @@ TIERS = (1024, 512, 256)
 POOL = 2048
 #: Tokens that a step takes; groups of sequences are dealt out to be near this.
 STEP_TOKENS = 16 * 1024
-END = 0
-#: Fixed value: the word pattern of byte-level tokenizers (the pre-tokenizer of GPT-2).
-_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-_encoders: dict[str, object] = {}
-
-
-def encoder(tokenizer_path: str):
-    """The byte-level BPE of a tokenizer file, about five times faster than the tokenizers package here: the
-    vocabulary's order is the order of merges. Tokens that the file adds are found in the text before it is
-    split into words, as that package does."""
-    if tokenizer_path not in _encoders:
-        import tiktoken
-
-        with open(tokenizer_path, encoding="utf-8") as f:
-            whole = json.load(f)
-        as_byte = _bytes_of_letters()
-        ranks = {bytes(as_byte[c] for c in token): n for token, n in whole["model"]["vocab"].items()}
-        added = {t["content"]: t["id"] for t in whole["added_tokens"]}
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in whole["added_tokens"]) or whole["normalizer"]:
-            raise ValueError(f"{tokenizer_path}: only plainly matched added tokens and no normalizer are supported")
-        _encoders[tokenizer_path] = tiktoken.Encoding("own", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens=added)
-    return _encoders[tokenizer_path]
-
-
-def ids_of(text: str | None, tokenizer_path: str) -> np.ndarray:
-    """Little-endian unsigned 32-bit ids of a whole text, and the END after them."""
-    ids = encoder(tokenizer_path).encode_to_numpy(text or "", allowed_special="all")
-    return np.append(np.asarray(ids, "<u4"), np.uint32(END)).astype("<u4")
-
-
-def _bytes_of_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: visible Latin-1 letters for themselves,
-    letters from U+0100 on for the other bytes in order."""
-    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class _Piece:
@@ -178,8 +142,8 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
     lies in one piece, windows have no gaps, and all are full: 1024, 512 or 256 tokens, or at the end of a
     partition a smaller power of two. Rows that repeat a key are separate documents, and null keys stay
     null. Other columns are ignored. An empty table gives no rows. Tokens that the tokenizer file adds count
-    where a text holds them. A very long text is cut into full windows as it comes, so it never waits in a
-    pool; remainders of equal length are taken in the order of their start, then as they come."""
+    where a text holds them. A very long text, also one of white space only, is cut into full windows as it comes, so it never waits
+    in a pool; remainders of equal length are taken in the order of their start, then as they come."""
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity, warc
+from . import audit, language_id, lexical, token_files, toxicity, warc
 from .bloom_dedup import exact_dedup
 from .chosen_path import near_duplicates
 from .common import LOWER, UPPER, new_path, table
@@ -107,6 +107,22 @@ def op10_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(audit.flagged(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return lexical.search(docs.select("doc_id", "text"), items.select("item_id", "text"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_naive_bayes_language": op2_naive_bayes_language,
@@ -118,8 +134,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bloom_exact_dedup": op8_bloom_exact_dedup,
     "op9_histogram_sort_shards": op9_histogram_sort_shards,
     "op10_chosen_path_near_dedup": op10_chosen_path_near_dedup,
+    "op11_packed_token_ids": op11_packed_token_ids,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
 
+
 def _mixture_sql() -> str:
     """Raking as a recursion over the cells, its three steps being window sums. All values are named; null is other."""
     goals = []
@@ -215,4 +235,59 @@ ORACLE_SQL: dict[str, str] = {
             select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 85 * (x.n + y.n - k)
         ), {_REACHED}
         select id as doc_id, coalesce(n.n, 0) as n_shingles, component_id, id = component_id as kept from c left join n on id = n.doc_id""",
+    "op12_filter_audit": r"""
+        with d as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents
+        ), w as (
+            select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d
+        ), x as (
+            select doc_id, part, t, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+                   + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+                   + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as fails
+            from w
+        ), l as (
+            select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+        ), c as (
+            select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from x left join l using (doc_id) group by all
+        ), letters as (
+            select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit
+        ), o as (
+            select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+            from letters a, letters b, letters c, letters d, letters e where a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ), s as (
+            select filter_order, cast(k as int) as step, bits[k] as bit, cast(coalesce(list_sum(bits[1:k - 1]), 0) as int) as before from o, range(1, 6) as r(k)
+        ), m as (
+            select part, filter_order, step, bit,
+                   sum(case when fails & (before | bit) = 0 then n else 0 end) as kept,
+                   sum(case when fails & before = 0 and fails & bit > 0 then n else 0 end) as removed,
+                   sum(case when fails & before > 0 and fails & bit > 0 then n else 0 end) as redundant,
+                   sum(case when fails = bit then n else 0 end) as unique_fails,
+                   sum(case when fails & before = 0 and fails & bit > 0 then good else 0 end) as good_lost,
+                   sum(case when fails & before = 0 and fails & bit > 0 then toxic else 0 end) as toxic_lost
+            from c, s group by all
+        )
+        select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+               cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+               cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+        from m""",
+    "op13_lexical_search": rf"""
+        with d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+        ), c as (
+            select count(*) filter (len(w) > 0) as n_docs, coalesce(sum(len(w)), 0)::bigint as n_terms from d
+        ), i as (
+            select item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from benchmark
+        ), u as (
+            select doc_id, len(w) as n, unnest(w) as term from d
+        ), p as (
+            select doc_id, n, term, count(*) as tf from u where term in (select term from i) group by all
+        ), t as (
+            select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from p, c group by term, n_docs
+        ), s as (
+            select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) as score
+            from i join p using (term) join t using (term), c group by all
+        ), r as (
+            select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0
+        )
+        select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score from r where rank <= 10""",
 }
