@@ -12,6 +12,16 @@ def missing_to_null(col: Column, sentinels: tuple[str, ...]) -> Column:
     return F.when(col.isin(*sentinels), None).otherwise(col)
 
 
+def decodable(col: Column) -> Column:
+    """Text from bytes of which some aren't UTF-8, as a string column holds them: those bytes go, and all characters
+    stay, replacement characters that were there before too. They wait under a noncharacter meanwhile, which is
+    escaped itself."""
+    mark, gone = F.lit("\ufdd0"), F.lit("\ufffd")
+    waiting = F.replace(F.replace(col, mark, F.lit("\ufdd0a")), gone, F.lit("\ufdd0b"))
+    bare = F.replace(F.make_valid_utf8(waiting), gone, F.lit(""))
+    return F.replace(F.replace(bare, F.lit("\ufdd0b"), gone), F.lit("\ufdd0a"), mark)
+
+
 def month_key(date: Column) -> Column:
     return F.left(date, F.lit(7))
 

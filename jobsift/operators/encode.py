@@ -47,10 +47,26 @@ def class_weights(train: DataFrame, label: str) -> DataFrame:
     return counts.select(label, (F.sum("n_c").over(whole) / (F.count("*").over(whole) * F.col("n_c"))).alias("class_weight"))
 
 
+def character_counts(df: DataFrame, text: str) -> DataFrame:
+    """(token, count) of the characters of all texts. Every task counts the code points of its texts in arrays and sends a
+    row for each character that it has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(sys.maxunicode + 1, np.int64)
+        for batch in batches:
+            for t in batch.column(0).drop_null().to_pylist():
+                points, n = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)
+                seen[points] += n
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(p) for p in found], pa.string()), pa.array(seen[found])], names=["token", "n"])
+
+    told = df.select(text).mapInArrow(run, "token string, n long")
+    return told.groupBy("token").agg(F.sum("n").alias("count"))
+
+
 def vocabulary(train: DataFrame, text: str, size: int) -> DataFrame:
     """(token, token_id) of the most frequent characters, from 2; 0 is padding and 1 anything else."""
-    chars = train.select(F.explode(F.split(F.col(text), "")).alias("token")).filter("token <> ''")
-    counts = chars.groupBy("token").count().orderBy(F.desc("count"), "token").limit(size)
+    counts = character_counts(train, text).orderBy(F.desc("count"), "token").limit(size)
     return counts.select("token", (F.row_number().over(Window.orderBy(F.desc("count"), "token")) + 1).cast("int").alias("token_id"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import broad_code, extract_code
-
-#: First letters of a title that make a range of titles.
-LETTERS = 3
+from .ranking import equal_shares, ranked
 
 
 def frequent(df: DataFrame, least: int, title: str = "title") -> DataFrame:
@@ -21,23 +19,10 @@ def total(counts: DataFrame) -> DataFrame:
 
 
 def shards(counts: DataFrame, n: int, title: str = "title") -> DataFrame:
-    """Number of an equal share of the titles, the most frequent first; the first shards are one title larger if
-    the shares aren't equal. Titles are ranked within ranges of equal count and equal first letters, and the counts
-    of the ranges before are added, so no task gets all titles."""
-    begin = F.coalesce(F.left(F.col(title), F.lit(LETTERS)), F.lit(""))
-    placed = counts.withColumn("_begin", begin)
-    ranges = placed.groupBy("count", "_begin").agg(F.count("*").alias("_rows"))
-    order = Window.orderBy(F.desc("count"), "_begin")
-    before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
-    whole = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all")
-    # a row for each pair of a count and first letters
-    offsets = ranges.select(F.col("count").alias("_count"), F.col("_begin").alias("_at"), before, whole)
-    own = F.row_number().over(Window.partitionBy("count", "_begin").orderBy(title))
-    ranked = placed.withColumn("_own", own).join(offsets, (F.col("count") == F.col("_count")) & (F.col("_begin") == F.col("_at")))
-    least, more = F.floor(F.col("_all") / n), F.col("_all") % n
-    rank, large = F.col("_before") + F.col("_own") - 1, more * (least + 1)
-    shard = F.when(rank < large, F.floor(rank / (least + 1))).otherwise(more + F.floor((rank - large) / F.greatest(least, F.lit(1)))) + 1
-    return ranked.select(*counts.columns, shard.cast("bigint").alias("shard"))
+    """Number of an equal share of the titles, the most frequent first, equally frequent ones by name; the first shards
+    are one title larger if the shares aren't equal. Titles are dealt out in sampled ranges, whatever their script."""
+    placed = ranked(counts, F.desc("count"), F.asc(title), name="_rank")
+    return placed.select(*counts.columns, equal_shares(F.col("_rank"), placed.count(), n).alias("shard"))
 
 
 def labels(answers: DataFrame) -> DataFrame:

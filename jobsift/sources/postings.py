@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import decodable
 from ..schema import CROSSWALK_CODE, POSTING_COLUMNS, SCREENED
 
 SEPARATOR = "@!"
@@ -24,13 +25,13 @@ def parse_lines(lines: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def read_shards(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
     """Raw postings of all shards of a folder (or paths), with the file's name as shard and the row's place
-    in it, which says what "first" means when duplicates are dropped."""
+    in it, which says what "first" means when duplicates are dropped. Bytes that aren't UTF-8 go; no character does."""
     reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
     lines = reader.text(path)
     placed = lines.select(
-        "value",
+        decodable(F.col("value")).alias("value"),
         F.col("_metadata.file_name").alias("shard"),
-        F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("position"),
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")).alias("position"),
     )
     return parse_lines(placed)
 
@@ -41,14 +42,15 @@ def shard_paths(folder: str, name: str, numbers: range) -> list[str]:
 
 
 def read_screened_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """A screened table that was exported with '?' between fields, by position. Without a header, lines with too
-    many fields go, and short ones are filled up with nulls. Bytes that aren't UTF-8 go."""
+    """A screened table that was exported with '?' between fields, by position. Lines with too many fields go, and short
+    ones are filled up with nulls. Bytes that aren't UTF-8 go, characters never do: fields are taken as bytes, one a
+    character, and decoded afterwards, so a file may be split anywhere."""
     names = [f.name for f in SCREENED.fields[:16]]
-    schema = T.StructType([*SCREENED.fields[:16], T.StructField("_more", T.StringType())])
-    df = spark.read.schema(schema).option("sep", "?").option("header", header).option("escape", '"').option("enforceSchema", True).csv(path)
-    if not header:
-        df = df.filter(F.col("_more").isNull())
-    return df.select(*[F.translate(c, "\ufffd", "").alias(c) for c in names])
+    schema = T.StructType([*SCREENED.fields[:16], *(T.StructField(c, T.StringType()) for c in ("_more", "_odd"))])
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_odd").option("sep", "?").option("header", header).option("escape", '"').option("enforceSchema", True)
+    df = reader.option("encoding", "ISO-8859-1").option("columnPruning", False).csv(path)
+    df = df.filter(F.col("_more").isNull() & F.col("_odd").isNotNull())  # a line of 17 fields is all that isn't odd
+    return df.select(*[F.nullif(decodable(F.encode(c, "ISO-8859-1").cast("string")), F.lit("")).alias(c) for c in names])
 
 
 def read_table_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
