@@ -17,10 +17,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stages import settled
+from . import model_store
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
 Weights = dict[str, np.ndarray]
 #: Numbers in a block of weights that one task averages.
@@ -191,15 +194,16 @@ def loss(df: DataFrame, w: Weights, net: Net = CNN) -> float | None:
     return _usable(df).select("input_ids", "label_id", F.col("loss_weight").cast("double")).mapInArrow(run, "loss double, weight double").agg(F.sum("loss") / F.sum("weight")).first()[0]
 
 
-def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, workers: int = 8, seed: int = 42, net: Net = CNN) -> tuple[Weights, list[float]]:
+def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, workers: int | None = None, seed: int = 42, net: Net = CNN) -> tuple[Weights, list[float]]:
     """The weights of the epoch with the least validation loss, and the loss after each epoch. It ends when patience epochs
     in a row bring nothing; the rate falls linearly to zero. Both tables should be stored, for each epoch reads
     them again. Rows are dealt to workers by a hash of key, which fixes their order too. Rows with nulls are
     left out; without any row the weights stay as they are."""
     rows = _usable(train).select(F.col(key).alias("key"), "input_ids", "label_id", F.col("loss_weight").cast("double"))
     best, losses, since = (w, float("inf")), [], 0
+    dealt_once = settled(rows.repartition(workers or train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(F.lit(seed), "key")))
     for epoch in range(epochs):
-        dealt = rows.repartition(workers, F.xxhash64(F.lit(seed), "key")).sortWithinPartitions(F.xxhash64(F.lit(seed + epoch), "key"), "key").drop("key")
+        dealt = dealt_once.sortWithinPartitions(F.xxhash64(F.lit(seed + epoch), "key"), "key").drop("key")
         told = dealt.mapInArrow(_epoch(net, w, rate * (1 - epoch / epochs), clip, size, dropout, seed + epoch), "block int, mass double, data binary")
         blocks = told.groupBy("block").applyInPandas(_average, "block int, data binary").collect()  # one model
         if not blocks:
@@ -236,12 +240,11 @@ def predict(df: DataFrame, w: Weights, net: Net = CNN) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("scores", T.ArrayType(T.FloatType())), T.StructField("prediction", T.LongType())]))
 
 
-def save(w: Weights, path: str) -> None:
-    """Write the weights to a file of the driver."""
-    with open(path, "wb") as f:
-        np.savez(f, **w)
+def save(spark: SparkSession, w: Weights, path: str, epoch: int = 0) -> None:
+    """Commit the weights as an epoch of the model store at a path."""
+    model_store.save(spark, w, path, epoch)
 
 
-def load(path: str) -> Weights:
-    with np.load(path) as f:
-        return {k.removeprefix("module."): f[k] for k in f.files}
+def load(path: str, epoch: int | None = None) -> Weights:
+    """The weights of an epoch of a store, the last if none is named."""
+    return model_store.load(path, epoch)

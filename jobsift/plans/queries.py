@@ -5,15 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import columns as C
+from ..functions import ledger
 from ..functions.classify import RuleClassifier, ask_checks, ask_titles
-from ..operators import assemble, convolution, encode, report, sampling, screen, titles, train
-from ..sources.postings import parse_lines
-from ..sources.sinks import row_count
+from ..operators import assemble, convolution, encode, linear, model_store, report, sampling, screen, titles, train
+from ..operators.ranking import ranked
+from ..schema import POSTING_COLUMNS
+from ..sources.postings import parse_lines, read_screened_csv, read_shards, read_table_csv, shard_paths
+from ..sources.shard_files import write_shards
+from ..sources.sinks import row_count, write_csv, write_stage
+from ..sources.stages import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,17 +480,129 @@ def union_missing_columns(get):
     return docs.join(get("labels").filter("quality = 1").select("doc_id", "quality"), "doc_id", "left").unionByName(docs.filter("lang = 'es'"), allowMissingColumns=True)
 
 
+@_query("select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) - 1 as place from orders")
+def global_rank(get):
+    return ranked(get("orders"), F.desc("o_orderdate"), F.asc("o_orderkey"), name="place").select("o_orderkey", "place")
+
+
+@_query("select token, count(*) as count from (select unnest(string_split(text, '')) as token from documents) where token <> '' group by token")
+def character_counts(get):
+    return encode.character_counts(get("documents"), "text")
+
+
+@_query("select doc_id, text from documents")
+def bytes_without_errors(get):
+    """Texts with bytes put in that aren't UTF-8, some of them the begin of a character, are read as they were."""
+    broken = F.concat(F.unhex(F.lit("FF")), F.left("text", F.lit(5)).cast("binary"), F.unhex(F.lit("E4B8")), F.substring("text", 6, 1 << 30).cast("binary"), F.unhex(F.lit("F09F98")))
+    return get("documents").select("doc_id", C.decodable(broken.cast("string")).alias("text"))
+
+
+@_query("""
+    select source as shard, cast(count(*) as bigint) as rows, cast(count(distinct posting_id) as bigint) as ids, cast(count(distinct position) as bigint) as places, max(length(title)) as longest
+    from (select source, cast(doc_id as varchar) as posting_id, doc_id as position, 't' || doc_id || '�' as title from documents where source in ('src0', 'src1', 'src3')) group by source""")
+def read_back_shards(get):
+    """Lines of postings written as numbered text shards, of which some are read: every row has a place of its own."""
+    docs = get("documents")
+    fields = [F.col("doc_id").cast("string") if c == "posting_id" else F.concat(F.lit("t"), "doc_id", F.lit("\ufffd")) if c == "title" else F.lit("x") for c in POSTING_COLUMNS]
+    path = new_path(docs.sparkSession, "shards")
+    lines = docs.select("source", F.concat_ws("@!", *fields).alias("value"))
+    lines.repartition("source").write.partitionBy("source").text(path)
+    rows = read_shards(docs.sparkSession, shard_paths(path, "source=src%d", [0, 1, 3]))
+    source = F.regexp_extract(F.col("position.file_path"), "source=([^/]*)/", 1)
+    return rows.groupBy(source.alias("shard")).agg(
+        F.count("*").alias("rows"), F.countDistinct("posting_id").alias("ids"), F.countDistinct("position").alias("places"), F.max(F.length("title")).alias("longest")
+    )
+
+
+@_query("""
+    select cast(p_partkey as varchar) as posting_id, p_name as company_id, p_brand || '?"' || p_type as title, cast(p_size as varchar) as headcount, 'x' as city
+    from part where p_size % 3 = 1""")
+def shard_files_round_trip(get):
+    """Shards written as one file each, with a byte-order mark, and read back by position."""
+    spark = get("part").sparkSession
+    own = {"posting_id": F.col("p_partkey"), "company_id": F.col("p_name"), "title": F.concat("p_brand", F.lit('?"'), "p_type"), "headcount": F.col("p_size"), "city": F.lit("x")}
+    rows = get("part").filter("p_size % 3 = 1").select(*[own.get(c, F.lit(None)).cast("string").alias(c) for c in POSTING_COLUMNS], F.lit("2024-01").alias("date"), F.col("p_size").alias("shard"))
+    path = new_path(spark, "shard-files")
+    write_shards(rows, path)
+    return read_screened_csv(spark, path).select("posting_id", "company_id", "title", "headcount", "city")
+
+
+@_query("select cast(doc_id as varchar) as doc_id, lang, source, left(text, 40) || '\"?,' as begin from documents where lang <> 'en'")
+def table_round_trip(get):
+    """A table stored by language and read back in part, then exported as text with all fields quoted and read again."""
+    spark, path = get("documents").sparkSession, new_path(get("documents").sparkSession, "tables")
+    rows = get("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "source", F.concat(F.left("text", F.lit(40)), F.lit('"?,')).alias("begin"))
+    write_stage(rows, f"{path}/stage", "lang")
+    write_csv(spark.read.parquet(f"{path}/stage").filter("lang <> 'en'"), f"{path}/text", quote_all=True)
+    return read_table_csv(spark, f"{path}/text").select("doc_id", "lang", "source", "begin")
+
+
+@_query("""
+    with c as (select doc_id, unicode(unnest(string_split(text, ''))) as u from documents),
+    n as (select doc_id, ((u * 2654435761) % 4294967296 // 128) % 64 as b, count(*) as n from c group by all),
+    x as (select doc_id, b, n / sqrt(sum(n * n) over (partition by doc_id)) as x from n),
+    s as (select doc_id, k, sum(x * sin(3 * b + k)) + any_value(k) / 10 as s from x, range(4) as r(k) group by doc_id, k),
+    p as (select doc_id, k, exp(s) / sum(exp(s)) over (partition by doc_id) as p from s)
+    select doc_id, cast(arg_max(k, p) as bigint) as prediction, round(max(p), 6) as most from p group by doc_id""")
+def stored_model_scores(get):
+    """Whole texts scored by a model that executors read from the store, its weights set by a rule."""
+    docs = get("documents")
+    grid = linear.Grid(64, 4, (0.0,), (0.0,))
+    weights = np.sin(3 * np.arange(65)[:, None] + np.arange(4))
+    weights[-1] = np.arange(4) / 10
+    path = new_path(docs.sparkSession, "model")
+    model_store.save(docs.sparkSession, {"at": weights}, path)
+    said = linear.predict(linear.hashed_counts(docs.select("doc_id", "text"), "text", 64), grid, np.ones(64), path, 0)
+    return said.select("doc_id", "prediction", F.round(F.array_max("probability"), 6).alias("most"))
+
+
+@_query("select p_name as title, case when p_name like '%green%' then '37-3011' when p_name like '%red%' then '51-2090' else 'N/A' end as answer, cast(count(*) as bigint) as rows from part where p_name is not null group by p_name")
+def ledger_answers(get):
+    """Titles asked in two runs, of which the second finds what the first was told."""
+    rules, path = RuleClassifier([("green", "37-3011"), ("red", "51-2090")]), new_path(get("part").sparkSession, "ledger")
+    rows = get("part").select(F.col("p_name").alias("title"))
+    ledger.ask(rows.filter("title like '%green%'"), path, rules.title, "title", 8, 4)
+    ledger.ask(rows, path, rules.title, "title", 8, 4)
+    return ledger.with_answers(rows.filter("title is not null").groupBy("title").agg(F.count("*").alias("rows")), path, "title")
+
+
+def _language_rows(get):
+    """Documents with their language as label, weighted by class, split, and with their characters counted; stored."""
+    docs = get("documents").select("doc_id", "lang", F.col("text").alias("description"))
+    ids = encode.label_ids(docs, "lang")
+    whole = encode.encode(sampling.split(docs, "doc_id", 42), ids, "lang").withColumn("weight", F.lit(1.0)).drop("lang")
+    whole = whole.withColumn("text", C.feature_text(F.lit(""), F.col("description"), 2)).drop("description")
+    path = new_path(docs.sparkSession, "features")
+    linear.hashed_counts(whole, "text", 1 << 14).write.partitionBy("split").parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    weighted = train.loss_weight(rows, encode.class_weights(rows.filter("split = 'train'"), "label_id"), "label_id")
+    return {k: weighted.filter(F.col("split") == k) for k in ("train", "valid", "test")}, max(1, ids.count())
+
+
+def _fitted(get):
+    parts, classes = _language_rows(get)
+    grid = linear.Grid.of(Config(), 1 << 14, classes)
+    idf = linear.rarity(parts["train"], grid.features)
+    path = new_path(get("documents").sparkSession, "model")
+    linear.fit(parts["train"], grid, idf, path)
+    return parts, grid, idf, path
+
+
+@_query()
+def grid_run_table(get):
+    """All points of the grid, trained together: loss and accuracy on the validation split."""
+    parts, grid, idf, path = _fitted(get)
+    return linear.run_table(parts["valid"], grid, idf, path)
+
+
 @_query()
 def train_predict(get):
-    """Fit a classifier of the language on the training split and report on the test split."""
-    docs = get("documents").select("doc_id", "lang", F.lit("").alias("title"), F.col("text").alias("description"))
-    ids = encode.label_ids(docs, "lang")
-    whole = encode.encode(sampling.split(docs, "doc_id", 42), ids, "lang").withColumn("text", C.feature_text(F.col("title"), F.col("description"), 2)).withColumn("weight", F.lit(1.0))
-    fit_on = whole.filter("split = 'train'")
-    weighted = train.loss_weight(fit_on, encode.class_weights(fit_on, "label_id"), "label_id")
-    model = train.pipeline(1 << 10, max_iter=5, regParam=0.01).fit(weighted)
-    said = model.transform(whole.filter("split = 'test'")).select("label_id", F.col("prediction").cast("bigint").alias("prediction"))
-    return report.classification_report(said, "label_id", "prediction")
+    """Fit the grid of classifiers of the language on the training split, choose by the validation split and report on
+    the test split."""
+    parts, grid, idf, path = _fitted(get)
+    best = report.best_run(linear.run_table(parts["valid"], grid, idf, path)).first()
+    said = linear.predict(parts["test"].select("label_id", "places", "counts"), grid, idf, path, best.model)
+    return report.classification_report(said.select("label_id", "prediction"), "label_id", "prediction")
 
 
 @_query()
@@ -499,7 +617,7 @@ def cnn_train_predict(get):
     weighted = train.loss_weight(whole, encode.class_weights(fit_on, "label_id"), "label_id")
     rows = encode.tokens(weighted, vocab, Config().max_length).select("doc_id", "split", "label_id", "loss_weight", "input_ids").persist()
     part = lambda name: rows.filter(F.col("split") == name)
-    w, _ = convolution.fit(part("train"), part("valid"), convolution.initial(1002, max(1, ids.count())), "doc_id", epochs=4)
+    w, _ = convolution.fit(part("train"), part("valid"), convolution.initial(1002, max(1, ids.count())), "doc_id")
     rows.unpersist()
     said = convolution.predict(part("test"), w)
     return report.classification_report(said.select("label_id", "prediction"), "label_id", "prediction")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.classify import Classifier, ask_checks, ask_titles
 from ..functions.columns import feature_text, truthy, without_dashes
-from ..operators import assemble, encode, report, sampling, screen, titles, train
+from ..operators import assemble, encode, linear, report, sampling, screen, titles, train
 from ..schema import LABELLED_COLUMNS
 from ..sources.postings import read_shards
 from ..sources.sinks import counted, write_stage
@@ -47,17 +46,24 @@ def labelling(spark: SparkSession, out: str, crosswalk: DataFrame, classifier: C
     write_stage(assemble.estimation(labelled, checked, cfg), f"{out}/estimation")
 
 
-def training(spark: SparkSession, out: str, cfg: Config = Config(), features: int = 1 << 14, max_iter: int = 20) -> tuple[PipelineModel, DataFrame]:
-    """The best model by the validation set, and its report on the test set."""
+def training(spark: SparkSession, out: str, cfg: Config = Config(), features: int = 1 << 14, max_iter: int = 25) -> tuple[DataFrame, DataFrame]:
+    """The runs of the grid on the validation set, and the report of the best of them on the test set. Texts are read once,
+    and their characters' counts stored; the models are in the store at out/model, where a run that was cut off goes on."""
     sample = spark.read.parquet(f"{out}/estimation").withColumn("soc_code", without_dashes(F.col("soc_code"))).withColumn("true_ind", truthy(F.col("true_ind")))
     ids = encode.label_ids(sample, "soc_code")
     whole = encode.encode(sampling.split(sample, "posting_id", cfg.seed), ids, "soc_code")
-    write_stage(whole.withColumn("text", feature_text(F.col("title"), F.col("description"), cfg.title_repeats)), f"{out}/split", "split")
+    whole = whole.withColumn("text", feature_text(F.col("title"), F.col("description"), cfg.title_repeats)).drop("title", "description")
+    write_stage(linear.hashed_counts(whole, "text", features), f"{out}/split", "split")
     whole = spark.read.parquet(f"{out}/split")
     parts = {k: whole.filter(F.col("split") == k) for k in ("train", "valid", "test")}
     weights = encode.class_weights(parts["train"], "label_id")
     weighted = {k: train.loss_weight(df, weights, "label_id").fillna(1.0, ["loss_weight"]) for k, df in parts.items()}
-    model, _ = train.grid_search(weighted["train"], weighted["valid"], cfg, features, max_iter)
-    said = model.transform(parts["test"]).withColumn("prediction", F.col("prediction").cast("bigint")).select("label_id", "prediction")
+    grid = linear.Grid.of(cfg, features, ids.count())
+    idf = linear.rarity(weighted["train"], features)
+    linear.fit(weighted["train"], grid, idf, f"{out}/model", max_iter)
+    write_stage(linear.run_table(weighted["valid"], grid, idf, f"{out}/model"), f"{out}/runs")
+    runs = spark.read.parquet(f"{out}/runs")
+    best = report.best_run(runs, cfg.select_by).first()
+    said = linear.predict(parts["test"].select("label_id", "places", "counts"), grid, idf, f"{out}/model", best.model).select("label_id", "prediction")
     said = encode.decode(encode.decode(said, ids, "soc_code", "label_id"), ids, "soc_code", "prediction")
-    return model, report.classification_report(said, "label_id", "prediction")
+    return runs, report.classification_report(said, "label_id", "prediction")

@@ -59,8 +59,8 @@ def test_training_learns_and_predicts(spark, tmp_path):
     test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     w, losses = convolution.fit(rows.filter(~test), rows.filter(test), convolution.initial(102, 4, filters=32), "doc_id", epochs=8, rate=3e-3, size=8, workers=2)
     assert losses and min(losses) < 0.9 * np.log(4) and convolution.loss(rows.filter(test), w) == pytest.approx(min(losses))
-    convolution.save(w, str(tmp_path / "w.npz"))
-    said = convolution.predict(rows, convolution.load(str(tmp_path / "w.npz"))).select("doc_id", "label_id", "input_ids", "scores", "prediction").collect()
+    convolution.save(spark, w, str(tmp_path / "w"))
+    said = convolution.predict(rows, convolution.load(str(tmp_path / "w"))).select("doc_id", "label_id", "input_ids", "scores", "prediction").collect()
     assert len(said) == rows.count()
     assert np.mean([r.label_id == r.prediction for r in said]) > 0.8
     assert np.allclose(convolution.scores(w, np.array([r.input_ids for r in said])), [r.scores for r in said], atol=1e-4)

@@ -199,14 +199,6 @@ def test_service_classifier():
     assert ServiceClassifier(lambda b: (200, "{")).check("d", "c") == "N/A"
 
 
-def test_neural_is_optional():
-    from jobsift.operators import neural
-
-    if not neural.available():
-        with pytest.raises(ImportError):
-            neural.text_cnn(10, 2)
-
-
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([('a?b"c', "1")], "x string, y string")
     sinks.write_csv(df, str(tmp_path / "q"), "?")
