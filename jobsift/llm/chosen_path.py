@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom_dedup import KeyFilter
 from .common import BROADCAST_ROWS, join_groups, lean, settle, ship, stage, unstage
 from .components import Forest, components
 from .shingles import minhashes, mix, set_key, shingle_sets
@@ -201,6 +202,26 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "hashes"])
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(grp, rid, blocks, hashes) of the n wanted classes, staged as (grp, rid, blocks, cid, rep). Texts don't move. Up to
+    BROADCAST_ROWS classes are broadcast. Of more, a filter of their documents' ids says which texts are read
+    again; those texts' sets, one of each class, meet the classes by name, so an id that many rows have is no hot key."""
+    if n <= BROADCAST_ROWS:
+        there = docs.join(F.broadcast(wanted), docs["id"].eqNullSafe(wanted["rep"])).select("grp", "rid", "blocks", "cid", "text")
+        return there.mapInArrow(lean(_sets_of), "grp long, rid long, blocks long, hashes binary")
+    ids = KeyFilter(wanted.select(F.xxhash64("rep").alias("g")), n)
+    tested = ids.parts(docs.withColumn("_jobsift_h", F.xxhash64("id")), F.col("_jobsift_h"))
+    read = reduce(DataFrame.union, [t.filter("_jobsift_maybe").select("text") for t in tested])
+    sets = read.mapInArrow(lean(_named_sets), "cid binary, hashes binary").groupBy("cid").agg(F.first("hashes").alias("hashes"))
+    return wanted.drop("rep").join(sets, "cid").select("grp", "rid", "blocks", "hashes")
+
+
 def _by_signature(part: pd.DataFrame, share: tuple[int, int]):
     """A test of row x against rows y: signatures agree as much as those of similar sets."""
     least = _agree(share[0] / share[1]) * SIGNATURE
@@ -402,8 +423,7 @@ def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFr
     n_clustered = clusters.count()
     wanted = stage(join_groups(clusters, sizes, "grp", "members", n_clustered).select("grp", "rid", "blocks", "cid", "rep"), "wanted")
 
-    there = docs.join(F.broadcast(wanted) if n_clustered <= BROADCAST_ROWS else wanted, docs["id"].eqNullSafe(wanted["rep"]))
-    sets = stage(there.select("grp", "rid", "blocks", "cid", "text").mapInArrow(lean(_sets_of), "grp long, rid long, blocks long, hashes binary"), "sets")
+    sets = stage(_full_sets(docs, wanted, n_clustered), "sets")
     linked = components(linked_in_blocks(sets, _by_sets, share, ["hashes"])).withColumnRenamed("node", "rid")
 
     named = classes.select("rid", "cid", "rep", "copies").join(linked, "rid", "left").withColumn("root", F.coalesce("root", "rid"))

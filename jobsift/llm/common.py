@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -22,7 +23,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 BROADCAST_ROWS = 200_000
 
 _own_dir: str | None = None
-_staged: list[str] = []
+#: Staged tables, and the thread that staged each: operators may run side by side.
+_staged: dict[str, int] = {}
+_shipping = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _staged.append(path)
+    _staged[path] = threading.get_ident()
     return path
 
 
@@ -64,7 +67,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _staged.remove(path)
+    _staged.pop(path, None)
 
 
 def unstage(*tables: DataFrame) -> None:
@@ -76,17 +79,17 @@ def unstage(*tables: DataFrame) -> None:
 def sweep(spark: SparkSession) -> int:
     """Delete all tables that operators have staged and not deleted yet, once no result that was returned is
     needed any more; how many they were. What an operator returns reads such tables when it runs."""
-    gone = [p for p in _staged if p.startswith(shared_dir(spark))]
+    gone = [p for p in list(_staged) if p.startswith(shared_dir(spark))]
     for path in gone:
         _delete(spark, path)
     return len(gone)
 
 
 def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """Stage what make() returns and delete everything that was staged on the way to it."""
-    before = set(_staged)
+    """Stage what make() returns and delete everything that this thread has staged on the way to it."""
+    before, own = set(_staged), threading.get_ident()
     out = stage(make(), name)
-    for path in [p for p in _staged if p not in before and p != out._jobsift_path]:
+    for path in [p for p, by in list(_staged.items()) if by == own and p not in before and p != out._jobsift_path]:
         _delete(out.sparkSession, path)
     return out
 
@@ -112,14 +115,15 @@ def ship(spark: SparkSession) -> None:
     """Before an operator runs Python: see that workers can import this package in local mode. On a cluster it
     is installed, or given as --py-files."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") and not getattr(sc, "_jobsift_shipped", False):
-        package = Path(__file__).resolve().parent.parent
-        made = Path(tempfile.mkdtemp(prefix="jobsift-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(made, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(made))
-        sc._jobsift_shipped = True
+    with _shipping:
+        if sc.master.startswith("local[") and not getattr(sc, "_jobsift_shipped", False):
+            package = Path(__file__).resolve().parent.parent
+            made = Path(tempfile.mkdtemp(prefix="jobsift-")) / f"{package.name}.zip"
+            with zipfile.ZipFile(made, "w") as z:
+                for f in sorted(package.rglob("*.py")):
+                    z.write(f, f.relative_to(package.parent))
+            sc.addPyFile(str(made))
+            sc._jobsift_shipped = True
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

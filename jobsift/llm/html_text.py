@@ -2,15 +2,17 @@
 
 Markup is stripped to lines, one for each block element. Text lengths of lines are summed over a sliding
 window of lines with text; where the sum surges the article begins, where it dives to nothing it pauses, and
-the lines of all such regions are kept. Lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by
-their element, role or class) are left out. Markup otherwise only weighs lines: those that are mostly links have
-no length, nor have those outside of articles if a page marks some, and marked lines count more.
+the lines of all such regions are kept. What is never text to read is left out before: lines of menus, headers, footers,
+sidebars, notices, adverts, forms and reader comments, as their element or role says, or a class or id all of whose
+words name such parts. Other markup weighs lines: those that are mostly links have no length, nor have those
+outside of articles if a page marks some, and marked lines count more.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +33,7 @@ _TAG = re.compile(
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)([^>]*+)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|href)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -47,12 +49,31 @@ _NAMES = frozenset(
     " recommendations trending share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment"
     " comments commentlist disqus reply replies respond responses login search pagination pager paywall disclaimer copyright skiplink".split()
 )
+#: Words that say nothing by themselves: a name made of these and the words above still names such a part.
+_NEUTRAL = frozenset(
+    "site page main primary secondary global mobile desktop top bottom left right inner outer wrap wrapper container box bar slot unit item items"
+    " list block area section panel group row col column button buttons btn link links icon icons field input label body content post posts"
+    " article articles story stories entry user reader readers sticky fixed floating inline law info message text title header head"
+    " close accept settings preferences manager small large big mini full new latest popular more by author".split()
+)
+#: Names of parts that a reader's comments and strangers' notices are in; inside an article an id needs one of these.
+_FOREIGN = frozenset("ad ads adbox adslot adunit adsense sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus reply replies respond".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BEGINNINGS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar")
 _NUMBERED = re.compile(r"(?:ads?|banner|comment|sidebar|widget)\d+")
 _STATE = frozenset("has with no not is without".split())
 _NOT_HIDING = frozenset("html body main article".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_END_NOTE = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
+_END_NOTE = re.compile(r"\s*(?:copyright\s*)?(?:©|\(c\)\s|copyright\s+\d{4}\b)", re.I)
+#: What a start tag ends if it is open within the same list or table, and what bounds the search for it.
+_ENDS = {
+    **dict.fromkeys(["li"], (frozenset(["li"]), frozenset("ul ol menu dir".split()))),
+    **dict.fromkeys(["dt", "dd"], (frozenset(["dt", "dd"]), frozenset(["dl"]))),
+    **dict.fromkeys(["td", "th"], (frozenset(["td", "th"]), frozenset(["table", "tr"]))),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    **dict.fromkeys(["tbody", "thead", "tfoot"], (frozenset("tbody thead tfoot caption".split()), frozenset(["table"]))),
+    "option": (frozenset(["option"]), frozenset(["select"])),
+}
 
 
 @dataclass
@@ -73,7 +94,18 @@ class _Open:
     heading: bool = False
 
 
+def _names_part(token: str) -> set[str]:
+    """The words of a class or id that name a part that isn't article text, if it has no other words."""
+    words = [w for w in re.split(r"[-_:]+", _CAMEL.sub("-", token).lower()) if w]
+    if not words or words[0] in _STATE:
+        return set()
+    hit = {w for w in words if w in _NAMES or w.startswith(_BEGINNINGS) or _NUMBERED.fullmatch(w)}
+    return hit if all(w in hit or w in _NEUTRAL or w.isdigit() for w in words) else set()
+
+
 def _named_out(attributes: str, tag: str, inside: bool) -> bool:
+    """Whether attributes say that an element isn't article text. A heading's names don't, nor do ids of a part of an
+    article, but for a few: they are there to be linked to."""
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -82,33 +114,82 @@ def _named_out(attributes: str, tag: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id"):
-            for one in value.split():
-                words = [w for w in re.split(r"[-_:]+", _CAMEL.sub("-", one).lower()) if w]
-                if not words or words[0] in _STATE:
-                    continue
-                hit = {w for w in (words[0], words[-1]) if w in _NAMES or w.startswith(_BEGINNINGS) or _NUMBERED.fullmatch(w)}
+        if name in ("class", "id") and tag not in _HEADINGS:
+            for token in value.split():
+                hit = _names_part(token)
                 if inside:  # an article's own heading part
                     hit -= {"header"}
                 if tag in _NOT_HIDING:
-                    hit = hit & {"comment", "comments", "reply"} if tag == "article" else set()
+                    hit &= {"comment", "comments", "reply"} if tag == "article" else set()
+                if inside and name == "id":
+                    hit = {w for w in hit if w in _FOREIGN or w.startswith(_BEGINNINGS)}
                 if hit:
                     return True
     return False
 
 
+class _Tree:
+    """The open elements, with the end tags that pages may leave out, and where among them a part begins that isn't
+    article text."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.zone: int | None = None
+
+    def push(self, tag: str) -> None:
+        self.open.append(tag)
+        self.count[tag] += 1
+
+    def cut(self, n: int) -> None:
+        self.count.subtract(self.open[n:])
+        del self.open[n:]
+        if self.zone is not None and self.zone >= n:
+            self.zone = None
+
+    def find(self, tags: frozenset[str], bounds: frozenset[str]) -> int | None:
+        """The innermost open one of the tags that isn't beyond a bound."""
+        if not any(self.count[t] for t in tags):
+            return None
+        for i in reversed(range(len(self.open))):
+            if self.open[i] in tags:
+                return i
+            if self.open[i] in bounds:
+                return None
+        return None
+
+    def start(self, tag: str) -> None:
+        """What a start tag ends."""
+        if tag in _CLOSE_P and (i := self.find(frozenset(["p"]), _NO_END)) is not None:
+            self.cut(i)
+        if tag in _ENDS and (i := self.find(*_ENDS[tag])) is not None:
+            self.cut(i)
+
+    def end(self, tag: str) -> None:
+        """End the innermost such element and all that are open in it. Only an article's end ends an article."""
+        bounds = frozenset() if tag in ("article", "main", "body", "html") else _NO_END if tag == "p" else frozenset(["article", "main"])
+        if tag not in ("table", "body", "html", "article", "main"):
+            bounds |= frozenset(["table"]) if tag not in _ENDS or tag in ("li", "dt", "dd", "option") else frozenset()
+        if (i := self.find(frozenset([tag]), bounds)) is not None:
+            self.cut(i)
+
+
+_NO_END = frozenset("article main table td th li dd dt caption body button object".split())
+
+
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order, white space made single spaces; empty ones count as lines too."""
+    """The page's blocks in order, white space made single spaces; empty ones count as lines too. End tags may be missing
+    where HTML lets them; others count as there once what holds the element ends, and those without a start as not there."""
     out: list[Line] = []
     now = _Open()
-    zone, depth = "", 0  # the element that isn't article text, and how deep it is nested in its like
-    article, articles, main, link = 0, -1, 0, 0
-    current = -1
+    tree = _Tree()
+    articles, link, current = -1, 0, -1
 
     def close(heading: bool = False) -> None:
         nonlocal now
         text = " ".join("".join(now.parts).split())
-        out.append(Line(text, min(now.links, len(text)), now.heading, bool(zone), current if article else -1, main > 0, len(out)))
+        marked = current if tree.count["article"] else -1
+        out.append(Line(text, min(now.links, len(text)), now.heading, tree.zone is not None, marked, tree.count["main"] > 0, len(out)))
         now = _Open(heading=heading)
 
     def add(raw: str) -> None:
@@ -137,41 +218,30 @@ def lines_of(page: str) -> list[Line]:
         if tag == "br":
             now.parts.append(" ")
             continue
-        if tag == "a":
-            link = 0 if closing else 1
+        if tag == "a":  # without href it is a place, not a link
+            link = int(not closing and any(name.lower() == "href" for name, _ in _ATTRIBUTE.findall(attributes)))
             continue
         block = tag in _BLOCKS
         if block or tag in _OUT:
-            close(heading=not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
-        if zone == "p" and tag in _CLOSE_P:
-            zone = ""
-            if closing and tag == "p":
-                continue
-        if zone and not closing and tag in ("article", "main") and zone not in ("aside", "template", "noscript", "dialog") and not _named_out(attributes, tag, False):
-            zone = ""
+            close(heading=not closing and tag in _HEADINGS)
         if closing:
-            if zone and tag == zone:
-                depth -= 1
-                if not depth:
-                    zone = ""
-            if tag == "article" and article:
-                article -= 1
-            elif tag == "main" and main:
-                main -= 1
+            tree.end(tag)
             continue
+        if block:
+            tree.start(tag)
         if tag in _VOID or attributes.endswith("/") and not block:
             continue
-        if zone:
-            depth += tag == zone
-        elif tag in _OUT or tag == "header" and not article or attributes and _named_out(attributes, tag, article > 0):
-            zone, depth = tag, 1
-        if tag == "article":
-            if not article and not zone:
-                articles += 1
-                current = articles
-            article += 1
-        elif tag == "main" and not zone:
-            main += 1
+        named = bool(attributes) and _named_out(attributes, tag, tree.count["article"] > 0)
+        if not (block or named or tag in _OUT):
+            continue
+        if tree.zone is not None and tag in ("article", "main") and tree.open[tree.zone] not in ("aside", "template", "noscript", "dialog") and not _named_out(attributes, tag, False):
+            tree.cut(tree.zone)
+        if tag == "article" and not tree.count["article"] and not named and tree.zone is None:
+            articles += 1
+            current = articles
+        tree.push(tag)
+        if tree.zone is None and (tag in _OUT or tag == "header" and not tree.count["article"] or named):
+            tree.zone = len(tree.open) - 1
     close()
     return out
 
@@ -212,12 +282,13 @@ def _weights(lines: list[Line]) -> tuple[list[int], list[bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The text of the article, blocks joined by a space; empty if there is none.
+    """The text of the article, blocks joined by a space; empty if there is none. Malformed markup is read as lines_of() says.
 
     Windows are over lines with text, so markup alone never ends a region; WINDOW lines without length do. All
     regions that surge count. A region goes back from its surge to the dive before it, so short lines
     at its begin are kept, and lines without length within it stay. On pages without a marked article,
-    labels far above the first heading and an end note don't belong to it."""
+    labels far above the first heading and a copyright notice at the end, a sign or a year with it, don't belong to it; text
+    that stands alone after WINDOW lines of links doesn't either, if it is too short to surge."""
     lines = [x for x in lines_of(page or "") if not x.out and x.text]
     sizes, marked = _weights(lines)
     most = max((sum(sizes[i : i + WINDOW]) for i in range(len(sizes))), default=0)

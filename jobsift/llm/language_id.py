@@ -115,12 +115,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _log_probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smoothed log probabilities of each language from its counts, rows sorted by language."""
+
+    def out() -> pa.RecordBatch:
+        logs = np.log(totals / totals.sum()).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([logs.tobytes()], pa.binary())], names=["l", "logs"])
+
+    lang, totals = None, np.zeros(0)
+    for batch in batches:
+        for label, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if label != lang:
+                if lang is not None:
+                    yield out()
+                lang, totals = label, np.full(BUCKETS, SMOOTH)
+            totals += np.frombuffer(counts, np.int64)
+    if lang is not None:
+        yield out()
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Learn from text and label of the given rows; rows with a null text or label teach nothing, and rows that
     repeat teach as often as they are there. Without labelled rows the model knows no language.
 
     Of languages with more than train_docs rows a hash of the id picks about that many, in sixteen groups by that
-    hash. Every language is learned; the driver gets at most sixteen rows of counts of each."""
+    hash, which executors count and sum. Every language is learned: the driver gets a row of 128 KB for each, and
+    broadcasts these, so a column of labels should hold languages, not free text."""
     ship(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
     found = rows.groupBy("l").agg(F.count("*").alias("n"))
@@ -130,18 +150,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     n_languages = found.count()
     picked = rows.join(F.broadcast(found) if n_languages <= BROADCAST_ROWS else found, "l").filter(F.pmod(h, F.lit(1_000_000)) / 1_000_000 < share)
     dealt = picked.select("t", "l", F.pmod(F.shiftright(h, 32), F.lit(16)).alias("g")).repartition("l", "g").sortWithinPartitions("l", "g")
-    counted = dealt.select("t", "l").mapInArrow(lean(_count), "l string, docs long, totals binary").collect()
+    counts = dealt.select("t", "l").mapInArrow(lean(_count), "l string, docs long, totals binary").select("l", "totals")
+    learned = counts.repartition("l").sortWithinPartitions("l").mapInArrow(_log_probabilities, "l string, logs binary").toArrow()
     rows_of = {r.l: r.n for r in found.collect()}
     unstage(found)
-    names = sorted({r.l for r in counted})
+    names = sorted(learned.column("l").to_pylist())
     if not names:
         return LanguageModel((), np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
     place = {name: i for i, name in enumerate(names)}
-    totals = np.full((len(names), BUCKETS), SMOOTH)
-    for r in counted:
-        totals[place[r.l]] += np.frombuffer(r.totals, np.int64)
+    weights = np.empty((BUCKETS, len(names)), np.float32)
+    for name, logs in zip(learned.column("l").to_pylist(), learned.column("logs"), strict=True):
+        weights[:, place[name]] = np.frombuffer(logs.as_buffer(), np.float32)
     prior = np.array([rows_of[name] for name in names], float)
-    return LanguageModel(tuple(names), np.log(prior / prior.sum()), np.log(totals / totals.sum(axis=1, keepdims=True)).T.astype(np.float32))
+    return LanguageModel(tuple(names), np.log(prior / prior.sum()), weights)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -21,6 +21,9 @@ from .shingles import word_hashes
 BUCKETS = 1 << 20
 #: Labelled rows that a model is fitted on at most (about; a hash of the id picks them).
 TRAIN_DOCS = 12_000
+#: A text with more distinct words than this teaches nothing, so that the driver gets 3 GB of words at the very most,
+#: and about a hundredth of that from ordinary texts. It is classified like any other.
+TRAIN_WORDS = 1 << 16
 FOLDS = 5
 RIDGE = 0.1
 #: A word (bucket) has a weight in a model if its chi-square with the label is at least this: rare words that meet
@@ -167,8 +170,8 @@ def _best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> ToxicityChain:
     """Fit on labelled documents. categories: for each, a boolean expression over the columns of labels;
-    rows where one is null are left out. Of repeated labels of a document the largest counts, and rows that
-    repeat a labelled id all teach. Without labelled rows every probability is a half."""
+    rows where one is null are left out. Of repeated labels of a document the largest counts, and of rows that
+    repeat a labelled id one teaches, chosen by a hash of its words. Without labelled rows every probability is a half."""
     ship(docs.sparkSession)
     marked = labels.select(F.col(key).alias("_id"), *[e.cast("int").alias(c) for c, e in categories.items()]).dropna()
     marked = marked.groupBy("_id").agg(*[F.max(c).alias(c) for c in categories])
@@ -179,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], text:
     fold = F.pmod(F.xxhash64(F.lit(4), "_id"), F.lit(FOLDS)).cast("int").alias("_fold")
     rows = rows.select("_text", "_id", fold, *categories)
     kind = schema_with(rows.drop("_text").select(F.lit(b"").alias("_words"), "*"))
-    got = rows.mapInArrow(lean(_bag), kind).toArrow()
+    bags = rows.mapInArrow(lean(_bag), kind).filter(F.octet_length("_words") <= 4 * TRAIN_WORDS)
+    one = bags.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_words").alias("_h"), "_words", "_fold", *categories)).alias("_one"))
+    got = one.select("_id", "_one.*").toArrow()
     order = np.argsort(got.column("_id").to_numpy(), kind="stable")
     words = got.column("_words").to_pylist()
     return fit_chain([np.frombuffer(words[i], np.int32) for i in order], {c: got.column(c).to_numpy()[order] for c in categories}, got.column("_fold").to_numpy()[order])

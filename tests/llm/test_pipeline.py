@@ -27,6 +27,7 @@ def fixture_rows():
         rows.append([i, " ".join(w), "en", "src1"])
     rows += [[200, None, "en", "src0"], [201, "", None, None], [202, "12 34 5!", "en", "src0"], [203, rows[3][1], "en", "src9"], [None, rows[7][1] + " and some more", "en", None]]
     rows += [[204, "the and of " * 30_000 + "end", "en", "src0"], [205, "the <|endoftext|> and was", "en", "src0"]]
+    rows += [[206, "the and of was" + " \n" * 1_000_000 + "from which they were", "en", "src0"]]  # more white space than the word pattern takes
     return rows
 
 
@@ -62,7 +63,7 @@ def brute(rows):
     for i in at:
         groups.setdefault(find(i), []).append(i)
     at = sorted(min(g, key=lambda i: (rows[i][0] is not None, rows[i][0] or 0)) for g in groups.values())
-    tokens = np.array([sum(rows[i][1].count(c) for c in " \n\t\r") + 1 for i in at], float)
+    tokens = np.array([len(rows[i][1].encode()) // 4 + 1 for i in at], float)
     size = [len(rows[i][1]) for i in at]
     topic = ["note" if s < 400 else "article" if s < 2000 else "essay" if s < 10000 else "book" for s in size]
     labels = [[rows[i][3] or "other" for i in at], [rows[i][2] or "other" for i in at], topic]
@@ -100,6 +101,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert got == want
 
 
+def test_real_topics_are_raked(spark):
+    import corpus_pipeline
+    from jobsift.llm import mixing
+
+    rows = [(i, "word " * (40 + i % 60), "en", "src0", 0, "sport" if i % 10 else "law") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string")
+    out = corpus_pipeline.mixed(spark, docs, "")
+    assert out.columns == docs.columns
+    found = mixing.fit(docs, TARGETS, KEEP)
+    assert set(found.marginals[2].targets) == {"sport", "law"} and found.residual < 1e-9
+    mass = {r.topic: r.n for r in out.groupBy("topic").agg(F.sum(mixing.token_estimate()).alias("n")).collect()}
+    goal = 0.1**0.95 / (0.1**0.95 + 0.9**0.95)
+    assert abs(mass["law"] / sum(mass.values()) - goal) < 0.012
+
+
 def test_columns_with_clashing_names_survive(spark):
     import corpus_pipeline
 

@@ -47,7 +47,7 @@ def test_mix(spark):
     ms = [mixing.Marginal("source", {"s0": 0.5, "s1": 0.3, "s2": 0.15, "other": 0.05}), mixing.Marginal("topic", {"note": 0.6, "article": 0.4})]
     got = mixing.mix(df, ms, 0.5).toPandas()
     assert len(got) == len(rows) and got.weight.dtype == float
-    assert (got.tokens == [sum(t.count(g) for g in " \n\t\r") + 1 for t in got.text.where(got.text.notna(), "")]).all()
+    assert (got.tokens == [len(t.encode()) // 4 + 1 for t in got.text.where(got.text.notna(), "")]).all()
     share = (got.tokens * got.probability).groupby(got.source.fillna("other")).sum()
     assert share["s0"] / share.sum() == pytest.approx(0.5, abs=0.03)
     h = [int(hashlib.md5(f"42:{'' if i != i else int(i)}".encode()).hexdigest()[:12], 16) / 2**48 for i in got.doc_id]
@@ -71,19 +71,65 @@ def test_mix_samples_unnamed_values(spark):
     assert [r.probability for r in alone.select("probability").distinct().collect()] == [pytest.approx(0.6)]
 
 
-def test_mix_flattens_any_values(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "VALUES", 3)
+def test_mix_flattens_any_values(spark):
     rows = [(i, "word " * 9, ["big"] * 6 + ["mid", "small", "tiny", None]) for i in range(10)]
     rows = [(10 * i + k, t, s) for i, t, names in rows for k, s in enumerate(names)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = mixing.fit(df, [mixing.Marginal("source", flatten=0.5)], 1.0)
-    assert set(found.marginals[0].targets) == {"big", "mid", "small", "other"} and found.residual < 1e-9
-    raised = {"big": 0.6**0.5, "mid": 0.1**0.5, "small": 0.1**0.5, "other": 0.2**0.5}
+    assert found.residual < 1e-9
+    raised = {"big": 0.6**0.5, "mid": 0.1**0.5, "small": 0.1**0.5, "tiny": 0.1**0.5, "other": 0.1**0.5}
     assert found.marginals[0].targets == {k: pytest.approx(v / sum(raised.values())) for k, v in raised.items()}
     got = mixing.mix(df, [mixing.Marginal("source", flatten=0.5)], 1.0).toPandas()
     assert len(got) == 100 and (got.probability > 0).all() and got.probability.max() == pytest.approx(1)
 
 
+def test_mix_values_may_hold_any_characters(spark):
+    rows = [(1, "a b", "s\x1ft", "u"), (2, "c d", "s", "t\x1fu"), (3, "e f", "z", "u"), (4, "g", "`q`", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix(df, [mixing.Marginal("source", flatten=0.8), mixing.Marginal("lang", flatten=0.9)], 1.0).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4]
+
+
+def test_scripts_without_spaces_have_tokens(spark):
+    texts = ["中" * 6000, "word  " * 10, "", None]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.tokens for r in mixing.mix(df, [mixing.Marginal("source", flatten=0.8)]).collect()}
+    assert got == {0: 4501, 1: 16, 2: 1, 3: 1}
+    true = mixing.mix(df.withColumn("tokens", F.lit(7)), [mixing.Marginal("source", flatten=0.8)], tokens=F.col("tokens")).select("tokens").distinct().collect()
+    assert true == [(7,)]
+
+
+def many_sources(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, "word " * int(rng.integers(1, 900)), ["en", "de", "fr", None][int(rng.integers(0, 4))], f"s{int(rng.integers(0, 240)) ** 2 // 240}" if i % 50 else None, 0) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_mix_of_240_sources_equals_sql(spark, tmp_path):
+    many_sources(spark, tmp_path)
+    con = __import__("duckdb").connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(QUERIES["op3_raked_mixture"](spark, str(tmp_path)), con, ORACLE_SQL["op3_raked_mixture"])
+
+
+@pytest.mark.parametrize("values", [20, 400])
+def test_cells_beyond_the_driver_are_raked_in_a_table(spark, tmp_path, monkeypatch, values):
+    """The same weights, whether tables of values are broadcast or not."""
+    many_sources(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ms = [mixing.Marginal("source", flatten=0.8), mixing.Marginal("lang", {"en": 0.5, "de": 0.3, "xx": 0.2})]
+    want = {r.doc_id: (r.weight, r.probability, r.kept) for r in mixing.mix(docs, ms, 0.7).collect()}
+    assert mixing.fit(docs, ms, 0.7).residual < 1e-9
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", values)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-6)
+    found = mixing.fit(docs, ms, 0.7)
+    assert found.factors and found.residual < 1e-6
+    got = mixing.mix(docs, ms, 0.7, mixture=found).collect()
+    assert len(got) == 3000
+    for r in got:
+        assert (r.weight, r.probability) == (pytest.approx(want[r.doc_id][0], rel=1e-4), pytest.approx(want[r.doc_id][1], rel=1e-4))
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_mix_query_equals_brute_force(spark, sf):
     """Probabilities by raking the rows themselves; the shares that are reached, on average and as drawn."""

@@ -328,3 +328,62 @@ def test_toxicity_query_equals_a_chain_of_dense_models(spark):
     want = dict(zip(docs.index, 1 / (1 + np.exp(-seen[:, 2])), strict=True))
     gap = np.array([abs(got.p_toxic[i] - want[i]) for i in docs.index])
     assert (gap < 0.05).mean() > 0.99 and ((got.p_toxic[docs.index] > 0.5) == np.array([want[i] > 0.5 for i in docs.index])).mean() > 0.995
+
+
+@pytest.mark.parametrize("part", [
+    '<section id="related-work"><p>{0}</p><p>Short.</p></section>', '<h2 id="login">{0}</h2>', '<h2 class="related">Short</h2>', '<h2 id="share-prices">Short</h2>', '<div id="search-methods">Short {0}</div>',
+    '<div class="social-policy">{0}</div>', '<section id="share">Short</section>', '<div class="login-theory">x</div>', '<p id="menu">Soup, fish, cheese</p>',
+])
+def test_names_do_not_delete_article_text(part):
+    html = part.format(PARA)
+    text = " ".join(__import__("re").sub("<[^>]*>", " ", html).split())
+    assert html_text.main_text(f"<nav>x</nav><article><p>{PARA}</p>{html}<p>{PARA}</p></article>") == f"{PARA} {text} {PARA}"
+
+
+@pytest.mark.parametrize("begin", [
+    '<a name="top">', '<a id="top"/>', '<a name=top></a>', '<ul><li class="menu-item">Home<li class="menu-item">News</ul>', '<table><tr><td class="ad">Buy<tr><td>',
+    '<table><tr><td class="ad">Buy<td></table>', '<dl><dt class="sidebar">x<dd></dl>', '<div><div class="ad">Buy</div>', '<section><p class="ad">Buy<section>', '<ul><li class=menu><ul><li>a<li>b</ul>c</ul>',
+    '</div></div></li>', '<main></main>', '<div><span class="ad">Buy</div>',
+])
+def test_unmarked_article_after_malformed_markup(begin):
+    assert html_text.main_text(f"<body>{begin}<h1>Head</h1><p>{PARA}<p>{PARA} Two.</body>") == f"Head {PARA} {PARA} Two."
+
+
+@pytest.mark.parametrize("last", ["Copyright law, as ever, is slow.", "Copyrighted works follow.", "The copyright ended in 1950."])
+def test_last_paragraph_about_copyright_stays(last):
+    assert html_text.main_text(f"<h1>Head</h1><p>{PARA}</p><p>{PARA}</p><p>{last}</p>") == f"Head {PARA} {PARA} {last}"
+
+
+def test_generated_pages_with_malformed_markup():
+    """Pages put together from article text and other parts, so the text is known without reading markup: end tags are left out
+    where HTML lets them, tags change case, attributes lose quotes, elements in other parts stay open."""
+    rng = __import__("random").Random(31)
+    words = "river stone copyright policy share menu search reply cookie winter market signal garden".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(18, 40))).capitalize() + "."
+    link = lambda: f"<a href={rng.choice(words)}>{rng.choice(words)}</a>"
+    parts = [
+        lambda: f"<nav><ul><li>{link()}<li>{link()}</ul></nav>", lambda: f"<ul class='main-menu'><li>{link()}<li>{link()}<li>x</ul>", lambda: f"<DIV CLASS=sidebar><div>{sentence()}<p>{sentence()}</div></DIV>",
+        lambda: f"<footer><p>{sentence()}</footer>", lambda: f"<div class='ad-slot'><b>{sentence()}</div>", lambda: f"<table class=ads><tr><td>{sentence()}<td>x<tr><td>y</table>", lambda: f"<!-- <article>{sentence()} -->",
+        lambda: f"<script>'</p><article>{sentence()}'</script>", lambda: f"<form><p>{sentence()}<button>Go</form>", lambda: f"<section id=comments><p>{sentence()}<p>{sentence()}</section>", lambda: f"<div style='display: none'>{sentence()}</div>",
+    ]
+    for _ in range(400):
+        body, text = [], []
+        for _ in range(rng.randrange(3, 12)):
+            t = sentence()
+            tag = rng.choice(["p", "P", "div", "li", "td", "h2", "blockquote", "dd"])
+            end = "" if tag in ("p", "P") and rng.random() < 0.5 else f"</{tag}>"
+            own = f' id="{rng.choice(words)}-{rng.choice(["one", "two"])}"' if rng.random() < 0.3 else f" class={rng.choice(['text', 'lead'])}" if rng.random() < 0.3 else ""
+            inner = f"<{tag}{own}>{t.replace(' ', rng.choice([' ', '  ', chr(10)]), 1)}{end}"
+            body.append({"li": f"<ul>{inner if rng.random() < 0.5 else inner.removesuffix('</li>')}</ul>", "td": f"<table><tr>{inner.removesuffix('</td>')}</table>", "dd": f"<dl>{inner}</dl>"}.get(tag, inner))
+            text.append(t)
+            if rng.random() < 0.3:
+                body.append(rng.choice(parts)())
+        around = lambda: "".join(rng.choice(parts)() for _ in range(rng.randrange(4)))
+        article = rng.choice(["article", "ARTICLE"])
+        page = f"<html><head><title>{sentence()}</title></head><body>{around()}<{article}>{''.join(body)}</{article}>{around()}</body>"
+        assert html_text.main_text(page) == " ".join(text), page
+
+
+def test_deep_and_unclosed_markup_is_read_in_time():
+    page = "<div>" * 30_000 + "</p>" * 30_000 + "<b>" * 30_000 + f"<p>{PARA}" + "</span>" * 30_000
+    assert html_text.main_text(page) == PARA
