@@ -65,9 +65,9 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens have the target shares of sources, languages and topics. Every document has a chance;
-    null and new sources and languages are values like any other. Rows that repeat an id stay or go together.
-    An empty table stays empty."""
-    return _kept(docs, lambda d: mix(d, TARGETS, KEEP).filter("kept"), ["tokens", "weight", "probability", "kept", "topic"])
+    null and new sources and languages are values like any other. The topic is the column topic, or the form of
+    the text, if the table has none. Rows that repeat an id stay or go together. An empty table stays empty."""
+    return _kept(docs, lambda d: mix(d, TARGETS, KEEP).filter("kept"), ["tokens", "weight", "probability", "kept"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
