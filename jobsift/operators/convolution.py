@@ -10,13 +10,15 @@ model and nothing else.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,17 +196,26 @@ def loss(df: DataFrame, w: Weights, net: Net = CNN) -> float | None:
     return _usable(df).select("input_ids", "label_id", F.col("loss_weight").cast("double")).mapInArrow(run, "loss double, weight double").agg(F.sum("loss") / F.sum("weight")).first()[0]
 
 
+def deal(train: DataFrame, key: str, workers: int | None = None, seed: int = 42) -> DataFrame:
+    """The rows to train on, dealt to workers by a hash of the key, once: as many as there are cores if none are given. What
+    fit() does with them is then the same however often they are read. Rows with nulls are left out."""
+    rows = _usable(train).select(F.col(key).alias("key"), "input_ids", "label_id", F.col("loss_weight").cast("double"))
+    return settled(rows.repartition(workers or train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(F.lit(seed), "key")))
+
+
 def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, workers: int | None = None, seed: int = 42, net: Net = CNN) -> tuple[Weights, list[float]]:
     """The weights of the epoch with the least validation loss, and the loss after each epoch. It ends when patience epochs
-    in a row bring nothing; the rate falls linearly to zero. Both tables should be stored, for each epoch reads
-    them again. Rows are dealt to workers by a hash of key, which fixes their order too. Rows with nulls are
-    left out; without any row the weights stay as they are."""
-    rows = _usable(train).select(F.col(key).alias("key"), "input_ids", "label_id", F.col("loss_weight").cast("double"))
+    in a row bring nothing; the rate falls linearly to zero. The validation rows should be stored, for each epoch reads
+    them again; those to train on are dealt() once. Without any row the weights stay as they are."""
+    return fit_dealt(deal(train, key, workers, seed), valid, w, epochs, rate, size, patience, clip, dropout, seed, net)
+
+
+def fit_dealt(dealt: DataFrame, valid: DataFrame, w: Weights, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, seed: int = 42, net: Net = CNN) -> tuple[Weights, list[float]]:
+    """fit() on rows that deal() has dealt. Each epoch has its own order of a worker's rows, by a hash of the key."""
     best, losses, since = (w, float("inf")), [], 0
-    dealt_once = settled(rows.repartition(workers or train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(F.lit(seed), "key")))
     for epoch in range(epochs):
-        dealt = dealt_once.sortWithinPartitions(F.xxhash64(F.lit(seed + epoch), "key"), "key").drop("key")
-        told = dealt.mapInArrow(_epoch(net, w, rate * (1 - epoch / epochs), clip, size, dropout, seed + epoch), "block int, mass double, data binary")
+        rows = dealt.sortWithinPartitions(F.xxhash64(F.lit(seed + epoch), "key"), "key").drop("key")
+        told = rows.mapInArrow(_epoch(net, w, rate * (1 - epoch / epochs), clip, size, dropout, seed + epoch), "block int, mass double, data binary")
         blocks = told.groupBy("block").applyInPandas(_average, "block int, data binary").collect()  # one model
         if not blocks:
             break
@@ -221,6 +232,44 @@ def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int =
     return best[0], losses
 
 
+def grid_search(
+    train: DataFrame,
+    valid: DataFrame,
+    start: Callable[[int], Weights],
+    key: str,
+    path: str,
+    hidden: Sequence[int] = (25, 50, 100),
+    dropout: Sequence[float] = (0.1, 0.2, 0.5),
+    at_once: int = 3,
+    **options,
+) -> DataFrame:
+    """(point, hidden, dropout, loss, epochs) of each grid point: report.best_run() picks one, and load(point_path(path,
+    point)) gives its weights. start(width of the hidden layer) makes the weights to begin with.
+
+    All points train on rows that are dealt once. at_once of them run at a time, each in a scheduler pool of its own, so
+    that with spark.scheduler.mode FAIR they share the cores evenly. A point that the store has, from a run that was cut
+    off, isn't trained again."""
+    spark = train.sparkSession
+    dealt = deal(train, key, options.pop("workers", None), options.get("seed", 42))
+    points = [(k, h, float(d)) for k, (h, d) in enumerate(product(hidden, dropout))]
+
+    def run(point: tuple[int, int, float]) -> None:
+        k, h, d = point
+        if not model_store.epochs(point_path(path, k)):
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"grid-{k}")
+            w, losses = fit_dealt(dealt, valid, start(h), dropout=d, **options)
+            save(spark, w | {"_losses": np.array(losses)}, point_path(path, k))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), points))
+    seen = [(load(point_path(path, k), names=["_losses"]).get("_losses", np.zeros(0)), k, h, d) for k, h, d in points]
+    return spark.createDataFrame([(k, h, d, float(x.min()) if len(x) else None, len(x)) for x, k, h, d in seen], "point int, hidden int, dropout double, loss double, epochs int")
+
+
+def point_path(path: str, point: int) -> str:
+    return f"{path.rstrip('/')}/point-{point:03d}"
+
+
 def predict(df: DataFrame, w: Weights, net: Net = CNN) -> DataFrame:
     """Add scores, the log probability of each class, and prediction, the likeliest; null where input_ids is."""
 
@@ -245,6 +294,7 @@ def save(spark: SparkSession, w: Weights, path: str, epoch: int = 0) -> None:
     model_store.save(spark, w, path, epoch)
 
 
-def load(path: str, epoch: int | None = None) -> Weights:
-    """The weights of an epoch of a store, the last if none is named."""
-    return model_store.load(path, epoch)
+def load(path: str, epoch: int | None = None, names: list[str] | None = None) -> Weights:
+    """The weights of an epoch of a store, the last if none is named; without names those that a model has."""
+    found = model_store.load(path, epoch, names)
+    return found if names else {k: v for k, v in found.items() if not k.startswith("_")}

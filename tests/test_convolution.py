@@ -91,3 +91,32 @@ def test_query_reports_held_out_languages(spark):
     said = {r["label"]: r for r in QUERIES["cnn_train_predict"](spark, "/root/testdata/sf0.01").collect()}
     assert set(said) == {"0", "1", "2", "3", "accuracy", "macro avg", "weighted avg"}
     assert said["accuracy"]["f1_score"] > 0.9 and said["macro avg"]["support"] == 200
+
+
+def test_grid_over_width_and_dropout(spark, tmp_path, monkeypatch):
+    """Nine points on rows that are dealt once; what a cut-off run has stored isn't trained again."""
+    from jobsift.operators import model_store, report
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [int(x) for x in rng.integers(1, 6, 10) + 5 * (i % 2)], i % 2, 1.0) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, input_ids array<int>, label_id long, loss_weight double").persist()
+    train, valid = df.filter("doc_id < 120"), df.filter("doc_id >= 120")
+    start = lambda h: convolution.initial(12, 2, 8, 6, 3, h)
+    dealt, real, fits = [], convolution.deal, []
+    monkeypatch.setattr(convolution, "deal", lambda *a: (dealt.append(a), real(*a))[1])
+    fit = convolution.fit_dealt
+    monkeypatch.setattr(convolution, "fit_dealt", lambda *a, **b: (fits.append(b["dropout"]), fit(*a, **b))[1])
+    path = str(tmp_path / "grid")
+    alone, _ = fit(real(train, "doc_id", 3), valid, start(25), 2, dropout=0.2)
+    convolution.grid_search(train, valid, start, "doc_id", path, hidden=(25,), at_once=2, workers=3, epochs=2)
+    runs = convolution.grid_search(train, valid, start, "doc_id", path, hidden=(25, 50, 100), at_once=3, workers=3, epochs=2)
+    rows = {r.point: r for r in runs.collect()}
+    assert len(rows) == 9 and len(dealt) == 2 and len(fits) == 9
+    assert {(r.hidden, r.dropout) for r in rows.values()} == {(h, d) for h in (25, 50, 100) for d in (0.1, 0.2, 0.5)}
+    assert all(r.loss is not None and r.epochs == 2 for r in rows.values())
+    got = convolution.load(convolution.point_path(path, 1))
+    assert set(got) == set(alone) and all(np.allclose(got[k], v) for k, v in alone.items())
+    best = report.best_run(runs).first()
+    assert best.loss == min(r.loss for r in rows.values())
+    assert convolution.predict(valid, convolution.load(convolution.point_path(path, best.point))).count() == 40
+    assert model_store.epochs(convolution.point_path(path, 8)) == [0]
