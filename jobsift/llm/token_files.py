@@ -35,7 +35,7 @@ BLOCK = 4096
 #: Ids of a file, about.
 FILE_IDS = 1 << 26
 #: Ids that a reading or writing task holds at once, beside one document.
-HELD_IDS = 1 << 20
+HELD_IDS, HELD_BYTES = 1 << 20, 4 << 20
 MANIFEST = "_manifest.json"
 #: The end of a file: ids, bits an id, ids a block, where documents and offsets begin, and MAGIC.
 _TAIL = "<QIIQQ8s"
@@ -47,6 +47,11 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def narrow(bits: int) -> str:
+    """The type that ids of so many bits travel in."""
+    return "<u2" if bits <= 16 else "<u4"
+
+
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids in so many bits each, the first in the lowest bits. Eight ids fill exactly bits bytes, so the ids of one
     place among eight all lie alike."""
@@ -100,15 +105,16 @@ class FileWriter:
         self.documents: list[pa.RecordBatch] = []
         out.write(MAGIC)
 
-    def add(self, keys: pa.Array, bodies: Sequence[bytes]) -> None:
-        """Documents, given as packed little-endian unsigned 32-bit ids."""
-        lengths = np.array([len(b) // 4 for b in bodies], np.int64)
+    def add(self, keys: pa.Array, bodies: Sequence[bytes], kind: str = "<u4") -> None:
+        """Documents, given as the bytes of little-endian unsigned ids."""
+        size = np.dtype(kind).itemsize
+        lengths = np.array([len(b) // size for b in bodies], np.int64)
         starts = self.ids + np.cumsum(lengths) - lengths
         self.documents.append(pa.RecordBatch.from_arrays([keys.cast(self.key), pa.array(starts), pa.array(lengths)], names=["key", "start", "n"]))
         self.ids += int(lengths.sum())
         for b in bodies:
-            self.waiting.append(np.frombuffer(b, "<u4"))
-            self.n_waiting += len(b) // 4
+            self.waiting.append(np.frombuffer(b, kind))
+            self.n_waiting += len(b) // size
             if self.n_waiting >= HELD_IDS:
                 self._blocks(self.n_waiting - self.n_waiting % BLOCK)
 
@@ -171,7 +177,8 @@ class _Written(WriterCommitMessage):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Writes rows (key, ids), sorted as they come: a file for each task that has rows."""
+    """Writes rows (key, ids), sorted as they come: a file for each task that has rows. Ids come in two bytes each if
+    bits are no more than 16, else in four."""
 
     def __init__(self, path: str, bits: int) -> None:
         self.path, self.bits = path, bits
@@ -183,14 +190,16 @@ class TokenWriter(DataSourceArrowWriter):
         part = TaskContext.get().partitionId()
         name, writer, out = f"ids-{part:06d}-{uuid.uuid4().hex[:12]}.bits", None, None
         n = 0
-        for batch in iterator:
-            if batch.num_rows:
+        for whole in iterator:
+            rows = max(1, HELD_BYTES * whole.num_rows // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}")
                     writer = FileWriter(out, self.bits, batch.column(0).type)
                 n += batch.num_rows
-                writer.add(batch.column(0), batch.column(1).to_pylist())
+                writer.add(batch.column(0), batch.column(1).to_pylist(), narrow(self.bits))
         if writer is None:
             return _Written("", part, 0, 0)
         writer.close()
@@ -296,7 +305,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, text: str = "t
     spark = docs.sparkSession
     _register(spark)
     bits = bits_for(encoder(tokenizer_path).vocabulary)
-    dtype, most = ("<u2", 1 << 16) if bits <= 16 else ("<u4", 1 << 32)
+    dtype = narrow(bits)
     kind = docs.schema[key].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +322,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, text: str = "t
     files = max(spark.sparkContext.defaultParallelism if total > BLOCK else 1, -(-total // file_ids))
     ordered = made.repartitionByRange(files, "key", "row").sortWithinPartitions("key", "row").select("key", "ids")
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide = [np.frombuffer(b, dtype).astype("<u4").tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["key", "ids"])
-
-    ordered.mapInArrow(lean(widen), ordered.schema).write.format("token_bits").option("bits", bits).mode("append").save(path)
+    ordered.write.format("token_bits").option("bits", bits).mode("append").save(path)
     unstage(made)
 
 
