@@ -14,6 +14,7 @@ import json
 import struct
 import sys
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import lean, ship, stage, unstage
+from .common import lean, ship
 from .tokens import encoder, ids_of
 
 MAGIC = b"JSBITS01"
@@ -295,35 +296,47 @@ def manifest(path: str) -> dict:
         return json.loads(f.read())
 
 
+def _place(key: object, row: int) -> tuple[bool, object, int]:
+    """A row's place in the order: null keys first, rows that repeat a key by their row numbers."""
+    return key is not None, key, row
+
+
+def _splitters(docs: DataFrame, key: str, files: int) -> list[tuple[bool, object, int]]:
+    """The first place of each file but the first. Only keys and row numbers move; a row for each file reaches the driver."""
+    if files < 2:
+        return []
+    placed = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).repartitionByRange(files, "key", "row")
+    first = placed.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "row")).alias("at"))
+    return [_place(r["at"].key, r["at"].row) for r in sorted(first.collect(), key=lambda r: r.part)][1:]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text", key: str = "doc_id", file_ids: int = FILE_IDS) -> None:
-    """Write the ids of each whole text, and the END after them, in ascending order of the key.
+    """Write the ids of each whole text, and the END after them, in ascending order of the key, a whole number or a string.
 
     A null text is empty and has just the END. Null keys come first; rows that repeat a key are documents of their
     own, in no particular order among themselves. Very long texts are one document in one file, whatever
-    file_ids says. An empty table makes a folder without files. Other columns are ignored. Texts don't move: ids are
-    staged, two bytes or four each, and these are sorted in ranges, of which a repeated key may fill several."""
+    file_ids says; files are counted by three bytes of text an id. An empty table makes a folder without files. Other
+    columns are ignored. Texts don't move: keys are sampled first for where files begin, so that a repeated key may
+    fill several, and then ids go to their file's task, two bytes or four each, and are sorted there."""
     spark = docs.sparkSession
     _register(spark)
     bits = bits_for(encoder(tokenizer_path).vocabulary)
     dtype = narrow(bits)
-    kind = docs.schema[key].dataType
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+    files = max(spark.sparkContext.defaultParallelism if size > BLOCK else 1, -(-size // (3 * file_ids)))
+    shared = spark.sparkContext.broadcast(_splitters(docs, key, files))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [ids_of(t, tokenizer_path) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.astype(dtype).tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], names=["key", "ids", "n"]
-            )
-
-    schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType())])
-    made = docs.select(F.col(key).alias("key"), text).mapInArrow(lean(encode), schema)
-    made = stage(made.withColumn("row", F.monotonically_increasing_id()), "ids")
-    total = made.agg(F.sum("n")).first()[0] or 0
-    files = max(spark.sparkContext.defaultParallelism if total > BLOCK else 1, -(-total // file_ids))
-    ordered = made.repartitionByRange(files, "key", "row").sortWithinPartitions("key", "row").select("key", "ids")
-
+            ids = [ids_of(t, tokenizer_path).astype(dtype).tobytes() for t in batch.column(1).to_pylist()]
+            keys, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            part = [bisect_right(shared.value, _place(k, r)) for k, r in zip(keys, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(part, pa.int32()), pa.array(ids, pa.binary())], names=["key", "row", "part", "ids"])
+
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *T.StructType.fromDDL("row long, part int, ids binary").fields])
+    made = docs.select(F.col(key).alias("key"), text, F.monotonically_increasing_id().alias("row")).mapInArrow(lean(encode), schema)
+    ordered = made.repartitionById(len(shared.value) + 1, "part").sortWithinPartitions("key", "row").select("key", "ids")
     ordered.write.format("token_bits").option("bits", bits).mode("append").save(path)
-    unstage(made)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: Sequence[str] = ("doc_id", "start", "n_tokens", "ids"), key: T.DataType | None = None) -> DataFrame:
