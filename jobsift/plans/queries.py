@@ -605,6 +605,36 @@ def train_predict(get):
     return report.classification_report(said.select("label_id", "prediction"), "label_id", "prediction")
 
 
+@_query("""
+    with chars as (select unnest(string_split(text, '')) as token from documents),
+    v as (select token, row_number() over (order by n desc, token) + 1 as id from (select token, count(*) as n from chars where token <> '' group by token order by n desc, token limit 64)),
+    f as (select doc_id, left(repeat(source || ' ', 2) || text, 64) as t from documents),
+    c as (select doc_id, i, substr(t, i, 1) as token from f, unnest(range(1, 65)) as r(i)),
+    k as (select doc_id, i, case when c.token = '' then 0 else coalesce(v.id, 1) end as id from c left join v on c.token = v.token),
+    look as (select id, k, f, case when id = 0 then 0 else sum(sin(0.7 * id + 1.3 * d) * cos(k + 2 * d + 3 * f)) end as x
+             from range(66) as a(id), range(3) as b(k), range(2) as c(f), range(3) as e(d) group by id, k, f),
+    windows as (select doc_id, i - k + 1 as i, f, sum(x) as s from k join look using (id) where i - k + 1 between 1 and 64 group by doc_id, i - k + 1, f),
+    seen as (select doc_id, f, greatest(max(s) + 0.1 * f, 0) as r from windows group by doc_id, f),
+    inner_ as (select doc_id, h, greatest(sum(r * sin(1 + f + 2 * h)) + 0.05, 0) as r from seen, range(3) as a(h) group by doc_id, h),
+    out as (select doc_id, c, sum(r * cos(h + 3 * c)) as s from inner_, range(4) as a(c) group by doc_id, c),
+    said as (select doc_id, c, s - ln(sum(exp(s)) over (partition by doc_id)) as s from out)
+    select doc_id, cast(arg_max(c, s) as bigint) as prediction, round(max(s), 4) as most from said group by doc_id""")
+def convolution_scores(get):
+    """Texts scored by a convolutional model from the store, its weights set by a rule."""
+    docs, n = get("documents"), np.arange
+    rows = encode.tokens(docs, encode.vocabulary(docs, "text", 64), 64, "source", "text")
+    words = np.sin(0.7 * n(66)[:, None] + 1.3 * n(3))
+    words[0] = 0
+    weights = {
+        "words": words, "look": np.cos(n(3)[:, None, None] + 2 * n(3)[:, None] + 3 * n(2)), "look_bias": 0.1 * n(2), "mid": np.sin(1 + n(2)[:, None] + 2 * n(3)),
+        "mid_bias": np.full(3, 0.05), "out": np.cos(n(3)[:, None] + 3 * n(4)), "out_bias": np.zeros(4),
+    }
+    path = new_path(docs.sparkSession, "model")
+    convolution.save(docs.sparkSession, weights, path)
+    said = convolution.predict(rows.select("doc_id", "input_ids"), convolution.load(path))
+    return said.select("doc_id", "prediction", F.round(F.array_max("scores").cast("double"), 4).alias("most"))
+
+
 @_query()
 def cnn_train_predict(get):
     """Fit the convolutional classifier of the language on the training split, stopping early by the validation
