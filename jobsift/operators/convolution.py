@@ -30,8 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 Weights = dict[str, np.ndarray]
 #: Numbers in a block of weights that one task averages.
 BLOCK = 1 << 16
-#: Rows whose window sums are in memory at once.
-ROWS = 64
+#: Window sums that are in memory at once: what a core's cache holds.
+NUMBERS = 1 << 17
 
 
 def initial(vocabulary: int, classes: int, width: int = 100, filters: int = 32, kernel: int = 3, hidden: int = 250, seed: int = 42) -> Weights:
@@ -46,18 +46,31 @@ def initial(vocabulary: int, classes: int, width: int = 100, filters: int = 32,
     }
 
 
-def _look(w: Weights, tables: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The largest window sum of each filter, and the place of its window."""
-    half = len(tables) // 2
+def _best(tables: list[np.ndarray], ids: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The largest window sum of each filter in each row, before the bias, and if wanted the first place that has it."""
+    n, length = ids.shape
+    half, filters = len(tables) // 2, tables[0].shape[1]
     wide = np.pad(ids, ((0, 0), (half, half)))
-    best, at = [], []
-    for a in range(0, len(ids), ROWS):
-        part = wide[a : a + ROWS]
-        sums = sum(t[part[:, k : k + ids.shape[1]]] for k, t in enumerate(tables))
-        place = sums.argmax(axis=1)
-        at.append(place)
-        best.append(np.take_along_axis(sums, place[:, None], axis=1)[:, 0])
-    return np.concatenate(best) + w["look_bias"], np.concatenate(at)
+    rows = max(1, NUMBERS // (length * filters))
+    best, at = np.empty((n, filters), tables[0].dtype), np.zeros((n, filters), np.int64) if places else None
+    room, more = (np.empty((min(rows, n) * length, filters), tables[0].dtype) for _ in range(2))
+    for a in range(0, n, rows):
+        part = wide[a : a + rows]
+        sums, add = room[: len(part) * length], more[: len(part) * length]
+        for k, t in enumerate(tables):
+            np.take(t, part[:, k : k + length].ravel(), axis=0, out=add if k else sums, mode="clip")  # ids are within the table
+            if k:
+                sums += add
+        sums = sums.reshape(len(part), length, filters)
+        if places:
+            at[a : a + rows] = sums.argmax(axis=1)
+            best[a : a + rows] = np.take_along_axis(sums, at[a : a + rows, None], axis=1)[:, 0]
+            continue
+        while sums.shape[1] > 1:  # halves against each other; what is in the middle may be met twice
+            half_way = (sums.shape[1] + 1) // 2
+            sums = np.maximum(sums[:, :half_way], sums[:, sums.shape[1] - half_way :])
+        best[a : a + rows] = sums[:, 0]
+    return best, at
 
 
 def _tables(w: Weights) -> list[np.ndarray]:
@@ -66,7 +79,7 @@ def _tables(w: Weights) -> list[np.ndarray]:
 
 def scores(w: Weights, ids: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
     """Log probabilities of the classes for each row of ids."""
-    seen = np.maximum(_look(w, tables or _tables(w), ids)[0], 0)
+    seen = np.maximum(_best(tables or _tables(w), ids)[0] + w["look_bias"], 0)
     return log_softmax(np.maximum(seen @ w["mid"] + w["mid_bias"], 0) @ w["out"] + w["out_bias"])
 
 
@@ -77,8 +90,9 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 
 def gradients(w: Weights, ids: np.ndarray, label: np.ndarray, weight: np.ndarray, drop: np.ndarray | None = None) -> tuple[float, Weights]:
     """The weighted mean loss of a batch and its gradients. drop: factors of the hidden layer, 0 for what is left out."""
-    half = len(w["look"]) // 2
-    seen, at = _look(w, _tables(w), ids)
+    known, own, wide = _own_words(w, ids)
+    best, at = _best([own @ k for k in w["look"]], wide, True)
+    seen = best + w["look_bias"]
     fired = np.maximum(seen, 0)
     inner = fired @ w["mid"] + w["mid_bias"]
     kept = np.maximum(inner, 0) * (1 if drop is None else drop)
@@ -94,17 +108,29 @@ def gradients(w: Weights, ids: np.ndarray, label: np.ndarray, weight: np.ndarray
     g |= {"mid": fired.T @ d, "mid_bias": d.sum(axis=0)}
     d = (d @ w["mid"].T) * (seen > 0)
     g["look_bias"] = d.sum(axis=0)
-    g["words"], g["look"] = np.zeros_like(w["words"]), np.zeros_like(w["look"])
-    wide = np.pad(ids, ((0, 0), (half, half)))
-    for k in range(len(w["look"])):
+    g["words"], g["look"] = np.zeros_like(w["words"]), np.empty_like(w["look"])
+    half, filters = len(w["look"]) // 2, np.arange(d.shape[1])
+    wide, moved = np.pad(wide, ((0, 0), (half, half))), np.zeros_like(own)
+    for k, look in enumerate(w["look"]):
         token = np.take_along_axis(wide, at + k, axis=1)  # of each row and filter
-        for f in range(token.shape[1]):
-            g["look"][k, :, f] = d[:, f] @ w["words"][token[:, f]]
-            np.add.at(g["words"], token[:, f], d[:, f, None] * w["look"][k, :, f])
+        flow = np.bincount((token * len(filters) + filters).ravel(), d.ravel(), len(known) * len(filters)).reshape(len(known), -1).astype(d.dtype)
+        g["look"][k] = own.T @ flow
+        moved += flow @ look.T
+    g["words"][known] = moved
     g["words"][0] = 0
     return loss, g
 
 
+def _own_words(w: Weights, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a batch, padding first, their embeddings, and the ids as places among them."""
+    there = np.zeros(len(w["words"]), bool)
+    there[ids] = there[0] = True
+    known = np.flatnonzero(there)
+    place = np.zeros(len(there), np.int64)
+    place[known] = np.arange(len(known))
+    return known, w["words"][known], place[ids]
+
+
 @dataclass(frozen=True)
 class Net:
     """What is trained: scores(weights, ids, ready), gradients(weights, ids, label, weight, drop) with drop as wide as
@@ -119,38 +145,56 @@ CNN = Net(scores, gradients, _tables)
 
 
 class _Adam:
+    """Adam with clipped gradients on all weights as one vector; w's arrays become parts of it."""
+
     def __init__(self, w: Weights, rate: float, clip: float) -> None:
-        self.w, self.rate, self.clip, self.n = w, rate, clip, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        self.rate, self.clip, self.n = rate, clip, 0
+        self.flat = _flat(w)
+        w.update(_parts(self.flat, w))
+        self.first, self.second, self.room = (np.zeros_like(self.flat) for _ in range(3))
 
     def step(self, g: Weights) -> None:
         self.n += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-        scale = min(1.0, self.clip / (norm + 1e-6))
-        for k, x in g.items():
-            x = x * scale
-            self.first[k] += (x - self.first[k]) * 0.1
-            self.second[k] += (x * x - self.second[k]) * 0.001
-            self.w[k] -= self.rate * (self.first[k] / (1 - 0.9**self.n)) / (np.sqrt(self.second[k] / (1 - 0.999**self.n)) + 1e-8)
+        x, room = _flat(g), self.room
+        norm = float(np.sqrt(np.dot(x, x)))
+        x *= min(1.0, self.clip / (norm + 1e-6))
+        np.subtract(x, self.first, out=room)
+        room *= 0.1
+        self.first += room
+        x *= x
+        x -= self.second
+        x *= 0.001
+        self.second += x
+        np.divide(self.second, 1 - 0.999**self.n, out=x)
+        np.sqrt(x, out=x)
+        x += 1e-8
+        np.divide(self.first, x, out=room)
+        room *= self.rate / (1 - 0.9**self.n)
+        self.flat -= room
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = batch.column("input_ids").flatten().to_numpy().reshape(batch.num_rows, -1)
-    return ids, batch.column("label_id").to_numpy(), batch.column("loss_weight").to_numpy()
+    ids = batch.column("input_ids")
+    ids = np.frombuffer(b"".join(ids.to_pylist()), np.int32) if pa.types.is_binary(ids.type) else ids.flatten().to_numpy()
+    return ids.reshape(batch.num_rows, -1), batch.column("label_id").to_numpy(), batch.column("loss_weight").to_numpy()
 
 
 def _flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)])
 
 
-def _shaped(flat: np.ndarray, like: Weights) -> Weights:
+def _parts(flat: np.ndarray, like: Weights) -> Weights:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def _shaped(flat: np.ndarray, like: Weights) -> Weights:
+    return {k: v.astype(np.float32) for k, v in _parts(flat, like).items()}
+
+
 def _epoch(net: Net, w: Weights, rate: float, clip: float, size: int, dropout: float, seed: int):
     """Train on a worker's rows; its weights times its rows' weight, in blocks, as (block, weight, data)."""
 
@@ -200,7 +244,17 @@ def deal(train: DataFrame, key: str, workers: int | None = None, seed: int = 42)
     """The rows to train on, dealt to workers by a hash of the key, once: as many as there are cores if none are given. What
     fit() does with them is then the same however often they are read. Rows with nulls are left out."""
     rows = _usable(train).select(F.col(key).alias("key"), "input_ids", "label_id", F.col("loss_weight").cast("double"))
-    return settled(rows.repartition(workers or train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(F.lit(seed), "key")))
+    rows = rows.repartition(workers or train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(F.lit(seed), "key"))
+    packed = T.StructType([T.StructField("input_ids", T.BinaryType()) if x.name == "input_ids" else x for x in rows.schema])
+    return settled(rows.mapInArrow(_packed, packed))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their ids as bytes, which Spark sorts and sends in one piece."""
+    for batch in batches:
+        ids = [x.values.to_numpy().astype(np.int32).tobytes() for x in batch.column("input_ids")]
+        at = batch.schema.get_field_index("input_ids")
+        yield batch.set_column(at, "input_ids", pa.array(ids, pa.binary()))
 
 
 def fit(train: DataFrame, valid: DataFrame, w: Weights, key: str, epochs: int = 10, rate: float = 1e-3, size: int = 32, patience: int = 3, clip: float = 1.0, dropout: float = 0.0, workers: int | None = None, seed: int = 42, net: Net = CNN) -> tuple[Weights, list[float]]:

@@ -54,9 +54,10 @@ def character_counts(df: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(sys.maxunicode + 1, np.int64)
         for batch in batches:
-            for t in batch.column(0).drop_null().to_pylist():
-                points, n = np.unique(np.frombuffer(t.encode("utf-32-le"), np.uint32), return_counts=True)
-                seen[points] += n
+            for at in range(0, batch.num_rows, 256):
+                for t in _joined(batch.column(0).slice(at, 256).drop_null().to_pylist()):
+                    n = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+                    seen[: len(n)] += n
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([chr(p) for p in found], pa.string()), pa.array(seen[found])], names=["token", "n"])
 
@@ -64,6 +65,19 @@ def character_counts(df: DataFrame, text: str) -> DataFrame:
     return told.groupBy("token").agg(F.sum("n").alias("count"))
 
 
+def _joined(texts: list[str], most: int = 1 << 20) -> Iterator[str]:
+    """The texts one after the other, in pieces of about so many characters; a longer text in pieces of its own."""
+    held, size = [], 0
+    for t in texts:
+        for at in range(0, len(t), most):
+            held.append(t[at : at + most])
+            size += len(held[-1])
+            if size >= most:
+                yield "".join(held)
+                held, size = [], 0
+    yield "".join(held)
+
+
 def vocabulary(train: DataFrame, text: str, size: int) -> DataFrame:
     """(token, token_id) of the most frequent characters, from 2; 0 is padding and 1 anything else."""
     counts = character_counts(train, text).orderBy(F.desc("count"), "token").limit(size)

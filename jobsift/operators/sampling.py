@@ -32,10 +32,16 @@ def hash_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def split(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Add split: train, valid, test as 60, 20 and 20 in a hundred, the test share rounded up. The key
-    should be unique. Only the key is ranked, then joined back."""
+    should be unique; rows without one are left out. Only the key is ranked: the two places in its order that part the
+    splits are looked up, so rows are neither joined nor moved."""
     n = df.count()
     n_rest = (2 * n + 4) // 5
     n_test = (n_rest + 1) // 2
     n_train, n_valid = n - n_rest, n_rest - n_test
-    name = F.when(F.col("rank") <= n_train, "train").when(F.col("rank") <= n_train + n_valid, "valid").otherwise("test")
-    return df.join(hash_rank(df, key, seed).select(key, name.alias("split")), key)
+    place = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(hash_order(seed, F.col(key)))])
+    upto = lambda k: F.max(F.when(F.col("rank") <= k, place))
+    kind = df.select(place.alias("at")).schema["at"].dataType
+    last = hash_rank(df.filter(F.col(key).isNotNull()), key, seed).agg(upto(n_train), upto(n_train + n_valid)).first()
+    within = lambda at: F.lit(False) if at is None else place <= F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(at, kind, strict=True)])
+    name = F.when(within(last[0]), "train").when(within(last[1]), "valid").otherwise("test")
+    return df.filter(F.col(key).isNotNull()).withColumn("split", name)

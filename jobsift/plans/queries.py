@@ -645,9 +645,11 @@ def cnn_train_predict(get):
     fit_on = whole.filter("split = 'train'")
     vocab = encode.vocabulary(fit_on, "description", 1000)
     weighted = train.loss_weight(whole, encode.class_weights(fit_on, "label_id"), "label_id")
-    rows = encode.tokens(weighted, vocab, Config().max_length).select("doc_id", "split", "label_id", "loss_weight", "input_ids").persist()
-    part = lambda name: rows.filter(F.col("split") == name)
+    rows = encode.tokens(weighted, vocab, Config().max_length).select("doc_id", "split", "label_id", "loss_weight", "input_ids")
+    path = new_path(docs.sparkSession, "rows")
+    write_stage(rows, path, "split")  # each epoch reads the validation rows again
+    stored = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    part = lambda name: stored.filter(F.col("split") == name)
     w, _ = convolution.fit(part("train"), part("valid"), convolution.initial(1002, max(1, ids.count())), "doc_id")
-    rows.unpersist()
     said = convolution.predict(part("test"), w)
     return report.classification_report(said.select("label_id", "prediction"), "label_id", "prediction")

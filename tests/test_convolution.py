@@ -50,6 +50,50 @@ def test_gradients_equal_differences():
             assert (both[0] - both[1]) / 2e-6 == pytest.approx(g[name][at], abs=1e-6)
 
 
+@pytest.mark.parametrize("numbers", [1, 100, 1 << 17])
+def test_best_windows_by_chunks(monkeypatch, numbers):
+    """Chunks of any size find the largest sums and, of equal ones, the first place."""
+    monkeypatch.setattr(convolution, "NUMBERS", numbers)
+    rng = np.random.default_rng(3)
+    tables, ids = list(rng.integers(-2, 3, (3, 20, 4)).astype(np.float32)), rng.integers(0, 20, (11, 13))
+    wide = np.pad(ids, ((0, 0), (1, 1)))
+    sums = sum(t[wide[:, k : k + 13]] for k, t in enumerate(tables))
+    best, at = convolution._best(tables, ids, True)
+    assert (best == sums.max(axis=1)).all() and (at == sums.argmax(axis=1)).all()
+    assert (convolution._best(tables, ids)[0] == best).all()
+
+
+def test_steps_equal_plain_adam():
+    w = convolution.initial(**SMALL)
+    own, plain, rng = {k: v.copy() for k, v in w.items()}, doubles(w), np.random.default_rng(4)
+    steps, first, second = convolution._Adam(own, 0.01, 1.0), {k: 0.0 for k in w}, {k: 0.0 for k in w}
+    for n in range(1, 6):
+        g = {k: rng.standard_normal(v.shape) / n for k, v in plain.items()}
+        steps.step({k: v.astype(np.float32) for k, v in g.items()})
+        scale = min(1.0, 1.0 / np.sqrt(sum((x * x).sum() for x in g.values())))
+        for k in w:
+            first[k] = 0.9 * first[k] + 0.1 * g[k] * scale
+            second[k] = 0.999 * second[k] + 0.001 * (g[k] * scale) ** 2
+            plain[k] = plain[k] - 0.01 * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)
+    assert all(np.allclose(own[k], plain[k], atol=1e-5) for k in w)
+
+
+def test_work_of_a_batch_follows_its_tokens_and_rows_are_not_moved_to_be_split(spark, monkeypatch):
+    """Products are of the batch's own tokens, ids travel as bytes, and the split joins no texts."""
+    from jobsift.operators import sampling
+
+    seen, real = [], convolution._best
+    monkeypatch.setattr(convolution, "_best", lambda tables, *a: (seen.append(len(tables[0])), real(tables, *a))[1])
+    convolution.gradients(convolution.initial(5000, 3, 5, 4, 3, 6), np.array([[7, 4999, 0], [7, 7, 0]]), np.array([0, 1]), np.ones(2))
+    assert seen == [3]
+    rows = spark.createDataFrame([(i, [1, 2], 0, 1.0) for i in range(9)], "doc_id long, input_ids array<int>, label_id long, loss_weight double")
+    dealt = convolution.deal(rows, "doc_id", 2)
+    assert dict(dealt.dtypes)["input_ids"] == "binary" and dealt.count() == 9
+    parted = sampling.split(rows, "doc_id", 42)
+    assert "Join" not in parted._jdf.queryExecution().toString() and "Exchange" not in parted._jdf.queryExecution().toString()
+    assert {r["split"]: r["count"] for r in parted.groupBy("split").count().collect()} == {"train": 5, "valid": 2, "test": 2}
+
+
 def test_training_learns_and_predicts(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null and lang is not null")
     docs = docs.select("doc_id", "lang", F.lit("").alias("title"), F.col("text").alias("description"), F.lit(1.0).alias("loss_weight"))
