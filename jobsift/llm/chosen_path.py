@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom_dedup import KeyFilter
-from .common import BROADCAST_ROWS, join_groups, lean, settle, ship, stage, unstage
+from .common import BROADCAST_ROWS, join_groups, lean, settle, ship, stage, together, unstage
 from .components import Forest, components
 from .shingles import minhashes, mix, set_key, shingle_sets
 
@@ -317,10 +317,11 @@ def with_strays(members: DataFrame, links: DataFrame) -> DataFrame:
     members are joined."""
     joined = components(links).select(F.col("node").alias("rid"), F.col("root").alias("label"))
     named = stage(members.join(joined, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "members")
-    parts = named.groupBy("grp", "label").agg(F.count("*").alias("size"))
+    n = named.count()
+    parts = together(named, n).groupBy("grp", "label").agg(F.count("*").alias("size"))
     largest = parts.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.sum("size").alias("all"), (F.sum("size") - F.max("size")).alias("strays"))
     largest = stage(largest.filter("strays > 0"), "largest")
-    return stage(join_groups(named, largest, "grp", "all", named.count()).drop("all"), "strays")
+    return stage(join_groups(named, largest, "grp", "all", n).drop("all"), "strays")
 
 
 def stray_links(known: DataFrame, payload: DataFrame, on: list[str], test_of, share: tuple[int, int], more: list[str]) -> DataFrame:
@@ -348,19 +349,22 @@ def linked_in_blocks(rows: DataFrame, test_of, share: tuple[int, int], more: lis
     return links.union(stray_links(known, rows, ["grp", "rid"], test_of, share, more))
 
 
-def _large_nodes(large: DataFrame, signed: DataFrame, share: tuple[int, int], last: bool) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs (a, b) of nodes too large for one task, and the rows (path, rid) of those nodes that must
-    branch again.
+def _large_nodes(large: DataFrame, n_large: int, signed: DataFrame, share: tuple[int, int], last: bool) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (a, b) of nodes too large for one task, with n_large rows, and the rows (path, rid) of those nodes that
+    must branch again.
 
     Each class is compared once first, in the largest of its nodes; that joins groups of copies. Of each node
     only strays from its largest component are then compared with all, unless there are too many of them:
     then the node is one of different texts that have a token in common, and branches, as long as it can."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_CLASSES).alias("blocks")
-    own = large.groupBy("rid").agg(F.max(F.struct("members", "path")).alias("at")).select("rid", F.col("at.path").alias("grp"))
+    own = together(large, n_large).groupBy("rid").agg(F.max(F.struct("members", "path")).alias("at")).select("rid", F.col("at.path").alias("grp"))
     own = stage(own, "own")
-    sizes = stage(own.groupBy("grp").agg(F.count("*").alias("members")), "sizes")
-    dealt = join_groups(own, sizes, "grp", "members", own.count()).select("grp", "rid", blocks("members"))
-    links = stage(first_links(dealt.join(signed, "rid"), _by_signature, share, ["n", "low"]), "links")
+    n_own = own.count()
+    sizes = stage(together(own, n_own).groupBy("grp").agg(F.count("*").alias("members")), "sizes")
+    dealt = join_groups(own, sizes, "grp", "members", n_own).select("grp", "rid", blocks("members"))
+    if n_own <= BROADCAST_ROWS:
+        dealt = F.broadcast(dealt)
+    links = stage(first_links(signed.join(dealt, "rid"), _by_signature, share, ["n", "low"]), "links")
     known = with_strays(large.select(F.col("path").alias("grp"), "rid", blocks("members")), links)
     few = known if last else known.filter(F.col("strays") <= NODE_ROWS)
     found = links.union(stray_links(few, signed, ["rid"], _by_signature, share, ["n", "low"]))
@@ -405,11 +409,11 @@ def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFr
         counts = stage(rows.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
         met = stage(join_groups(rows, counts, "path", "members", rows.count()), "nodes")
         leaves.append(met.filter(F.col("members") <= NODE_ROWS).select("path", "rid"))
-        too_large = not counts.filter(F.col("members") > NODE_ROWS).isEmpty()
+        n_large = counts.filter(F.col("members") > NODE_ROWS).agg(F.sum("members")).first()[0]
         unstage(rows, counts)
-        if not too_large:
+        if not n_large:
             break
-        links, again = _large_nodes(met.filter(F.col("members") > NODE_ROWS), signed, share, depth == DEPTH - 1)
+        links, again = _large_nodes(met.filter(F.col("members") > NODE_ROWS), n_large, signed, share, depth == DEPTH - 1)
         found.append(links)
         if depth == DEPTH - 1 or again.isEmpty():
             break
@@ -417,10 +421,11 @@ def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFr
     nodes = reduce(DataFrame.union, leaves).join(signed, "rid")
     nodes = nodes.repartition("path").sortWithinPartitions("path").mapInArrow(lean(_compare_nodes(share)), "a long, b long")
     similar = reduce(DataFrame.union, [nodes, *found])
-    clusters = stage(components(similar).select(F.col("node").alias("rid"), F.col("root").alias("grp")).join(classes.select("rid", "cid", "rep", "n"), "rid"), "clusters")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-    sizes = stage(clusters.groupBy("grp").agg(blocks, F.count("*").alias("members")), "sizes")
+    clusters = components(similar).select(F.col("node").alias("rid"), F.col("root").alias("grp"))
+    clusters = stage(clusters.join(classes.select("rid", "cid", "rep", "n"), "rid"), "clusters")
     n_clustered = clusters.count()
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    sizes = stage(together(clusters, n_clustered).groupBy("grp").agg(blocks, F.count("*").alias("members")), "sizes")
     wanted = stage(join_groups(clusters, sizes, "grp", "members", n_clustered).select("grp", "rid", "blocks", "cid", "rep"), "wanted")
 
     sets = stage(_full_sets(docs, wanted, n_clustered), "sets")
@@ -428,7 +433,7 @@ def _names(docs: DataFrame, sketch: DataFrame, share: tuple[int, int]) -> DataFr
 
     named = classes.select("rid", "cid", "rep", "copies").join(linked, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     named = stage(named, "named")
-    least = stage(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "least")
+    least = stage(together(named, n_classes).groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "least")
     alone = F.col("copies") == 1
     name_of = join_groups(named, least, "root", "members", n_classes).filter(~(alone & F.col("rep").eqNullSafe(F.col("component_id"))))
     return name_of.select("cid", "component_id", "copies", F.lit(True).alias("_met"))

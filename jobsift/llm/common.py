@@ -97,7 +97,10 @@ def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows to the one row of their group without a hot key meeting in one task. Groups with a
     thousandth of all rows or more, of which there are at most a thousand, are broadcast; the rest are
-    shuffled. size: the column of groups that holds the group's rows. groups should be staged."""
+    shuffled. size: the column of groups that holds the group's rows. groups should be staged. If there are at
+    most BROADCAST_ROWS rows, and so groups, all groups are broadcast."""
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, how).select(*rows.columns, *[c for c in groups.columns if c != key])
     is_hot = F.col(size) * 1000 >= total
     hot = groups.filter(is_hot).select(key, F.struct(*[c for c in groups.columns if c != key]).alias("_jobsift_group"))
     marked = rows.join(F.broadcast(hot), key, "left")
@@ -106,6 +109,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return at_once.unionByName(dealt)
 
 
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many narrow rows before it is grouped: at most BROADCAST_ROWS are grouped by the one bounded task
+    that reads them, instead of by an exchange to tasks that nearly all get nothing."""
+    return df.coalesce(1) if rows <= BROADCAST_ROWS else df
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in path."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

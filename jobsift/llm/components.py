@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, settle, stage, unstage
+from .common import BROADCAST_ROWS, join_groups, lean, settle, ship, stage, unstage
 
 
 class Forest:
@@ -68,27 +69,36 @@ def _small_star(e: DataFrame, n: int) -> DataFrame:
     return _with_least(e, n).select(ends, F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _few(e: DataFrame) -> DataFrame:
-    """Both steps in one plan for at most BROADCAST_ROWS links, whose minima are broadcast."""
-    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = both.join(F.broadcast(both.groupBy("u").agg(F.min("v").alias("m"))), "u").filter("v > u")
-    large = met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-    met = large.join(F.broadcast(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
-    return met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links of a task."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            forest.join(a, b)
+    found = [(x, forest.find(x)) for x in list(forest.up)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["node", "root"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link, root the smallest node of its component.
 
     Nulls in a link are ignored; self-links and repeated links do no harm, and without links there are no
-    rows. No step collects rows to the driver: minima are pre-aggregated, nodes with a thousandth of all links meet
-    theirs by broadcast, and so does every node while there are at most BROADCAST_ROWS links. Every round is
-    written to the shared folder."""
-    e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
-    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state, n = None, e.count()
+    rows. Links are 64-bit numbers. No step collects rows to the driver: minima are pre-aggregated, and nodes with a thousandth
+    of all links meet theirs by broadcast. Every round is written to the shared folder. Once no more than BROADCAST_ROWS links are
+    left (3 MB), a bounded task joins them in one pass, as each further round would cost four exchanges."""
+    ship(links.sparkSession)
+    e = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
+    e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+    n = e.count()
+    if n > BROADCAST_ROWS:
+        raw, e = e, stage(e.distinct(), "links")
+        unstage(raw)
+        n = e.count()
+    state = None
     while n:
-        after = settle(lambda: _few(e) if n <= BROADCAST_ROWS else _small_star(stage(_large_star(e, n), "stars"), n), "links")  # noqa: B023
+        if n <= BROADCAST_ROWS:
+            return stage(e.coalesce(1).mapInArrow(lean(_joined), "node long, root long"), "joined")
+        after = settle(lambda: _small_star(stage(_large_star(e, n), "stars"), n), "links")  # noqa: B023
         seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         unstage(e)
         e, n = after, seen[0]

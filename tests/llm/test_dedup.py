@@ -280,3 +280,31 @@ def test_hot_nodes_and_hubs_meet_by_broadcast(spark):
     parts = joined.filter("path <> 7").groupBy(F.spark_partition_id()).count().collect()
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert joined.filter("path = 7").count() == 2001 and parts and "BroadcastHashJoin" in plan
+
+
+def tasks_of(spark, work):
+    """How many tasks work() takes where an exchange has 64 partitions that aren't joined together."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    name = f"tasks-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out, seen = work(), spark.sparkContext.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup(name) for s in seen.getJobInfo(j).stageIds}
+        return out, sum(x.numCompletedTasks for s in stages if (x := seen.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_few_links_and_groups_take_no_exchanges(spark):
+    """A round of stars over a handful of links is four exchanges, of nearly only empty tasks."""
+    links = stage(spark.range(0, 3000).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 10 < 9, 1).otherwise(0)).alias("b")), "chains")
+    rows, tasks = tasks_of(spark, lambda: components(links).collect())
+    assert {(r.node, r.root) for r in rows} == {(i, i // 10 * 10) for i in range(3000)} and len(rows) == 3000
+    assert tasks < 64
+    groups = stage(spark.range(0, 300).select(F.col("id").alias("a"), F.lit(10).alias("n")), "tens")
+    rows, tasks = tasks_of(spark, lambda: join_groups(links, groups, "a", "n", 3000).collect())
+    assert len(rows) == 300 and tasks < 64
